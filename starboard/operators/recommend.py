@@ -13,7 +13,7 @@ from starboard.schemas import ALS_ITERATIONS, ALS_RANK, ALS_REGULARISATION, SEED
 
 BUCKETS = 10_000
 RATINGS_PER_BLOCK = 5_000_000
-MIN_RATINGS_PER_BLOCK = 20_000
+MIN_RATINGS_PER_BLOCK = 100_000
 MAX_BLOCKS = 200
 
 

@@ -85,9 +85,13 @@ def personalised_recommendations(
     write_table_folder(movie_statistics(movies, ratings), f"{folder}/movie_statistics_table")
     statistics = spark.read.parquet(f"{folder}/movie_statistics_table")
     write_csv(statistics, f"{folder}/movie_statistics")
-    train, test = train_test_split(dedup_latest(valid_ratings(ratings)))
+    # Training rows and lists are costly and read more than once: written, not recomputed.
+    write_table_folder(
+        dedup_latest(valid_ratings(ratings.select("userId", "movieId", "rating", "timestamp"))),
+        f"{folder}/training_ratings",
+    )
+    train, test = train_test_split(spark.read.parquet(f"{folder}/training_ratings"))
     model = als_fit(train, **als)
-    # The lists are costly and read more than once: written, not recomputed.
     recommendations = recommendations_with_movies(als_recommend_all(model, k), movies)
     write_table_folder(recommendations, f"{folder}/user_recommendations_table")
     written = spark.read.parquet(f"{folder}/user_recommendations_table")

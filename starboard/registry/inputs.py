@@ -9,6 +9,8 @@ from starboard import fixtures
 from starboard.operators import cleaning, serving, stats
 from starboard.operators.recommend import explode_recommendations
 from starboard.schemas import RAW_MOVIES, RAW_RATINGS
+from starboard.session import new_folder
+from starboard.sinks.files import write_table_folder
 
 # The derived items have 14 to 49 ratings, so the usual thresholds of 100 and 50 would keep none.
 M = 30
@@ -67,5 +69,15 @@ def serving_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     return serving.imported_recommendations(recommendations(spark, sf), serving_movies(spark, sf))
 
 
+def stored_serving(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Movies and recommendations read from written tables, as pages of them are."""
+    folder = new_folder(spark, "serving")
+    write_table_folder(serving_movies(spark, sf), f"{folder}/movies")
+    movies = spark.read.parquet(f"{folder}/movies")
+    found = serving.imported_recommendations(recommendations(spark, sf), movies)
+    write_table_folder(found, f"{folder}/recommendation_data")
+    return movies, spark.read.parquet(f"{folder}/recommendation_data")
+
+
 def raw_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.raw_dataset(spark, sf)

@@ -17,10 +17,8 @@ LAST = "(SELECT (greatest(ceil(count(*) / 20.0), 1) - 1) * 20 FROM serving_recs)
 
 def tables(spark, sf):
     """Recommendations without their popularity, which the movies hold too, and the movies."""
-    return (
-        inputs.serving_recommendations(spark, sf).drop("popularity_score"),
-        inputs.serving_movies(spark, sf),
-    )
+    movies, recommendations = inputs.stored_serving(spark, sf)
+    return recommendations.drop("popularity_score"), movies
 
 
 @query(

@@ -12,11 +12,10 @@ CONNECTIONS = 16
 def write_options(
     url: str, table: str, properties: dict[str, str] | None = None, connections: int = CONNECTIONS
 ) -> dict[str, str]:
-    """``numPartitions`` bounds how many tasks write, and so connect, at once."""
-    options = {"batchsize": "10000", "numPartitions": str(connections), "truncate": "true"}
-    options.update(jdbc_options(url, table, properties))
+    """``truncate`` keeps a refilled table's own columns and indexes."""
+    options = jdbc_options(url, table, properties)
     options.pop("fetchsize")
-    return options
+    return {"batchsize": "10000", "numPartitions": str(connections), "truncate": "true", **options}
 
 
 def write_jdbc(
@@ -29,7 +28,9 @@ def write_jdbc(
 ) -> None:
     """Append to, or with mode "overwrite" refill, a table. Errors are raised.
 
+    ``connections`` tasks write; the shuffle before them leaves the work up to there parallel.
     Each task commits its own rows: after a lost executor a repeated task can append a second
     time, so a table that must hold each row once should be refilled or have a unique key.
     """
-    df.write.format("jdbc").options(**write_options(url, table, properties, connections)).mode(mode).save()
+    options = write_options(url, table, properties, connections)
+    df.repartition(connections).write.format("jdbc").options(**options).mode(mode).save()

@@ -1,0 +1,122 @@
+import random
+
+from conftest import final_plan, rows
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from starboard.operators import cleaning, generic
+from starboard.schemas import CLEANED_MOVIES, CLEANED_RATINGS, RAW_MOVIES, RAW_RATINGS
+
+MOVIES = [
+    (11, "American President, The (1995)", "Comedy|Drama"),
+    (12, "A (1995) ", "Drama"),
+    (13, "", "Drama"),
+    (14, None, "Drama"),
+    (15, "No genres (2000)", "(no genres listed)"),
+    (16, "Null genres (2000)", None),
+    (16, "Null genres (2000)", None),
+    (None, "Bad (1990)", "Drama"),
+]
+
+
+def test_clean_movies(spark):
+    cleaned = cleaning.clean_movies(spark.createDataFrame(MOVIES, RAW_MOVIES))
+    assert cleaned.schema.simpleString() == CLEANED_MOVIES.simpleString()
+    got = {r.movieId: r for r in cleaned.collect()}
+    assert cleaned.count() == 7 and None not in got
+    assert got[11].genres_array == ["Comedy", "Drama"] and got[11].is_valid
+    assert (got[12].title, got[12].year) == ("A (1995)", None)
+    assert [i for i, r in got.items() if r.is_valid] == [11, 12]
+    assert got[16].genres_array is None
+
+
+RATINGS = [
+    (1, 1, 3.0, 10),
+    (1, 1, 4.0, 20),
+    (1, 1, 2.0, 20),
+    (1, 2, 0.5, 1420070399),
+    (1, 3, 5.0, 1420070400),
+    (1, 4, 0.0, 5),
+    (1, 5, 5.5, 5),
+    (1, 6, None, 5),
+    (None, 1, 3.0, 5),
+    (2, 1, 3.0, None),
+    (2, None, 3.0, 5),
+]
+
+
+def test_clean_ratings(spark):
+    raw = spark.createDataFrame(RATINGS, RAW_RATINGS)
+    cleaned = cleaning.clean_ratings(raw)
+    assert cleaned.schema.simpleString() == CLEANED_RATINGS.simpleString()
+    assert rows(cleaned, "userId", "movieId", "rating", "rating_year", "rating_month") == [
+        (1, 1, 4.0, 1970, 1),
+        (1, 2, 0.5, 2014, 12),
+        (1, 3, 5.0, 2015, 1),
+    ]
+    assert cleaned.where("not is_valid").count() == 0
+    assert cleaning.clean_ratings(raw, dedup=False).count() == 5
+
+
+def test_cleaning_twice_changes_nothing(spark):
+    raw = spark.createDataFrame(RATINGS, RAW_RATINGS)
+    once = cleaning.clean_ratings(raw)
+    again = cleaning.clean_ratings(once.select("userId", "movieId", "rating", "timestamp"))
+    assert rows(once) == rows(again)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3), st.sampled_from([0.5, 2.0, 5.0]), st.integers(0, 4))))
+def test_dedup_latest_by_brute_force(spark, data):
+    best = {}
+    for u, i, r, t in data:
+        best[u, i] = max(best.get((u, i), (t, r)), (t, r))
+    want = sorted((u, i, r, t) for (u, i), (t, r) in best.items())
+    assert rows(cleaning.dedup_latest(spark.createDataFrame(data, RAW_RATINGS))) == want
+
+
+def test_hot_pair_is_cut_before_the_shuffle(spark):
+    """A pair with a third of all rows reaches the shuffle as one row for each task."""
+    data = [(7, 7, random.choice([1.0, 2.0]), t) for t in range(3000)]
+    data += [(u, i, 3.0, 1) for u in range(100) for i in range(60)]
+    df = cleaning.dedup_latest(spark.createDataFrame(data, RAW_RATINGS).repartition(4))
+    plan = final_plan(df)
+    assert df.count() == 6000
+    assert df.where("userId = 7 and movieId = 7").first().timestamp == 2999
+    partial, final = plan.index("row_number(), 1, Partial"), plan.index("row_number(), 1, Final")
+    exchange = plan.index("Exchange hashpartitioning(userId", final)
+    assert final < exchange < partial
+
+
+def test_one_row_per_item_is_the_first(spark):
+    df = spark.createDataFrame([(1, "b", "x"), (1, "a", "y"), (1, "a", None), (2, None, "z")], RAW_MOVIES)
+    assert rows(cleaning.one_row_per_item(df)) == [(1, "a", None), (2, None, "z")]
+
+
+def test_clean_any_order_and_counts(spark):
+    data = [(" a ", 1), ("a", 1), ("a", 1), (None, None), (None, None), ("  ", 2), (None, 3)]
+    cleaned = generic.clean_any(spark.createDataFrame(data, "s string, n int"))
+    assert sorted(tuple(r) for r in cleaned.df.collect()) == [("", 2), ("Unknown", 3), ("a", 1), ("a", 1)]
+    assert cleaned.counts() == {
+        "input_rows": 7,
+        "duplicates_removed": 2,
+        "empty_rows_removed": 1,
+        "output_rows": 4,
+        "columns": 2,
+    }
+
+
+def test_clean_any_without_strings(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 2.0), (None, None)], "a int, b double")
+    assert rows(generic.clean_any(df).df) == [(1, 2.0)]
+
+
+def test_map_to_recommendation(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "t")], "id int, name string")
+    assert generic.map_to_recommendation(df).columns == ["id", "name"]
+    mapped = generic.map_to_recommendation(df, {"item_name": "name", "item_id": "id"})
+    assert mapped.columns == ["item_id", "item_name"]
+    with pytest.raises(ValueError):
+        generic.map_to_recommendation(df, {"price": "id"})
