@@ -2,7 +2,7 @@
 
 ``page_after`` needs the last row of the page before and costs one top-k. ``numbered_page``
 goes to any page: near the start with one top-k, farther in by first finding, from counts
-of value ranges, the small range the page lies in.
+of value ranges, the row the page starts with.
 """
 
 from __future__ import annotations
@@ -31,15 +31,24 @@ class Order:
         return -F.col(self.column) if self.descending else F.col(self.column)
 
 
+def _beyond(order: list[Order], values: list, inclusive: bool) -> Column:
+    """Rows that come after the row with these order values, or with it if ``inclusive``."""
+    beyond = F.lit(inclusive)
+    for o, value in reversed(list(zip(order, values, strict=True))):
+        bound = F.lit(-value if o.descending else value)
+        beyond = (o.key() > bound) | ((o.key() == bound) & beyond)
+    return beyond
+
+
+def _first(df: DataFrame, order: list[Order], size: int) -> DataFrame:
+    return df.orderBy(*[o.key() for o in order]).limit(size)
+
+
 def page_after(df: DataFrame, order: list[Order], last: list | None, size: int = PAGE_SIZE) -> DataFrame:
     """The ``size`` rows that follow the row whose order values are ``last`` (None: the first page)."""
     if last is not None:
-        beyond = F.lit(False)
-        for o, value in reversed(list(zip(order, last))):
-            bound = F.lit(-value if o.descending else value)
-            beyond = (o.key() > bound) | ((o.key() == bound) & beyond)
-        df = df.where(beyond)
-    return df.orderBy(*[o.key() for o in order]).limit(size)
+        df = df.where(_beyond(order, last, inclusive=False))
+    return _first(df, order, size)
 
 
 def clamp_page(page, rows: int, size: int = PAGE_SIZE) -> int:
@@ -52,27 +61,34 @@ def clamp_page(page, rows: int, size: int = PAGE_SIZE) -> int:
     return number if 1 <= number <= last else last
 
 
-def _narrow(df: DataFrame, key: Column, offset: int, size: int) -> tuple[DataFrame, int]:
-    """Only the ranges of ``key`` that rows offset..offset+size lie in, and the offset within them."""
+def _narrow(df: DataFrame, key: Column, offset: int) -> tuple[DataFrame, int, bool]:
+    """The range of ``key`` with the row at ``offset``, the offset in it, and if it is a single value."""
     steps = [i / RANGES for i in range(1, RANGES)]
-    cuts = df.select(F.percentile_approx(key, steps)).first()[0]
-    cuts = sorted(set(cuts or []))
-    if not cuts:
-        return df, offset
-    # Range i holds the keys above i cuts; every row is in exactly one, and ranges follow the order.
-    index = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < key))
-    counts = dict(df.groupBy(index.alias("i")).count().collect())
-    first = last = None
-    seen = before = 0
-    for i in sorted(counts):
-        if first is None and seen + counts[i] > offset:
-            first, before = i, seen
-        if seen < offset + size:
-            last = i
-        seen += counts[i]
-    if first is None:
-        return df.limit(0), 0
-    return df.where(index.between(first, last)), offset - before
+    cuts = sorted(set(df.select(F.percentile_approx(key, steps)).first()[0]))
+    # Each cut is a range of its own (odd numbers), and so is what lies between two cuts (even
+    # ones). Cuts are values that occur, so every range is smaller than the whole or one value.
+    values = F.array(*[F.lit(c) for c in cuts])
+    below, up_to = F.filter(values, lambda c: c < key), F.filter(values, lambda c: c <= key)
+    number = F.size(below) + F.size(up_to)
+    for n, rows in sorted(df.groupBy(number.alias("n")).count().collect()):
+        if offset < rows:
+            return df.where(number == n), offset, n % 2 == 1
+        offset -= rows
+    raise IndexError("offset beyond the last row")
+
+
+def _row_at(df: DataFrame, order: list[Order], offset: int, shallow: int) -> list:
+    """The order values of the row at a position.
+
+    Column by column, ranges are narrowed until the position is near a range's start. Only
+    counts of ranges come to the driver, never rows.
+    """
+    for o in order:
+        single = False
+        while offset > shallow and not single:
+            df, offset, single = _narrow(df, o.key(), offset)
+    found = df.orderBy(*[o.key() for o in order]).offset(offset).limit(1)
+    return list(found.select(*[o.column for o in order]).first())
 
 
 def numbered_page(
@@ -80,8 +96,6 @@ def numbered_page(
 ) -> DataFrame:
     """Page ``page``, counted from 1, of ``df`` in ``order``, whose columns must identify a row."""
     offset = (clamp_page(page, df.count(), size) - 1) * size
-    for o in order:
-        if offset <= shallow:
-            break
-        df, offset = _narrow(df, o.key(), offset, size)
-    return df.orderBy(*[o.key() for o in order]).offset(offset).limit(size)
+    if offset <= shallow:
+        return df.orderBy(*[o.key() for o in order]).offset(offset).limit(size)
+    return _first(df.where(_beyond(order, _row_at(df, order, offset, shallow), inclusive=True)), order, size)

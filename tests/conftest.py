@@ -23,6 +23,7 @@ def spark(tmp_path_factory):
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
             "spark.checkpoint.dir": folder,
+            "spark.sql.maxMetadataStringLength": "2000",
             "spark.sql.warehouse.dir": f"{folder}/tables",
         },
     )

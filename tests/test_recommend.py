@@ -1,0 +1,125 @@
+import math
+
+import numpy as np
+import pytest
+from conftest import SMALL, rows
+from pyspark.sql import functions as F
+
+from starboard.operators import recommend
+from starboard.plans import recommendations as jobs
+from starboard.plans import warehouse as wh
+from starboard.registry import inputs
+from starboard.schemas import RAW_RATINGS
+from starboard.sinks.files import write_csv
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Ratings made from known factors; item 0 is rated by every user."""
+    rng = np.random.default_rng(7)
+    users, items = rng.uniform(0.3, 1.2, (120, 3)), rng.uniform(0.3, 1.2, (60, 3))
+    scores = np.clip(users @ items.T, 0.5, 5.0)
+    data = [
+        (u, i, float(scores[u, i]), 1) for u in range(120) for i in range(60) if i == 0 or rng.uniform() < 0.4
+    ]
+    return scores, spark.createDataFrame(data, RAW_RATINGS).repartition(4).cache()
+
+
+def test_split_does_not_depend_on_partitions(planted):
+    _, df = planted
+    train, test = recommend.train_test_split(df)
+    again, _ = recommend.train_test_split(df.repartition(13))
+    assert rows(train) == rows(again)
+    assert train.count() + test.count() == df.count()
+    assert train.join(test, ["userId", "movieId"], "left_semi").count() == 0
+    assert 0.75 < train.count() / df.count() < 0.85
+    other, _ = recommend.train_test_split(df, seed=1)
+    assert rows(other) != rows(train)
+
+
+def test_model_beats_the_mean_and_repeats(planted):
+    _, df = planted
+    train, test = recommend.train_test_split(df)
+    model = recommend.als_fit(train, rank=5, reg=0.01, blocks=2)
+    rmse = recommend.als_rmse(model, test)
+    mean = train.agg(F.avg("rating")).first()[0]
+    baseline = math.sqrt(test.agg(F.avg(F.pow(F.col("rating") - mean, 2))).first()[0])
+    assert rmse < baseline / 3
+    again = recommend.als_fit(train, rank=5, reg=0.01, blocks=2)
+    assert recommend.als_rmse(again, test) == pytest.approx(rmse, rel=1e-4)
+
+
+def test_lists(planted, spark):
+    scores, df = planted
+    model = recommend.als_fit(df, rank=5, reg=0.01, blocks=2)
+    lists = recommend.als_recommend_all(model, 5)
+    assert lists.columns == ["userId", "movieId", "predicted_rating"]
+    per_user = lists.groupBy("userId").agg(F.count_distinct("movieId").alias("n")).collect()
+    assert len(per_user) == 120 and {r.n for r in per_user} == {5}
+    best = {u: set(np.argsort(-scores[u])[:15]) for u in range(120)}
+    hits = [r.movieId in best[r.userId] for r in lists.collect()]
+    assert sum(hits) / len(hits) > 0.9
+    some = recommend.als_recommend_users(model, spark.createDataFrame([(1,), (2,)], "userId int"), 5)
+    assert rows(some, "userId", "movieId") == rows(lists.where("userId in (1, 2)"), "userId", "movieId")
+
+
+def test_block_count():
+    assert recommend.block_count(0, 8) == 2
+    assert recommend.block_count(600_000, 8) == 6
+    assert recommend.block_count(25_000_000, 8) == 8
+    assert recommend.block_count(100_000_000, 8) == 20
+    assert recommend.block_count(10**13, 10_000) == recommend.MAX_BLOCKS
+
+
+def test_cold_start_rows_are_dropped(planted, spark):
+    _, df = planted
+    model = recommend.als_fit(df, rank=2, max_iter=2, blocks=2)
+    strange = spark.createDataFrame([(1, 1, 3.0, 1), (9999, 1, 3.0, 1)], RAW_RATINGS)
+    assert model.transform(strange).count() == 1
+
+
+def test_personalised_job(spark, folder):
+    movies = inputs.movies_with_year(spark, SMALL)
+    ratings = inputs.raw_ratings(spark, SMALL)
+    got = jobs.personalised_recommendations(movies, ratings, folder, k=4, last_user=50, rank=3, max_iter=2)
+    assert got["rmse"] > 0
+    assert got["recommendations"].groupBy("userId").count().agg(F.max("count")).first()[0] <= 4
+    written = spark.read.csv(f"{folder}/user_recommendations", header=True)
+    kept = got["recommendations"].where("userId <= 50")
+    assert written.count() == kept.count() > 0
+    assert spark.read.csv(f"{folder}/movie_statistics", header=True).count() == got["statistics"].count()
+    assert [got[k].count() for k in ("active_users", "popular")] == [10, 10]
+
+
+def test_csv_jobs(spark, tmp_path):
+    data, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_csv(inputs.raw_movies(spark, SMALL), f"{data}/movies.csv")
+    write_csv(inputs.raw_ratings(spark, SMALL), f"{data}/ratings.csv")
+    got = jobs.csv_recommendations(spark, data, out, m=20, n=7)
+    assert spark.read.csv(f"{out}/recommendations_processed", header=True).count() == 7
+    assert spark.read.csv(f"{out}/movies_processed", header=True).count() == got["movies"].count()
+    movies, top = jobs.serving_refresh(spark, data, str(tmp_path / "serving"), m=20, n=7)
+    assert rows(top) == rows(got["recommendations"])
+    assert movies.count() == got["movies"].count()
+    cleaned = jobs.generic_clean_load(spark, f"{data}/movies.csv")
+    assert cleaned.where("genres is null or title is null").count() == 0
+
+
+def test_a_second_warehouse_build_changes_nothing(spark, tmp_path):
+    build = lambda: wh.build_warehouse(
+        spark, inputs.raw_movies(spark, SMALL), inputs.raw_ratings(spark, SMALL), "twice", str(tmp_path / "twice")
+    )
+    first = build()
+    names = ["raw_movies", "raw_ratings", "cleaned_ratings", "data_quality_report"]
+    counts = [first.table(n).count() for n in names]
+    second = build()
+    assert [second.table(n).count() for n in names] == counts and counts[-1] == 2
+    statuses = {(r.category, r.status) for r in second.verification().collect()}
+    assert ("Database", "PASS") in statuses and ("Table", "PASS") in statuses and ("Table", "FAIL") not in statuses
+    compared = {r.description: r.record_count for r in second.comparison().collect()}
+    assert compared["Ratings - Before Cleaning"] > compared["Ratings - After Cleaning"]
+    result = wh.warehouse_recommendations(spark, "twice", str(tmp_path / "recs"), m=20, n=5, genre_m=20, genre_k=3)
+    assert result["top_movies"].count() == 5
+    assert result["genre_recommendations"].agg(F.max("rank")).first()[0] <= 3
+    assert result["summary"].first().total_ratings == counts[2]
+    assert spark.read.csv(str(tmp_path / "recs" / "top_movies"), header=True).count() == 5
