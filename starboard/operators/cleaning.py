@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from starboard.functions.text import split_genres, year_anchored, year_anywhere
 from starboard.functions.time import rating_date, rating_month, rating_year
 from starboard.functions.validity import movie_is_valid, rating_is_valid
-from starboard.schemas import CLEANED_MOVIES, CLEANED_RATINGS
+from starboard.schemas import CLEANED_MOVIES, CLEANED_RATINGS, MAX_RATING, MIN_RATING
 
 
 def with_year(movies: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def valid_ratings(ratings: DataFrame, user="userId", item="movieId", value="rati
         & F.col(item).isNotNull()
         & F.col(value).isNotNull()
         & F.col(time).isNotNull()
-        & F.col(value).between(0.5, 5.0)
+        & F.col(value).between(MIN_RATING, MAX_RATING)
     )
 
 

@@ -85,6 +85,12 @@ def als_rmse(model: ALSModel, test: DataFrame, value="rating") -> float:
     return evaluator.evaluate(model.transform(test))
 
 
+def prediction_error(model: ALSModel, test: DataFrame, value="rating") -> DataFrame:
+    """One row: how many test rows could be predicted, and the error on them."""
+    squared = F.pow(F.col("prediction") - F.col(value), 2)
+    return model.transform(test).agg(F.count(F.lit(1)).alias("rows"), F.sqrt(F.avg(squared)).alias("rmse"))
+
+
 def explode_recommendations(lists: DataFrame, user="userId", item="movieId") -> DataFrame:
     """Lists of (item, rating) structs to one row for each recommendation."""
     return lists.select(user, F.explode("recommendations").alias("rec")).select(

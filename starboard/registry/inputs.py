@@ -11,6 +11,7 @@ from starboard.operators.recommend import explode_recommendations
 from starboard.schemas import RAW_MOVIES, RAW_RATINGS
 from starboard.session import new_folder
 from starboard.sinks.files import write_table_folder
+from starboard.sinks.serving import write_recommendations
 
 # The derived items have 14 to 49 ratings, so the usual thresholds of 100 and 50 would keep none.
 M = 30
@@ -75,7 +76,7 @@ def stored_serving(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     write_table_folder(serving_movies(spark, sf), f"{folder}/movies")
     movies = spark.read.parquet(f"{folder}/movies")
     found = serving.imported_recommendations(recommendations(spark, sf), movies)
-    write_table_folder(found, f"{folder}/recommendation_data")
+    write_recommendations(found, f"{folder}/recommendation_data")
     return movies, spark.read.parquet(f"{folder}/recommendation_data")
 
 

@@ -33,11 +33,8 @@ def als_fit(spark, sf):
 
 @query("als_rmse")
 def als_rmse(spark, sf):
-    """Squared errors of the test rows by user; their mean's root is the RMSE."""
     train, test = recommend.train_test_split(inputs.latest_ratings(spark, sf))
-    predicted = recommend.als_fit(train).transform(test)
-    error = F.pow(F.col("prediction") - F.col("rating"), 2)
-    return predicted.agg(F.count(F.lit(1)).alias("rows"), F.sqrt(F.avg(error)).alias("rmse"))
+    return recommend.prediction_error(recommend.als_fit(train), test)
 
 
 @query("als_recommend_all")

@@ -57,6 +57,16 @@ def page_of_genre(spark, sf):
     return serving.recommendation_page(*tables(spark, sf), page=2, genre="small").select(*PAGE_COLUMNS)
 
 
+@query(
+    "page_of_user",
+    PAGE.format(where="WHERE r.user_id = 1", offset=4).replace("LIMIT 20", "LIMIT 4"),
+)
+def page_of_user(spark, sf):
+    recommendations, movies = tables(spark, sf)
+    mine = serving.user_filter(recommendations, 1)
+    return serving.recommendation_page(mine, movies, page=2, size=4).select(*PAGE_COLUMNS)
+
+
 @query("page_after", PAGE.format(where="", offset=20))
 def page_after(spark, sf):
     """The second page, from the last row of the first."""
@@ -80,6 +90,16 @@ def serving_default_order(spark, sf):
     return ordered.select("movie_id", "title", shown, "rating_count")
 
 
+@query(
+    "serving_top_movies",
+    "SELECT movie_id, title, rating_count FROM serving_movies "
+    "ORDER BY avg_rating DESC, rating_count DESC, movie_id LIMIT 10",
+)
+def serving_top_movies(spark, sf):
+    best = serving.movies_in_order(inputs.serving_movies(spark, sf)).limit(10)
+    return best.select("movie_id", "title", "rating_count")
+
+
 @query(
     "serving_recommendation_order",
     "SELECT movie_id, user_id, recommendation_score FROM serving_recs ORDER BY recommendation_score DESC, movie_id, user_id",

@@ -18,6 +18,16 @@ def read_serving(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return spark.read.parquet(f"{folder}/{MOVIES}"), spark.read.parquet(f"{folder}/{RECOMMENDATIONS}")
 
 
+def write_recommendations(recommendations: DataFrame, path: str) -> None:
+    """Write personal recommendations in the order of users, best first.
+
+    A user's rows are then in one file or a few, and a query for one user opens only those.
+    The score and the movie are part of the ranges, so a user with very many rows is split.
+    """
+    order = ["user_id", F.desc("recommendation_score"), "movie_id"]
+    write_table_folder(recommendations.repartitionByRange(*order).sortWithinPartitions(*order), path)
+
+
 def refresh_serving(movies: DataFrame, top: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """Write all movies, and those of ``top`` whose movie is among them; return both as written."""
     spark = movies.sparkSession
@@ -35,6 +45,6 @@ def load_als_serving(
     spark = movie_statistics.sparkSession
     write_table_folder(imported_movies(movie_statistics), f"{folder}/{MOVIES}")
     movies = spark.read.parquet(f"{folder}/{MOVIES}")
-    write_table_folder(imported_recommendations(recommendations, movies), f"{folder}/{RECOMMENDATIONS}")
+    write_recommendations(imported_recommendations(recommendations, movies), f"{folder}/{RECOMMENDATIONS}")
     skipped = count_unknown_items(recommendations.withColumnRenamed("movieId", "movie_id"), movies, "movie_id")
     return *read_serving(spark, folder), skipped

@@ -42,6 +42,8 @@ def test_model_beats_the_mean_and_repeats(planted):
     train, test = recommend.train_test_split(df)
     model = recommend.als_fit(train, rank=5, reg=0.01, blocks=2)
     rmse = recommend.als_rmse(model, test)
+    error = recommend.prediction_error(model, test).first()
+    assert error.rmse == pytest.approx(rmse) and 0 < error.rows <= test.count()
     mean = train.agg(F.avg("rating")).first()[0]
     baseline = math.sqrt(test.agg(F.avg(F.pow(F.col("rating") - mean, 2))).first()[0])
     assert rmse < baseline / 3

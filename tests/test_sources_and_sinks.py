@@ -85,6 +85,32 @@ def test_columns_and_filters_reach_the_scan(spark, months):
     assert "ReadSchema: struct<movieId:int,rating:double,is_valid:boolean>" in plan
 
 
+def test_validity_reaches_the_scan(spark, months):
+    plan = final_plan(cleaning.valid_ratings(spark.read.parquet(months)).groupBy("movieId").count())
+    for pushed in ("IsNotNull(userId)", "IsNotNull(timestamp)", "GreaterThanOrEqual(rating,0.5)", "LessThanOrEqual(rating,5.0)"):
+        assert pushed in plan
+
+
+def test_a_users_rows_are_in_one_file(spark, folder):
+    """And a user with a third of all rows is in several."""
+    rest = spark.range(20000).select((F.col("id") % 2000).alias("user_id"), F.col("id").alias("movie_id"))
+    hot = spark.range(10000).select(F.lit(777).cast("long").alias("user_id"), F.col("id").alias("movie_id"))
+    score = (F.col("movie_id") % 10 / 2).alias("recommendation_score")
+    recs = rest.union(hot).select("user_id", "movie_id", score).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sink_serving.write_recommendations(recs, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    placed = spark.read.parquet(folder).select("user_id", "_metadata.file_name")
+    spread = placed.groupBy("user_id").agg(F.count_distinct("file_name").alias("files"))
+    files_of = {r.user_id: r.files for r in spread.collect()}
+    assert files_of.pop(777) > 1
+    assert sum(n == 1 for n in files_of.values()) > 1980
+    plan = final_plan(spark.read.parquet(folder).where("user_id = 5"))
+    assert "EqualTo(user_id,5)" in plan
+
+
 def test_partitions_are_replaced_not_added_to(spark, folder):
     first = cleaning.clean_ratings(spark.createDataFrame([(1, 1, 1.0, 0), (1, 2, 2.0, 5_000_000)], RAW_RATINGS))
     again = cleaning.clean_ratings(spark.createDataFrame([(1, 1, 5.0, 0)], RAW_RATINGS))
@@ -219,19 +245,11 @@ def test_shared_folder_is_the_sessions(spark):
 
 
 def test_shared_folder_without_setting():
-    class Conf(dict):
-        def get(self, key, default=None):
-            return dict.get(self, key, default)
-
-        def set(self, key, value):
-            self[key] = value
-
     class Fake:
         def __init__(self, master):
-            self.conf = Conf()
+            self.conf = {}
             self.sparkContext = type("C", (), {"master": master})
 
-    local = Fake("local[2]")
-    assert shared_folder(local) == shared_folder(local)
+    assert shared_folder(Fake("local[2]")) == shared_folder(Fake("local[*]"))
     with pytest.raises(ValueError):
         shared_folder(Fake("yarn"))
