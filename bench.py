@@ -45,7 +45,7 @@ HEADLINE = [
 ]
 
 
-REPEAT_BELOW = 6
+REPEAT_BELOW = 15
 
 
 def timed(run, spark, sf_dir):

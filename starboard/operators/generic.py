@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -30,37 +30,33 @@ def trim_strings(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.trim(F.col(c)) for c in string_columns(df)})
 
 
-@dataclass
-class Cleaned:
-    """The cleaned rows, and counts that are there once an action has run on them."""
-
-    df: DataFrame
-    before: Observation
-    distinct: Observation
-    after: Observation
+def clean_any(df: DataFrame) -> DataFrame:
+    """Duplicates out, empty rows out, missing strings 'Unknown', strings trimmed - in that order.
 
-    def counts(self) -> dict[str, int]:
-        """Waits for the action. Row counts at three points of the one pass, and columns."""
-        before, distinct, after = (o.get["rows"] for o in (self.before, self.distinct, self.after))
-        return {
-            "input_rows": before,
-            "duplicates_removed": before - distinct,
-            "empty_rows_removed": distinct - after,
-            "output_rows": after,
-            "columns": len(self.df.columns),
-        }
+    So rows that are equal only once trimmed stay apart, and blank strings become ''.
+    """
+    return trim_strings(fill_unknown(drop_all_null(drop_duplicate_rows(df))))
 
 
-def clean_any(df: DataFrame) -> Cleaned:
-    """Duplicates out, empty rows out, missing strings 'Unknown', strings trimmed - in that order.
+def clean_counts(df: DataFrame) -> DataFrame:
+    """One row: what ``clean_any`` reads, removes and returns.
 
-    So rows that are equal only once trimmed stay apart, and blank strings become ''.
+    An aggregate of its own and not counters beside the cleaning: those would count again the
+    rows of a task that runs twice because its executor was lost.
     """
-    before, distinct, after = Observation(), Observation(), Observation()
-    rows = F.count(F.lit(1)).alias("rows")
-    unique = drop_duplicate_rows(df.observe(before, rows)).observe(distinct, rows)
-    cleaned = trim_strings(fill_unknown(drop_all_null(unique))).observe(after, rows)
-    return Cleaned(cleaned, before, distinct, after)
+    empty = reduce(Column.__and__, [F.col(c).isNull() for c in df.columns])
+    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    return groups.agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("input_rows"),
+        F.count(F.lit(1)).alias("distinct_rows"),
+        F.count_if(empty).alias("empty_rows_removed"),
+    ).select(
+        "input_rows",
+        (F.col("input_rows") - F.col("distinct_rows")).alias("duplicates_removed"),
+        "empty_rows_removed",
+        (F.col("distinct_rows") - F.col("empty_rows_removed")).alias("output_rows"),
+        F.lit(len(df.columns)).alias("column_number"),
+    )
 
 
 def map_to_recommendation(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:

@@ -110,7 +110,8 @@ def measured_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Mark the side for broadcast only when its measured size is within the limit.
 
-    Beyond it the side is returned as it is, and Spark shuffles both.
+    Beyond it the side is returned as it is, and Spark shuffles both. Measuring reads the side
+    once more, so a costly one should be a written table.
     """
     return F.broadcast(df) if measured_bytes(df) <= limit else df
 

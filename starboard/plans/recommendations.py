@@ -115,7 +115,7 @@ def generic_clean_load(
 
     ``jdbc`` holds ``url``, ``table`` and ``properties``.
     """
-    result = map_to_recommendation(clean_any(read_csv(spark, path)).df, mapping)
+    result = map_to_recommendation(clean_any(read_csv(spark, path)), mapping)
     if jdbc:
         write_jdbc(result, jdbc["url"], jdbc["table"], jdbc.get("properties"))
     return result

@@ -45,7 +45,22 @@ WHERE "movieId" IS NOT NULL OR title IS NOT NULL OR genres IS NOT NULL
     ),
 )
 def clean_any(spark, sf):
-    return generic.clean_any(inputs.raw_movies(spark, sf)).df
+    return generic.clean_any(inputs.raw_movies(spark, sf))
+
+
+@query(
+    "clean_counts",
+    """
+SELECT (SELECT count(*) FROM raw_ratings) AS input_rows,
+       (SELECT count(*) FROM raw_ratings) - count(*) AS duplicates_removed,
+       count(*) FILTER (WHERE "userId" IS NULL AND rating IS NULL) AS empty_rows_removed,
+       count(*) FILTER (WHERE "userId" IS NOT NULL OR rating IS NOT NULL) AS output_rows,
+       2 AS column_number
+FROM (SELECT DISTINCT "userId", rating FROM raw_ratings) d
+""",
+)
+def clean_counts(spark, sf):
+    return generic.clean_counts(inputs.raw_ratings(spark, sf).select("userId", "rating"))
 
 
 @query(

@@ -3,6 +3,8 @@
 from starboard.operators import joins, serving, stats
 from starboard.registry import inputs, query, r6
 from starboard.registry.ranking import TOP_HAVING
+from starboard.session import new_folder
+from starboard.sinks.files import write_table_folder
 
 
 @query(
@@ -116,7 +118,9 @@ FROM known_movies m LEFT JOIN stats s ON m."movieId" = s."movieId"
 """,
 )
 def join_broadcast_hint(spark, sf):
-    joined = joins.join_broadcast_hint(inputs.known_movies(spark, sf), inputs.item_stats(spark, sf))
+    folder = new_folder(spark, "item_stats")
+    write_table_folder(inputs.item_stats(spark, sf), folder)
+    joined = joins.join_broadcast_hint(inputs.known_movies(spark, sf), spark.read.parquet(folder))
     return joined.select("movieId", "title", r6("avg_rating"), "rating_count")
 
 

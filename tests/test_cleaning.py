@@ -95,20 +95,21 @@ def test_one_row_per_item_is_the_first(spark):
 
 def test_clean_any_order_and_counts(spark):
     data = [(" a ", 1), ("a", 1), ("a", 1), (None, None), (None, None), ("  ", 2), (None, 3)]
-    cleaned = generic.clean_any(spark.createDataFrame(data, "s string, n int"))
-    assert sorted(tuple(r) for r in cleaned.df.collect()) == [("", 2), ("Unknown", 3), ("a", 1), ("a", 1)]
-    assert cleaned.counts() == {
+    df = spark.createDataFrame(data, "s string, n int")
+    assert rows(generic.clean_any(df)) == [("", 2), ("Unknown", 3), ("a", 1), ("a", 1)]
+    assert generic.clean_counts(df).first().asDict() == {
         "input_rows": 7,
         "duplicates_removed": 2,
         "empty_rows_removed": 1,
         "output_rows": 4,
-        "columns": 2,
+        "column_number": 2,
     }
+    assert tuple(generic.clean_counts(df.limit(0)).first()) == (0, 0, 0, 0, 2)
 
 
 def test_clean_any_without_strings(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 2.0), (None, None)], "a int, b double")
-    assert rows(generic.clean_any(df).df) == [(1, 2.0)]
+    assert rows(generic.clean_any(df)) == [(1, 2.0)]
 
 
 def test_map_to_recommendation(spark):
