@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from starboard.operators.cleaning import dedup_latest, one_row_per_item, valid_ratings
 from starboard.operators.generic import clean_any, map_to_recommendation
-from starboard.operators.joins import recommendations_with_movies, with_stats
+from starboard.operators.joins import broadcast_if_small, recommendations_with_movies, with_stats
 from starboard.operators.ranking import bayesian_top_n, top_rated_simple
 from starboard.operators.recommend import als_fit, als_recommend_all, als_rmse, train_test_split
 from starboard.operators.serving import prepare_serving_frames, serving_movies
@@ -92,7 +92,7 @@ def personalised_recommendations(
     )
     train, test = train_test_split(spark.read.parquet(f"{folder}/training_ratings"))
     model = als_fit(train, **als)
-    recommendations = recommendations_with_movies(als_recommend_all(model, k), movies)
+    recommendations = recommendations_with_movies(als_recommend_all(model, k), broadcast_if_small(movies))
     write_table_folder(recommendations, f"{folder}/user_recommendations_table")
     written = spark.read.parquet(f"{folder}/user_recommendations_table")
     write_user_range(written, f"{folder}/user_recommendations", last_user)

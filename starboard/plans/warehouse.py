@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starboard.operators.cleaning import clean_movies, clean_ratings, one_row_per_item
 from starboard.operators.quality import (
@@ -12,6 +14,7 @@ from starboard.operators.quality import (
     movie_quality,
     quality_summary,
     rating_quality,
+    ratings_by_month,
     verification_report,
 )
 from starboard.operators.ranking import bayesian_top_n, genre_top_k
@@ -26,7 +29,7 @@ from starboard.sinks.tables import (
     overwrite_table,
     table_folder,
 )
-from starboard.sources.catalog import valid_table, verify_catalog
+from starboard.sources.catalog import latest_months, valid_table, verify_catalog
 
 
 @dataclass
@@ -38,6 +41,16 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return self.spark.table(f"{self.database}.{name}")
 
+    def ratings_by_month(self, n: int = 20) -> DataFrame:
+        """The latest n months; the catalogue names them, so no other month is read."""
+        months = latest_months(self.spark, f"{self.database}.cleaned_ratings", n)
+        wanted = reduce(
+            Column.__or__,
+            [(F.col("rating_year") == y) & (F.col("rating_month") == m) for y, m in months],
+            F.lit(False),
+        )
+        return ratings_by_month(self.table("cleaned_ratings").where(wanted), n)
+
     def verification(self) -> DataFrame:
         checks = verify_catalog(self.spark, self.database, list(TABLES))
         return checks.unionByName(

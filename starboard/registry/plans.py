@@ -52,6 +52,18 @@ def warehouse_build(spark, sf):
     return report.where(~F.col("category").isin("Database", "Table"))
 
 
+@query(
+    "warehouse_months",
+    """
+SELECT rating_year, rating_month, count(*) AS rating_count, count(DISTINCT "userId") AS unique_users,
+       round(avg(rating), 6) AS avg_rating
+FROM cleaned_ratings GROUP BY rating_year, rating_month ORDER BY rating_year DESC, rating_month DESC LIMIT 20
+""",
+)
+def warehouse_months(spark, sf):
+    return warehouse(spark, sf).ratings_by_month(20).withColumn("avg_rating", r6("avg_rating"))
+
+
 @query("csv_recommendations", TOP.format(movies="known_movies", stats=RAW_STATS.format(ratings="raw_ratings")))
 def csv_recommendations(spark, sf):
     result = jobs.csv_recommendations(

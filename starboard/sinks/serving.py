@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starboard.functions.text import genres_label
-from starboard.operators.joins import count_unknown_items
+from starboard.operators.joins import broadcast_if_small, count_unknown_items
 from starboard.operators.serving import imported_movies, imported_recommendations, recommendations_of_known
 from starboard.sinks.files import write_table_folder
 
@@ -45,6 +45,7 @@ def load_als_serving(
     spark = movie_statistics.sparkSession
     write_table_folder(imported_movies(movie_statistics), f"{folder}/{MOVIES}")
     movies = spark.read.parquet(f"{folder}/{MOVIES}")
-    write_recommendations(imported_recommendations(recommendations, movies), f"{folder}/{RECOMMENDATIONS}")
+    averages = broadcast_if_small(movies.select("movie_id", "avg_rating"))
+    write_recommendations(imported_recommendations(recommendations, averages), f"{folder}/{RECOMMENDATIONS}")
     skipped = count_unknown_items(recommendations.withColumnRenamed("movieId", "movie_id"), movies, "movie_id")
     return *read_serving(spark, folder), skipped

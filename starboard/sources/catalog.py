@@ -39,6 +39,14 @@ def partitions(spark: SparkSession, table: str) -> DataFrame:
     return spark.sql(f"SHOW PARTITIONS {table}")
 
 
+def latest_months(spark: SparkSession, table: str, n: int) -> list[tuple[int, int]]:
+    """The n latest (year, month) of a table partitioned by them, from the catalogue alone."""
+    number = lambda key: F.regexp_extract("partition", rf"{key}=(\d+)", 1).try_cast("int").alias(key)
+    months = partitions(spark, table).select(number("rating_year"), number("rating_month")).dropna()
+    latest = months.orderBy(F.desc("rating_year"), F.desc("rating_month")).limit(n)
+    return [tuple(r) for r in latest.collect()]
+
+
 def repair_partitions(spark: SparkSession, table: str) -> None:
     """Tell the catalogue of partition folders that were written past it."""
     spark.catalog.recoverPartitions(table)

@@ -2,10 +2,11 @@ import math
 
 import numpy as np
 import pytest
-from conftest import SMALL, rows
+from conftest import SMALL, final_plan, rows
 from pyspark.sql import functions as F
 
 from starboard.operators import recommend
+from starboard.operators.quality import ratings_by_month
 from starboard.plans import recommendations as jobs
 from starboard.plans import warehouse as wh
 from starboard.registry import inputs
@@ -120,6 +121,11 @@ def test_a_second_warehouse_build_changes_nothing(spark, tmp_path):
     assert ("Database", "PASS") in statuses and ("Table", "PASS") in statuses and ("Table", "FAIL") not in statuses
     compared = {r.description: r.record_count for r in second.comparison().collect()}
     assert compared["Ratings - Before Cleaning"] > compared["Ratings - After Cleaning"]
+    months = second.ratings_by_month(3)
+    assert rows(months) == rows(ratings_by_month(second.table("cleaned_ratings"), 3))
+    plan = final_plan(months)
+    filters = plan[plan.index("PartitionFilters") : plan.index("PushedFilters")]
+    assert filters.count("rating_month = ") == 3
     result = wh.warehouse_recommendations(spark, "twice", str(tmp_path / "recs"), m=20, n=5, genre_m=20, genre_k=3)
     assert result["top_movies"].count() == 5
     assert result["genre_recommendations"].agg(F.max("rank")).first()[0] <= 3
