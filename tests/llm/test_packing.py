@@ -1,0 +1,97 @@
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from plain import no_documents, odd_documents, odd_rows
+from tokenizers import Tokenizer
+
+from starboard.llm.packing import OpenBins, pack_documents
+from starboard.llm.queries import tokenizer_file
+from starboard.llm.word_bpe import WordBpe
+
+PATH = tokenizer_file("word_bpe_49k.json")
+REAL = Tokenizer.from_file(PATH)
+REAL.encode_special_tokens = True
+OURS = WordBpe(PATH, remembered=1000)
+
+
+def real_ids(text):
+    return b"".join(i.to_bytes(4, "little") for i in REAL.encode(text, add_special_tokens=False).ids)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aAbé ÉßſÿÀ'stveld09²½,.-_<|>́̇İΣςK\x0b\x85\xa0 \t\n中😀ñ"), max_size=40))
+def test_ids_of_odd_texts(text):
+    assert OURS.ids(text) == real_ids(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=30))
+def test_ids_of_any_text(text):
+    assert OURS.ids(text) == real_ids(text)
+
+
+def test_ids_of_documents():
+    for r in odd_rows():
+        assert OURS.ids(r[1]) == real_ids(r[1] or "")
+
+
+def test_best_fit_against_a_plain_search():
+    dice, bins, free, opened = random.Random(2), OpenBins(50, 8, 0), {}, 0
+    for _ in range(2000):
+        length = dice.randrange(1, 51)
+        best = min((f for f in free.values() if f >= length), default=None)
+        if best is None and len(free) >= 8:
+            free.pop(min(free, key=free.get))
+        found, offset = bins.place(length)
+        if best is None:
+            assert (found, offset) == (opened, 0)
+            opened, free[found] = opened + 1, 50
+        else:
+            assert free.get(found, best) == best and offset == 50 - best
+            # bins that are equally full are alike
+            if found not in free:
+                twin = next(b for b, f in free.items() if f == best)
+                free[found] = free.pop(twin)
+        free[found] -= length
+        if not free[found]:
+            del free[found]
+        assert bins.open == len(free) <= 8
+
+
+@pytest.mark.parametrize("partitions", [1, 4])
+@pytest.mark.parametrize("tokens", [16, 2048])
+def test_pieces_make_up_documents_and_sequences(spark, partitions, tokens):
+    docs = odd_documents(spark).repartition(partitions)
+    pieces = pack_documents(docs, PATH, tokens=tokens, look_ahead=10, open_bins=3).collect()
+    texts, sequences, by_doc = sorted(real_ids(r[1] or "") + bytes(4) for r in odd_rows()), {}, {}
+    for p in pieces:
+        assert p["length"] == len(p["ids"]) // 4 <= tokens and p["start"] == p["piece"] * tokens
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+        by_doc.setdefault(p["doc_id"], []).append(p)
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= tokens
+    rebuilt = []
+    for found in by_doc.values():
+        copies = sum(p["piece"] == 0 for p in found)
+        found.sort(key=lambda p: p["piece"])
+        whole = b"".join(bytes(p["ids"]) for p in found[::copies])
+        rebuilt += [whole] * copies
+        assert all(p["length"] == tokens for p in found if p["piece"] < len(found) // copies - 1)
+    assert sorted(rebuilt) == texts
+
+
+def test_no_documents(spark):
+    assert pack_documents(no_documents(spark), PATH).collect() == []
+
+
+def test_nearly_as_few_sequences_as_there_can_be(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = pack_documents(docs, PATH).select("sequence_id", "length").collect()
+    least = -(-sum(p["length"] for p in pieces) // 2048)
+    assert len({p["sequence_id"] for p in pieces}) <= 1.01 * least
