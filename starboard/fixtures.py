@@ -68,6 +68,12 @@ def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def loose_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings of which those without a user are empty rows, so that there are whole empty and whole repeated rows."""
+    raw = raw_ratings(spark, sf_dir)
+    return raw.select(*(F.when(F.col("userId").isNotNull(), F.col(c)).alias(c) for c in raw.columns))
+
+
 def recommendation_lists(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """Each user's k best-rated items as array<struct<movieId:int, rating:float>>.
 
@@ -80,7 +86,8 @@ def recommendation_lists(spark: SparkSession, sf_dir: str, k: int = 10) -> DataF
         ratings.withColumn("position", F.row_number().over(best))
         .where(F.col("position") <= k)
         .groupBy("userId")
-        .agg(F.collect_list(F.struct("movieId", F.col("rating").cast("float").alias("rating"))).alias("recommendations"))
+        .agg(F.sort_array(F.collect_list(F.struct("position", "movieId", F.col("rating").cast("float").alias("rating")))).alias("r"))
+        .select("userId", F.transform("r", lambda x: F.struct(x["movieId"].alias("movieId"), x["rating"].alias("rating"))).alias("recommendations"))
     )
 
 

@@ -1,8 +1,8 @@
 """Pages of an ordered list.
 
 ``page_after`` needs the last row of the page before and costs one top-k. ``numbered_page``
-goes to any page: near the start with one top-k, farther in by first finding, from counts
-of value ranges, the row the page starts with.
+goes to any page: from counts of value ranges, narrowed down to about one page, it finds the
+row the page starts with.
 """
 
 from __future__ import annotations
@@ -15,40 +15,45 @@ from pyspark.sql import functions as F
 
 from starboard.schemas import PAGE_SIZE
 
-SHALLOW_ROWS = 100_000
 RANGES = 256
 
 
 @dataclass(frozen=True)
 class Order:
-    """A numeric column without NULLs, and its direction."""
+    """A numeric column and its direction. NULLs come last either way."""
 
     column: str
     descending: bool = False
 
-    def key(self) -> Column:
-        """A value that grows along the order."""
-        return -F.col(self.column) if self.descending else F.col(self.column)
+    def keys(self) -> list[Column]:
+        """Values without NULLs that grow along the order."""
+        value = -F.col(self.column) if self.descending else F.col(self.column)
+        return [F.col(self.column).isNull().cast("int"), F.coalesce(value, F.lit(0))]
 
+    def places(self, value) -> list:
+        """The keys of a value."""
+        return [1, 0] if value is None else [0, -value if self.descending else value]
 
-def _beyond(order: list[Order], values: list, inclusive: bool) -> Column:
-    """Rows that come after the row with these order values, or with it if ``inclusive``."""
-    beyond = F.lit(inclusive)
-    for o, value in reversed(list(zip(order, values, strict=True))):
-        bound = F.lit(-value if o.descending else value)
-        beyond = (o.key() > bound) | ((o.key() == bound) & beyond)
-    return beyond
 
+def all_keys(order: list[Order]) -> list[Column]:
+    return [key for o in order for key in o.keys()]
 
-def _first(df: DataFrame, order: list[Order], size: int) -> DataFrame:
-    return df.orderBy(*[o.key() for o in order]).limit(size)
+
+def _beyond(keys: list[Column], places: list, inclusive: bool) -> Column:
+    """Rows that come after the row with these keys, or with it if ``inclusive``."""
+    beyond = F.lit(inclusive)
+    for key, place in reversed(list(zip(keys, places, strict=True))):
+        beyond = (key > F.lit(place)) | ((key == F.lit(place)) & beyond)
+    return beyond
 
 
 def page_after(df: DataFrame, order: list[Order], last: list | None, size: int = PAGE_SIZE) -> DataFrame:
     """The ``size`` rows that follow the row whose order values are ``last`` (None: the first page)."""
+    keys = all_keys(order)
     if last is not None:
-        df = df.where(_beyond(order, last, inclusive=False))
-    return _first(df, order, size)
+        places = [p for o, value in zip(order, last, strict=True) for p in o.places(value)]
+        df = df.where(_beyond(keys, places, inclusive=False))
+    return df.orderBy(*keys).limit(size)
 
 
 def clamp_page(page, rows: int, size: int = PAGE_SIZE) -> int:
@@ -61,41 +66,41 @@ def clamp_page(page, rows: int, size: int = PAGE_SIZE) -> int:
     return number if 1 <= number <= last else last
 
 
-def _narrow(df: DataFrame, key: Column, offset: int) -> tuple[DataFrame, int, bool]:
-    """The range of ``key`` with the row at ``offset``, the offset in it, and if it is a single value."""
+def _ranges(df: DataFrame, key: Column) -> tuple[Column, list[tuple[int, int]]]:
+    """The number of a row's range of ``key`` values, and the rows of each range, in order.
+
+    Each cut is a range of its own (odd numbers), and so is what lies between two cuts (even
+    ones). Cuts are values that occur, so every range is smaller than the whole or one value.
+    """
     steps = [i / RANGES for i in range(1, RANGES)]
-    cuts = sorted(set(df.select(F.percentile_approx(key, steps)).first()[0]))
-    # Each cut is a range of its own (odd numbers), and so is what lies between two cuts (even
-    # ones). Cuts are values that occur, so every range is smaller than the whole or one value.
+    cuts = sorted(set(df.select(F.percentile_approx(key, steps)).first()[0] or [0]))
     values = F.array(*[F.lit(c) for c in cuts])
     below, up_to = F.filter(values, lambda c: c < key), F.filter(values, lambda c: c <= key)
     number = F.size(below) + F.size(up_to)
-    for n, rows in sorted(df.groupBy(number.alias("n")).count().collect()):
-        if offset < rows:
-            return df.where(number == n), offset, n % 2 == 1
-        offset -= rows
-    raise IndexError("offset beyond the last row")
+    return number, sorted(tuple(r) for r in df.groupBy(number.alias("n")).count().collect())
 
 
-def _row_at(df: DataFrame, order: list[Order], offset: int, shallow: int) -> list:
-    """The order values of the row at a position.
+def numbered_page(df: DataFrame, order: list[Order], page, size: int = PAGE_SIZE) -> DataFrame:
+    """Page ``page``, counted from 1, of ``df`` in ``order``, whose columns must identify a row.
 
-    Column by column, ranges are narrowed until the position is near a range's start. Only
-    counts of ranges come to the driver, never rows.
+    Key by key, ranges are narrowed until the one that holds the page's first row is no longer
+    than a page or a single value. Only counts of ranges come to the driver; the first of them
+    also give the number of pages.
     """
-    for o in order:
+    keys, rows, left, offset = all_keys(order), df, None, 0
+    for key in keys:
         single = False
-        while offset > shallow and not single:
-            df, offset, single = _narrow(df, o.key(), offset)
-    found = df.orderBy(*[o.key() for o in order]).offset(offset).limit(1)
-    return list(found.select(*[o.column for o in order]).first())
-
-
-def numbered_page(
-    df: DataFrame, order: list[Order], page, size: int = PAGE_SIZE, shallow: int = SHALLOW_ROWS
-) -> DataFrame:
-    """Page ``page``, counted from 1, of ``df`` in ``order``, whose columns must identify a row."""
-    offset = (clamp_page(page, df.count(), size) - 1) * size
-    if offset <= shallow:
-        return df.orderBy(*[o.key() for o in order]).offset(offset).limit(size)
-    return _first(df.where(_beyond(order, _row_at(df, order, offset, shallow), inclusive=True)), order, size)
+        while not single and (left is None or left > size):
+            number, counts = _ranges(rows, key)
+            if left is None:
+                left = sum(count for _, count in counts)
+                offset = (clamp_page(page, left, size) - 1) * size
+            if not left:
+                return df.limit(0)
+            for n, left in counts:
+                if offset < left:
+                    break
+                offset -= left
+            rows, single = rows.where(number == n), n % 2 == 1
+    first = rows.orderBy(*keys).offset(offset).limit(1).select(*keys).first()
+    return df.where(_beyond(keys, list(first), inclusive=True)).orderBy(*keys).limit(size)

@@ -5,39 +5,31 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starboard.session import ensure_checkpoint_dir
 from starboard.schemas import ALS_ITERATIONS, ALS_RANK, ALS_REGULARISATION, SEED, TRAIN_SHARE
 
 BUCKETS = 10_000
-RATINGS_PER_BLOCK = 5_000_000
-MIN_RATINGS_PER_BLOCK = 100_000
-MAX_BLOCKS = 200
+BLOCKS = 10
 
 
-def train_test_split(
-    ratings: DataFrame, train_share: float = TRAIN_SHARE, seed: int = SEED, user="userId", item="movieId"
-) -> tuple[DataFrame, DataFrame]:
-    """Split by a hash of (user, item), so a row's side never depends on how rows are spread.
-
-    A lost executor's rows therefore come back on the same side, and copies of a pair are
-    never in both.
-    """
+def in_training(train_share: float = TRAIN_SHARE, seed: int = SEED, user="userId", item="movieId") -> Column:
+    """Whether a row is for training, by a hash of (user, item), so never by how rows are spread."""
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(user), F.col(item)), F.lit(BUCKETS))
-    edge = round(train_share * BUCKETS)
-    return ratings.where(bucket < edge), ratings.where(bucket >= edge)
+    return bucket < round(train_share * BUCKETS)
 
 
-def block_count(rows: int, cores: int) -> int:
-    """Blocks for the users and for the items: enough for the rows, and for the cores where rows allow.
+def train_test_split(
+    ratings: DataFrame, train_share: float = TRAIN_SHARE, seed: int = SEED, user="userId", item="movieId"
+) -> tuple[DataFrame, DataFrame]:
+    """Rows for training and for testing.
 
-    Ratings are cut into the square of this number, so it stays bounded.
+    A lost executor's rows come back on the same side, and copies of a pair are never in both.
     """
-    for_rows = -(-rows // RATINGS_PER_BLOCK)
-    for_cores = min(cores, rows // MIN_RATINGS_PER_BLOCK)
-    return max(2, min(MAX_BLOCKS, max(for_rows, for_cores)))
+    training = in_training(train_share, seed, user, item)
+    return ratings.where(training), ratings.where(~training)
 
 
 def als_fit(
@@ -46,7 +38,7 @@ def als_fit(
     max_iter: int = ALS_ITERATIONS,
     reg: float = ALS_REGULARISATION,
     seed: int = SEED,
-    blocks: int | None = None,
+    blocks: int = BLOCKS,
     user="userId",
     item="movieId",
     value="rating",
@@ -55,13 +47,16 @@ def als_fit(
 
     One row for each pair also bounds what a hot item brings to one block by the number of
     users. Factors are checkpointed every ten iterations in the session's shared folder.
+
+    ``blocks`` cuts the users and the items, and the ratings into its square. The starting
+    factors follow the blocks, so the same model needs the same number on every cluster; it
+    depends on neither rows nor cores. Choose it so that the ratings of one block, rows / blocks,
+    fit into a task's memory: about one block for each 5 million ratings.
     """
     spark = ratings.sparkSession
     ensure_checkpoint_dir(spark)
     training = ratings.select(user, item, value).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if blocks is None:
-            blocks = block_count(training.count(), spark.sparkContext.defaultParallelism)
         als = ALS(
             rank=rank,
             maxIter=max_iter,
@@ -99,7 +94,11 @@ def explode_recommendations(lists: DataFrame, user="userId", item="movieId") ->
 
 
 def als_recommend_all(model: ALSModel, k: int = 10) -> DataFrame:
-    """The best k items of every user in the model."""
+    """The best k items of every user in the model.
+
+    Every user is scored with every item, as exact lists need: the work is users x items. For
+    fewer users take ``als_recommend_users``.
+    """
     return explode_recommendations(model.recommendForAllUsers(k))
 
 

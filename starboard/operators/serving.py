@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from starboard.functions.text import genre_matches, genres_label, split_genres, year_label
 from starboard.operators.joins import known_items, with_stats_filled
-from starboard.operators.paging import Order, numbered_page, page_after
+from starboard.operators.cleaning import one_row_per_item
+from starboard.operators.paging import Order, all_keys, numbered_page, page_after
 from starboard.schemas import PAGE_SIZE
 
 
@@ -44,7 +45,7 @@ def prepare_serving_frames(movies: DataFrame, stats: DataFrame, top: DataFrame)
 
 def imported_movies(movie_statistics: DataFrame) -> DataFrame:
     """Serving movies from a statistics file: one row for each id, no NULL genres."""
-    return movie_statistics.select(
+    return one_row_per_item(movie_statistics).select(
         F.col("movieId").alias("movie_id"),
         "title",
         genres_label(F.col("genres")).alias("genres"),
@@ -119,7 +120,7 @@ def movies_in_order(movies: DataFrame) -> DataFrame:
 
 
 def recommendations_in_order(recommendations: DataFrame) -> DataFrame:
-    return recommendations.orderBy(*[o.key() for o in score_order(recommendations)])
+    return recommendations.orderBy(*all_keys(score_order(recommendations)))
 
 
 def dashboard_top(recommendations: DataFrame, movies: DataFrame, n: int = 10) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from starboard.operators.cleaning import dedup_latest, one_row_per_item, valid_ratings
 from starboard.operators.generic import clean_any, map_to_recommendation
-from starboard.operators.joins import broadcast_if_small, recommendations_with_movies, with_stats
+from starboard.operators.joins import recommendations_with_movies, with_stats
 from starboard.operators.ranking import bayesian_top_n, top_rated_simple
 from starboard.operators.recommend import als_fit, als_recommend_all, als_rmse, train_test_split
 from starboard.operators.serving import prepare_serving_frames, serving_movies
-from starboard.operators.stats import item_stats, most_active_users, most_rated_items, rating_distribution
+from starboard.operators.stats import item_stats, most_active_users, rating_distribution
 from starboard.schemas import TOP_MIN_RATINGS, TOP_N
-from starboard.sinks.files import write_csv, write_table_folder, write_user_range
+from starboard.sinks.files import write_csv, write_table_folder
 from starboard.sinks.jdbc import write_jdbc
 from starboard.sinks.serving import refresh_serving
 from starboard.sources.files import read_csv, read_movies, read_ratings
@@ -25,10 +25,10 @@ def _known_movies(movies: DataFrame) -> DataFrame:
     return one_row_per_item(movies.where(F.col("movieId").isNotNull()))
 
 
-def _written_stats(spark: SparkSession, ratings: DataFrame, folder: str) -> DataFrame:
-    """Item statistics as a table, so that ranking and serving do not each scan the ratings."""
-    write_table_folder(item_stats(ratings), f"{folder}/item_stats")
-    return spark.read.parquet(f"{folder}/item_stats")
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a table: who reads them again does not compute them again."""
+    write_table_folder(df, path)
+    return df.sparkSession.read.parquet(path)
 
 
 def csv_recommendations(
@@ -45,9 +45,10 @@ def csv_recommendations(
     ``jdbc`` holds ``url`` and ``properties`` of the database that gets the movies.
     """
     movies = _known_movies(read_movies(spark, f"{data_folder}/movies.csv"))
-    stats = _written_stats(spark, read_ratings(spark, f"{data_folder}/ratings.csv"), folder)
-    top = bayesian_top_n(movies, stats, m, n)
-    movie_frame, top_frame = prepare_serving_frames(movies, stats, top)
+    stats = written(item_stats(read_ratings(spark, f"{data_folder}/ratings.csv")), f"{folder}/item_stats")
+    frames = prepare_serving_frames(movies, stats, bayesian_top_n(movies, stats, m, n))
+    movie_frame = written(frames[0], f"{folder}/movies")
+    top_frame = written(frames[1], f"{folder}/recommendations")
     if csv:
         write_csv(movie_frame, f"{folder}/movies_processed")
         write_csv(top_frame, f"{folder}/recommendations_processed")
@@ -61,7 +62,7 @@ def serving_refresh(
 ) -> tuple[DataFrame, DataFrame]:
     """movies.csv and ratings.csv to refilled serving tables."""
     movies = _known_movies(read_movies(spark, f"{data_folder}/movies.csv"))
-    stats = _written_stats(spark, read_ratings(spark, f"{data_folder}/ratings.csv"), folder)
+    stats = written(item_stats(read_ratings(spark, f"{data_folder}/ratings.csv")), f"{folder}/item_stats")
     return refresh_serving(serving_movies(movies, stats), bayesian_top_n(movies, stats, m, n), folder)
 
 
@@ -73,38 +74,34 @@ def movie_statistics(movies: DataFrame, ratings: DataFrame) -> DataFrame:
 
 
 def personalised_recommendations(
-    movies: DataFrame, ratings: DataFrame, folder: str, k: int = 10, last_user: int = 1000, **als
+    movies: DataFrame, ratings: DataFrame, folder: str, k: int = 10, popular: int = 10, **als
 ) -> dict[str, DataFrame | ALSModel | float]:
-    """Analyse, train, evaluate and recommend; lists and statistics are written as CSV.
+    """Analyse, train, evaluate and recommend for every user; lists and statistics are written as CSV.
 
-    Ratings come from CSV or from cleaned tables; only valid ones, and of repeated pairs the
-    latest, go into training.
+    Movies and ratings come from CSV or from cleaned tables; only valid ratings, and of repeated
+    pairs the latest, go into training. The full lists cost users x items (see
+    ``als_recommend_all``).
     """
-    spark = ratings.sparkSession
-    movies = _known_movies(movies)
-    write_table_folder(movie_statistics(movies, ratings), f"{folder}/movie_statistics_table")
-    statistics = spark.read.parquet(f"{folder}/movie_statistics_table")
+    movies = written(_known_movies(movies), f"{folder}/known_movies")
+    ratings = written(ratings.select("userId", "movieId", "rating", "timestamp"), f"{folder}/ratings")
+    statistics = written(movie_statistics(movies, ratings), f"{folder}/movie_statistics_table")
     write_csv(statistics, f"{folder}/movie_statistics")
-    # Training rows and lists are costly and read more than once: written, not recomputed.
-    write_table_folder(
-        dedup_latest(valid_ratings(ratings.select("userId", "movieId", "rating", "timestamp"))),
-        f"{folder}/training_ratings",
-    )
-    train, test = train_test_split(spark.read.parquet(f"{folder}/training_ratings"))
+    train, test = train_test_split(written(dedup_latest(valid_ratings(ratings)), f"{folder}/training_ratings"))
     model = als_fit(train, **als)
-    recommendations = recommendations_with_movies(als_recommend_all(model, k), broadcast_if_small(movies))
-    write_table_folder(recommendations, f"{folder}/user_recommendations_table")
-    written = spark.read.parquet(f"{folder}/user_recommendations_table")
-    write_user_range(written, f"{folder}/user_recommendations", last_user)
+    lists = written(als_recommend_all(model, k), f"{folder}/lists")
+    recommendations = written(recommendations_with_movies(lists, movies), f"{folder}/user_recommendations_table")
+    write_csv(recommendations, f"{folder}/user_recommendations")
+    best_known = statistics.orderBy(F.desc("rating_count"), "movieId").limit(popular)
     return {
         "distribution": rating_distribution(ratings),
         "active_users": most_active_users(ratings),
-        "popular": most_rated_items(ratings, movies),
+        "popular": best_known.select("movieId", "title", "genres", "rating_count", "avg_rating"),
         "best": top_rated_simple(statistics),
         "statistics": statistics,
         "model": model,
         "rmse": als_rmse(model, test),
-        "recommendations": written,
+        "lists": lists,
+        "recommendations": recommendations,
     }
 
 

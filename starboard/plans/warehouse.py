@@ -20,7 +20,8 @@ from starboard.operators.quality import (
 from starboard.operators.ranking import bayesian_top_n, genre_top_k
 from starboard.operators.stats import item_stats
 from starboard.schemas import GENRE_MIN_RATINGS, GENRE_TOP_K, TOP_MIN_RATINGS, TOP_N
-from starboard.sinks.files import write_csv, write_table_folder
+from starboard.plans.recommendations import written
+from starboard.sinks.files import write_csv
 from starboard.sinks.tables import (
     TABLES,
     append_table,
@@ -74,7 +75,10 @@ class Warehouse:
 def build_warehouse(
     spark: SparkSession, raw_movies: DataFrame, raw_ratings: DataFrame, database: str, folder: str
 ) -> Warehouse:
-    """Upload, create the tables, check the raw data, clean it. A second run gives the same tables."""
+    """Upload, create the tables, check the raw data, clean it.
+
+    A second run replaces every table as a whole, so it depends on its own input only.
+    """
     write_csv(raw_movies, table_folder(folder, "raw_movies"))
     write_csv(raw_ratings, table_folder(folder, "raw_ratings"))
     create_tables(spark, database, folder)
@@ -107,11 +111,10 @@ def warehouse_recommendations(
         ["userId", "movieId", "rating", "rating_date", "timestamp", "is_valid"],
     )
     # Both lists read the statistics; written once, they cost one pass over the ratings.
-    write_table_folder(item_stats(ratings), f"{folder}/item_stats")
-    stats = spark.read.parquet(f"{folder}/item_stats")
+    stats = written(item_stats(ratings), f"{folder}/item_stats")
     known = one_row_per_item(movies)
-    top = bayesian_top_n(known, stats, m, n).drop("genres_array", "is_valid")
-    genres = genre_top_k(known, stats, genre_m, genre_k)
+    top = written(bayesian_top_n(known, stats, m, n).drop("genres_array", "is_valid"), f"{folder}/top_movies_table")
+    genres = written(genre_top_k(known, stats, genre_m, genre_k), f"{folder}/genre_recommendations_table")
     if csv:
         write_csv(top, f"{folder}/top_movies")
         write_csv(genres, f"{folder}/genre_recommendations")

@@ -58,7 +58,7 @@ FROM cleaned_ratings WHERE is_valid
 """,
 )
 def global_counts(spark, sf):
-    counts = stats.global_counts(inputs.cleaned_movies(spark, sf), inputs.cleaned_ratings(spark, sf))
+    counts = stats.global_counts(*inputs.stored_cleaned(spark, sf))
     return counts.withColumn("avg_rating", r6("avg_rating"))
 
 
@@ -239,11 +239,11 @@ def quality_summary(spark, sf):
 @query(
     "before_after_compare",
     f"""
-SELECT 'Movies - Before Cleaning' AS description, count(*) AS record_count, count(DISTINCT "movieId") AS unique_count
+SELECT 'movies' AS table_name, 'raw' AS stage, count(*) AS record_count, count(DISTINCT "movieId") AS unique_count
 FROM raw_movies
-UNION ALL SELECT 'Movies - After Cleaning', count(*), count(DISTINCT "movieId") FROM cleaned_movies
-UNION ALL SELECT 'Ratings - Before Cleaning', count(*), {PAIRS} FROM raw_ratings
-UNION ALL SELECT 'Ratings - After Cleaning', count(*), {PAIRS} FROM cleaned_ratings
+UNION ALL SELECT 'movies', 'cleaned', count(*), count(DISTINCT "movieId") FROM cleaned_movies
+UNION ALL SELECT 'ratings', 'raw', count(*), {PAIRS} FROM raw_ratings
+UNION ALL SELECT 'ratings', 'cleaned', count(*), {PAIRS} FROM cleaned_ratings
 """,
 )
 def before_after_compare(spark, sf):
@@ -256,22 +256,24 @@ def before_after_compare(spark, sf):
 
 
 VERIFICATION = """
-SELECT 'Count' AS category, CASE WHEN n > 0 THEN 'PASS' ELSE 'FAIL' END AS status,
-       CASE WHEN n > 0 THEN concat(t, ': ', n) ELSE concat(t, ' is empty') END AS detail
-FROM (SELECT 'raw_movies' AS t, count(*) AS n FROM raw_movies
-      UNION ALL SELECT 'raw_ratings', count(*) FROM raw_ratings
-      UNION ALL SELECT 'cleaned_movies', count(*) FROM cleaned_movies
-      UNION ALL SELECT 'cleaned_ratings', count(*) FROM cleaned_ratings) c
-UNION ALL
-SELECT 'Quality', CASE WHEN p >= 95 THEN 'PASS' ELSE 'WARN' END, concat(t, ': ', printf('%.2f', p), '% valid')
-FROM (SELECT 'Movies' AS t, CAST(count(*) FILTER (WHERE is_valid) AS DOUBLE) * 100 / count(*) AS p FROM cleaned_movies
-      UNION ALL
-      SELECT 'Ratings', CAST(count(*) FILTER (WHERE is_valid) AS DOUBLE) * 100 / count(*) FROM cleaned_ratings) q
-UNION ALL
-SELECT 'Partitions', 'PASS', concat(count(*), ' partitions found')
-FROM (SELECT DISTINCT rating_year, rating_month FROM cleaned_ratings) d
-UNION ALL SELECT 'Sample', 'PASS', 'Movies sample data OK' FROM cleaned_movies HAVING count(*) FILTER (WHERE is_valid) > 0
-UNION ALL SELECT 'Sample', 'PASS', 'Ratings sample data OK' FROM cleaned_ratings HAVING count(*) > 0
+SELECT "check", table_name, CAST(amount AS DOUBLE) AS amount,
+       CASE WHEN "check" = 'valid_percent' THEN CASE WHEN amount >= 95 THEN 'PASS' ELSE 'WARN' END
+            WHEN amount > 0 THEN 'PASS' ELSE 'FAIL' END AS status
+FROM (
+  SELECT 'rows' AS "check", 'raw_movies' AS table_name, CAST(count(*) AS DOUBLE) AS amount FROM raw_movies
+  UNION ALL SELECT 'rows', 'raw_ratings', count(*) FROM raw_ratings
+  UNION ALL
+  SELECT unnest(['rows', 'valid_rows', 'valid_percent']), 'cleaned_movies',
+         unnest([count(*), count(*) FILTER (is_valid),
+                 CAST(round(CAST(count(*) FILTER (is_valid) * 100.0 / count(*) AS DECIMAL(18, 8)), 2) AS DOUBLE)])
+  FROM cleaned_movies
+  UNION ALL
+  SELECT unnest(['rows', 'valid_rows', 'valid_percent', 'months']), 'cleaned_ratings',
+         unnest([count(*), count(*) FILTER (is_valid),
+                 CAST(round(CAST(count(*) FILTER (is_valid) * 100.0 / count(*) AS DECIMAL(18, 8)), 2) AS DOUBLE),
+                 count(DISTINCT (rating_year, rating_month))])
+  FROM cleaned_ratings
+) f
 """
 
 

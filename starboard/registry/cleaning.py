@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from starboard import fixtures
 from starboard.operators import cleaning, generic
 from starboard.registry import inputs, query
 
@@ -11,9 +12,9 @@ def drop_duplicates(spark, sf):
     return generic.drop_duplicate_rows(inputs.raw_movies(spark, sf))
 
 
-@query("drop_all_null", 'SELECT "userId", rating FROM raw_ratings WHERE "userId" IS NOT NULL OR rating IS NOT NULL')
+@query("drop_all_null", 'SELECT * FROM loose_ratings WHERE coalesce("userId", "movieId", rating, "timestamp") IS NOT NULL')
 def drop_all_null(spark, sf):
-    return generic.drop_all_null(inputs.raw_ratings(spark, sf).select("userId", "rating"))
+    return generic.drop_all_null(fixtures.loose_ratings(spark, sf))
 
 
 @query(
@@ -51,16 +52,16 @@ def clean_any(spark, sf):
 @query(
     "clean_counts",
     """
-SELECT (SELECT count(*) FROM raw_ratings) AS input_rows,
-       (SELECT count(*) FROM raw_ratings) - count(*) AS duplicates_removed,
-       count(*) FILTER (WHERE "userId" IS NULL AND rating IS NULL) AS empty_rows_removed,
-       count(*) FILTER (WHERE "userId" IS NOT NULL OR rating IS NOT NULL) AS output_rows,
-       2 AS column_number
-FROM (SELECT DISTINCT "userId", rating FROM raw_ratings) d
+SELECT (SELECT count(*) FROM loose_ratings) AS input_rows,
+       (SELECT count(*) FROM loose_ratings) - count(*) AS duplicates_removed,
+       count(*) - count(coalesce("userId", "movieId", rating, "timestamp")) AS empty_rows_removed,
+       count(coalesce("userId", "movieId", rating, "timestamp")) AS output_rows,
+       4 AS column_number
+FROM (SELECT DISTINCT * FROM loose_ratings) d
 """,
 )
 def clean_counts(spark, sf):
-    return generic.clean_counts(inputs.raw_ratings(spark, sf).select("userId", "rating"))
+    return generic.clean_counts(fixtures.loose_ratings(spark, sf))
 
 
 @query(

@@ -9,7 +9,7 @@ from starboard import fixtures
 from starboard.operators import cleaning, serving, stats
 from starboard.operators.recommend import explode_recommendations
 from starboard.schemas import RAW_MOVIES, RAW_RATINGS
-from starboard.session import new_folder
+from starboard.session import prepared
 from starboard.sinks.files import write_table_folder
 from starboard.sinks.serving import write_recommendations
 
@@ -71,13 +71,27 @@ def serving_recommendations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_serving(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Movies and recommendations read from written tables, as pages of them are."""
-    folder = new_folder(spark, "serving")
-    write_table_folder(serving_movies(spark, sf), f"{folder}/movies")
-    movies = spark.read.parquet(f"{folder}/movies")
-    found = serving.imported_recommendations(recommendations(spark, sf), movies)
-    write_recommendations(found, f"{folder}/recommendation_data")
-    return movies, spark.read.parquet(f"{folder}/recommendation_data")
+    """Movies and recommendations as written tables, made once for each session and source."""
+
+    def write(folder: str) -> None:
+        write_table_folder(serving_movies(spark, sf), f"{folder}/movies")
+        movies = spark.read.parquet(f"{folder}/movies")
+        found = serving.imported_recommendations(recommendations(spark, sf), movies)
+        write_recommendations(found, f"{folder}/recommendation_data")
+
+    folder = prepared(spark, "serving", sf, write)
+    return spark.read.parquet(f"{folder}/movies"), spark.read.parquet(f"{folder}/recommendation_data")
+
+
+def stored_cleaned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Cleaned movies and ratings as written tables, made once for each session and source."""
+
+    def write(folder: str) -> None:
+        write_table_folder(cleaned_movies(spark, sf), f"{folder}/movies")
+        write_table_folder(cleaned_ratings(spark, sf), f"{folder}/ratings")
+
+    folder = prepared(spark, "cleaned", sf, write)
+    return spark.read.parquet(f"{folder}/movies"), spark.read.parquet(f"{folder}/ratings")
 
 
 def raw_dataset(spark: SparkSession, sf: str) -> DataFrame:

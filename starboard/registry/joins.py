@@ -54,11 +54,10 @@ def join_fact_dim_group(spark, sf):
 @query(
     "join_left_as_inner",
     """
-SELECT m."movieId", m.title, m.year, count(r.rating) AS rating_count, round(avg(r.rating), 6) AS avg_rating
-FROM cleaned_movies m LEFT JOIN cleaned_ratings r ON m."movieId" = r."movieId"
-WHERE m.is_valid AND r.is_valid
-GROUP BY m."movieId", m.title, m.year HAVING count(r.rating) >= 30
-ORDER BY avg(r.rating) DESC, m."movieId" LIMIT 10
+SELECT "movieId", title, year, CAST(sum(n) AS BIGINT) AS rating_count, round(sum(total) / sum(n), 6) AS avg_rating
+FROM (SELECT * FROM cleaned_movies WHERE is_valid) m
+JOIN (SELECT "movieId", count(rating) AS n, sum(rating) AS total FROM cleaned_ratings WHERE is_valid GROUP BY "movieId") rated USING ("movieId")
+GROUP BY ALL HAVING sum(n) >= 30 ORDER BY sum(total) / sum(n) DESC, "movieId" LIMIT 10
 """,
 )
 def join_left_as_inner(spark, sf):

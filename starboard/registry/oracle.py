@@ -36,6 +36,12 @@ raw_ratings AS MATERIALIZED (
          CASE WHEN h % 127 = 0 THEN NULL ELSE CAST(epoch(l_shipdate) AS BIGINT) END AS "timestamp"
   FROM lines
 ),
+loose_ratings AS MATERIALIZED (
+  SELECT "userId", CASE WHEN "userId" IS NOT NULL THEN "movieId" END AS "movieId",
+         CASE WHEN "userId" IS NOT NULL THEN rating END AS rating,
+         CASE WHEN "userId" IS NOT NULL THEN "timestamp" END AS "timestamp"
+  FROM raw_ratings
+),
 valid_ratings AS MATERIALIZED (
   SELECT * FROM raw_ratings
   WHERE "userId" IS NOT NULL AND "movieId" IS NOT NULL AND rating IS NOT NULL AND "timestamp" IS NOT NULL

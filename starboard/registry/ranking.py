@@ -7,10 +7,10 @@ from starboard.operators.recommend import explode_recommendations
 from starboard.registry import inputs, query, r6
 
 TOP_HAVING = """
-SELECT m."movieId", m.title, m.year, m.genres, count(r.rating) AS rating_count, round(avg(r.rating), 6) AS avg_rating
-FROM cleaned_movies m JOIN {ratings} r ON m."movieId" = r."movieId"
-WHERE m.is_valid AND r.is_valid
-GROUP BY m."movieId", m.title, m.year, m.genres {having}
+SELECT "movieId", title, year, genres, CAST(sum(n) AS BIGINT) AS rating_count, round(sum(total) / sum(n), 6) AS avg_rating
+FROM (SELECT "movieId", count(rating) AS n, sum(rating) AS total FROM {ratings} WHERE is_valid GROUP BY "movieId") rated
+JOIN (SELECT * FROM cleaned_movies WHERE is_valid) m USING ("movieId")
+GROUP BY ALL {having}
 {tail}
 """
 
@@ -87,12 +87,12 @@ def top_rated_simple(spark, sf):
     "top_rated_having",
     TOP_HAVING.format(
         ratings="cleaned_ratings",
-        having="HAVING count(r.rating) >= 30",
-        tail='ORDER BY avg(r.rating) DESC, m."movieId" LIMIT 10',
+        having="HAVING sum(n) >= 30",
+        tail='ORDER BY sum(total) / sum(n) DESC, "movieId" LIMIT 10',
     ),
 )
 def top_rated_having(spark, sf):
-    top = ranking.top_rated_having(inputs.cleaned_movies(spark, sf), inputs.cleaned_ratings(spark, sf), inputs.M, 10)
+    top = ranking.top_rated_having(*inputs.stored_cleaned(spark, sf), inputs.M, 10)
     return top.withColumn("avg_rating", r6("avg_rating"))
 
 

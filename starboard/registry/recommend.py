@@ -1,8 +1,10 @@
-"""Training, evaluation and recommendation. Model values have no SQL; their shape has."""
+"""Training, evaluation and recommendation. What is compared does not depend on the model's numbers."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starboard.operators import recommend
+from starboard.operators.stats import most_active_users
 from starboard.registry import inputs, query
 
 
@@ -14,9 +16,8 @@ FROM valid_ratings GROUP BY "userId"
 """,
 )
 def train_test_split(spark, sf):
-    """Both sides together are the input, and no pair is on both."""
-    train, test = recommend.train_test_split(inputs.valid_ratings(spark, sf))
-    sides = train.withColumn("side", F.lit(1)).unionByName(test.withColumn("side", F.lit(2)))
+    """Both sides together are the input, and no pair is on both. One scan, with the side as a column."""
+    sides = inputs.valid_ratings(spark, sf).withColumn("side", recommend.in_training().cast("int"))
     pairs = sides.groupBy("userId", "movieId").agg(
         F.count(F.lit(1)).alias("n"), F.sum("rating").alias("total"), (F.max("side") - F.min("side")).alias("both")
     )
@@ -25,22 +26,46 @@ def train_test_split(spark, sf):
     )
 
 
-@query("als_fit")
+@query("als_fit", 'SELECT DISTINCT "movieId", 10 AS factors FROM latest_ratings')
 def als_fit(spark, sf):
+    """Every rated item has its factors."""
     model = recommend.als_fit(inputs.latest_ratings(spark, sf))
-    return model.itemFactors.withColumnRenamed("id", "movieId")
+    return model.itemFactors.select(F.col("id").alias("movieId"), F.size("features").alias("factors"))
 
 
-@query("als_rmse")
+@query("als_rmse", "SELECT count(*) AS rows, TRUE AS better_than_mean FROM latest_ratings")
 def als_rmse(spark, sf):
-    train, test = recommend.train_test_split(inputs.latest_ratings(spark, sf))
-    return recommend.prediction_error(recommend.als_fit(train), test)
+    """On the rows of the training, all of which are predicted: closer than their mean."""
+    ratings = inputs.stored_cleaned(spark, sf)[1]
+    error = recommend.prediction_error(recommend.als_fit(ratings), ratings)
+    spread = ratings.agg(F.stddev_pop("rating")).scalar()
+    return error.select("rows", (F.col("rmse") < spread).alias("better_than_mean"))
 
 
-@query("als_recommend_all")
+def _places(lists):
+    best = Window.partitionBy("userId").orderBy(F.desc("predicted_rating"), "movieId")
+    return lists.select("userId", F.row_number().over(best).alias("place"))
+
+
+@query("als_recommend_all", 'SELECT DISTINCT "userId", unnest(range(1, 11))::INTEGER AS place FROM latest_ratings')
 def als_recommend_all(spark, sf):
+    """Every user has a list of ten places."""
     model = recommend.als_fit(inputs.latest_ratings(spark, sf))
-    return recommend.als_recommend_all(model, 10)
+    return _places(recommend.als_recommend_all(model, 10))
+
+
+@query(
+    "als_recommend_users",
+    """
+SELECT "userId", unnest(range(1, 11))::INTEGER AS place FROM (
+  SELECT "userId" FROM latest_ratings GROUP BY "userId" ORDER BY count(*) DESC, "userId" LIMIT 25) u
+""",
+)
+def als_recommend_users(spark, sf):
+    """The 25 most active users only: the work follows their number."""
+    ratings = inputs.latest_ratings(spark, sf)
+    users = most_active_users(ratings, 25).select("userId")
+    return _places(recommend.als_recommend_users(recommend.als_fit(ratings), users, 10))
 
 
 @query(

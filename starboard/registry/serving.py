@@ -42,6 +42,17 @@ def page(spark, sf):
     return serving.recommendation_page(*tables(spark, sf), page=3).select(*PAGE_COLUMNS)
 
 
+MIDDLE = "(SELECT floor(count(*) / 2 / 20) * 20 + 20 FROM serving_recs)"
+
+
+@query("page_deep", PAGE.format(where="", offset=MIDDLE))
+def page_deep(spark, sf):
+    """The page after the middle of the list."""
+    recommendations, movies = tables(spark, sf)
+    number = recommendations.count() // 2 // 20 + 2
+    return serving.recommendation_page(recommendations, movies, page=number).select(*PAGE_COLUMNS)
+
+
 @query("page_past_end", PAGE.format(where="", offset=LAST))
 def page_past_end(spark, sf):
     return serving.recommendation_page(*tables(spark, sf), page=1_000_000_000).select(*PAGE_COLUMNS)
@@ -77,6 +88,17 @@ def page_after(spark, sf):
     return serving.next_page(recommendations, movies, list(last)).select(*PAGE_COLUMNS)
 
 
+@query("page_after_deep", PAGE.format(where="", offset=MIDDLE.replace("+ 20", "+ 40")))
+def page_after_deep(spark, sf):
+    """The page that follows ``page_deep``, from its last row."""
+    recommendations, movies = tables(spark, sf)
+    number = recommendations.count() // 2 // 20 + 2
+    page = serving.recommendation_page(recommendations, movies, page=number)
+    keys = ["recommendation_score", "movie_id", "user_id"]
+    last = page.orderBy("recommendation_score", F.desc("movie_id"), F.desc("user_id")).select(*keys).first()
+    return serving.next_page(recommendations, movies, list(last)).select(*PAGE_COLUMNS)
+
+
 @query(
     "serving_default_order",
     """

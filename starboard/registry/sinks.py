@@ -32,16 +32,16 @@ def top_movies(spark, sf, n):
 def sink_csv_single(spark, sf):
     folder = new_folder(spark, "top_csv")
     top = top_movies(spark, sf, 50).select("movieId", "rating_count", "weighted_rating")
-    sink_files.write_csv(top, folder, single_file=True)
+    sink_files.write_csv(top, folder)
     written = files.read_csv(spark, folder, top.schema)
     return written.withColumn("weighted_rating", r6("weighted_rating"))
 
 
-@query("sink_csv_user_range", 'SELECT * FROM named_recs WHERE "userId" <= 1000')
+@query("sink_csv_user_range", 'SELECT * FROM named_recs WHERE "userId" BETWEEN 100 AND 1000')
 def sink_csv_user_range(spark, sf):
     folder = new_folder(spark, "user_range")
     named = joins.recommendations_with_movies(inputs.recommendations(spark, sf), inputs.known_movies(spark, sf))
-    sink_files.write_user_range(named, folder, 1000)
+    sink_files.write_user_range(named, folder, 100, 1000)
     return files.read_user_recommendations(spark, folder)
 
 
@@ -162,6 +162,15 @@ def export_valid_csv(spark, sf):
     return files.read_csv(spark, folder, movies.select(*columns).schema)
 
 
+@query("export_valid_ratings", 'SELECT "userId", "movieId", rating, "timestamp" FROM cleaned_ratings WHERE is_valid')
+def export_valid_ratings(spark, sf):
+    folder = new_folder(spark, "export")
+    columns = ["userId", "movieId", "rating", "timestamp"]
+    ratings = inputs.cleaned_ratings(spark, sf).select(*columns, "is_valid")
+    sink_files.export_valid_csv(ratings, folder, columns)
+    return files.read_csv(spark, folder, ratings.select(*columns).schema)
+
+
 MOVIE_FRAME = """
 SELECT movie_id, title, {genres} AS genres, year, round(CAST(avg_rating AS DOUBLE), 6) AS avg_rating, rating_count
 FROM serving_movies
@@ -224,7 +233,31 @@ FROM recs r JOIN movie_statistics s ON r."movieId" = s."movieId"
 """,
 )
 def load_als_serving(spark, sf):
+    return _als_loaded(spark, sf)[1].withColumn("popularity_score", r6("popularity_score"))
+
+
+def _als_loaded(spark, sf):
+    """Statistics in which each movie stands twice, as a repeated upload has it."""
     rated = joins.with_stats(inputs.known_movies(spark, sf), inputs.item_stats(spark, sf))
-    recommendations = inputs.recommendations(spark, sf)
-    _, loaded, _ = sink_serving.load_als_serving(rated, recommendations, new_folder(spark, "als_serving"))
-    return loaded.withColumn("popularity_score", r6("popularity_score"))
+    folder = new_folder(spark, "als_serving")
+    return sink_serving.load_als_serving(rated.unionByName(rated), inputs.recommendations(spark, sf), folder)
+
+
+@query(
+    "load_als_serving_movies",
+    """
+SELECT "movieId" AS movie_id, title, coalesce(genres, '') AS genres, year, round(avg_rating, 6) AS avg_rating,
+       CAST(rating_count AS INTEGER) AS rating_count
+FROM movie_statistics
+""",
+)
+def load_als_serving_movies(spark, sf):
+    return _als_loaded(spark, sf)[0].withColumn("avg_rating", r6("avg_rating"))
+
+
+@query(
+    "load_als_serving_skipped",
+    'SELECT count(*) AS skipped FROM recs WHERE "movieId" NOT IN (SELECT "movieId" FROM movie_statistics)',
+)
+def load_als_serving_skipped(spark, sf):
+    return _als_loaded(spark, sf)[2]

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -37,28 +36,58 @@ def build_session(
     return builder.getOrCreate()
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="starboard-")
+_made: dict[str, list[str]] = {}
+_prepared: dict[tuple, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Where that is unset, a local master gets a temporary folder; a cluster gets an error,
-    since a machine-local folder would be lost with its machine.
+    Where that is unset, it is the place of the session's own tables.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/starboard/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses. ``clear_work`` deletes it."""
+    path = f"{shared_folder(spark)}/starboard/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def prepared(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
+    """A folder that ``write`` fills once for each session and source, for all who ask for it.
+
+    The source must not change while the session lasts.
+    """
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _prepared:
+        folder = new_folder(spark, name)
+        write(folder)
+        _prepared[key] = folder
+    return _prepared[key]
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Drop the databases and delete the folders that this session made here; results read from them end with it."""
+    application = spark.sparkContext.applicationId
+    folders = _made.pop(application, [])
+    for database in spark.catalog.listDatabases():
+        if any((database.locationUri or "").endswith(f.split("://", 1)[-1].split(":", 1)[-1]) for f in folders):
+            spark.sql(f"DROP DATABASE IF EXISTS {database.name} CASCADE")
+    for table in spark.catalog.listTables():
+        if not table.isTemporary and table.tableType == "EXTERNAL":
+            where = spark.sql(f"DESCRIBE TABLE EXTENDED {table.name}").where("col_name = 'Location'").first()
+            if where and any(f.split(":", 1)[-1].lstrip("/") in where["data_type"] for f in folders):
+                spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    files = spark._jvm.org.apache.hadoop.fs
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = files.Path(folder)
+        path.getFileSystem(configuration).delete(path, True)
+    for key in [k for k in _prepared if k[0] == application]:
+        del _prepared[key]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from starboard.schemas import CSV_WRITE, RATING_PARTITIONS
 
-SINGLE_FILE_ROWS = 100_000
-
 # 128 MB row groups, 1 MB pages, at most 8 MB of padding.
 PARQUET_TUNING = {
     "parquet.block.size": "134217728",
@@ -17,16 +15,11 @@ PARQUET_TUNING = {
 }
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header line, replacing what is there.
 
-    One file is made only if asked for and only for a result of at most SINGLE_FILE_ROWS
-    rows, as one task has to write it. A larger result raises rather than going through it.
+    Each partition is a file, so a top list, which is one partition by itself, is one file.
     """
-    if single_file:
-        if df.limit(SINGLE_FILE_ROWS + 1).count() > SINGLE_FILE_ROWS:
-            raise ValueError(f"more than {SINGLE_FILE_ROWS} rows: write them without single_file")
-        df = df.repartition(1)
     df.write.mode("overwrite").option("header", True).options(**CSV_WRITE).csv(path)
 
 
@@ -40,16 +33,19 @@ def write_partitioned(
     columns: list[str] = RATING_PARTITIONS,
     format: str = "parquet",
     options: dict[str, str] | None = None,
+    whole_table: bool = False,
 ) -> None:
-    """Write by partition, replacing the partitions that occur in ``ratings`` and no others.
+    """Write by partition: the whole table anew, or only the partitions that occur in ``ratings``.
 
-    So a second run gives the same table. Rows of one partition are brought together to save
-    small files; AQE cuts a partition that holds much of the data into several tasks.
+    Replacing single partitions is for increments. Partitions absent from ``ratings`` stay as
+    they are, and pairs repeated between an increment and what stays are not removed. Rows of
+    one partition are brought together to save small files; AQE cuts a partition that holds
+    much of the data into several tasks.
     """
     (
         ratings.hint("rebalance", *[F.col(c) for c in columns])
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if whole_table else "dynamic")
         .options(**(options or {}))
         .partitionBy(*columns)
         .format(format)
@@ -62,6 +58,6 @@ def export_valid_csv(cleaned: DataFrame, path: str, columns: list[str]) -> None:
     write_csv(cleaned.where(F.col("is_valid")).select(*columns), path)
 
 
-def write_user_range(recommendations: DataFrame, path: str, last_user: int = 1000) -> None:
-    """The recommendations of users up to ``last_user``."""
-    write_csv(recommendations.where(F.col("userId") <= last_user), path)
+def write_user_range(recommendations: DataFrame, path: str, first_user: int, last_user: int) -> None:
+    """The recommendations of the users from ``first_user`` to ``last_user``."""
+    write_csv(recommendations.where(F.col("userId").between(first_user, last_user)), path)

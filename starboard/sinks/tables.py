@@ -58,6 +58,6 @@ def append_table(df: DataFrame, table: str) -> None:
 
 
 def load_cleaned_ratings(spark: SparkSession, cleaned: DataFrame, database: str, folder: str) -> None:
-    """Replace the months that occur in ``cleaned``, then tell the catalogue of them."""
-    write_partitioned(cleaned, table_folder(folder, "cleaned_ratings"), options=PARQUET_TUNING)
+    """Replace the whole table, months that no longer occur included, and its partitions in the catalogue."""
+    write_partitioned(cleaned, table_folder(folder, "cleaned_ratings"), options=PARQUET_TUNING, whole_table=True)
     repair_partitions(spark, f"{database}.cleaned_ratings")

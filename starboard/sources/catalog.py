@@ -25,13 +25,12 @@ def use_database(spark: SparkSession, database: str) -> None:
 
 
 def verify_catalog(spark: SparkSession, database: str, expected: list[str]) -> DataFrame:
-    """(category, status, detail) for the database and each expected table."""
+    """(check, table_name, amount, status): whether the database and each expected table are there (1) or not (0)."""
     there = spark.catalog.databaseExists(database)
     found = set(tables(spark, database)) if there else set()
-    rows = [("Database", "PASS", f"{database} exists") if there else ("Database", "FAIL", f"{database} not found")]
-    for name in expected:
-        rows.append(("Table", "PASS", f"{name} exists") if name in found else ("Table", "FAIL", f"{name} missing"))
-    return spark.createDataFrame(rows, "category string, status string, detail string")
+    present = [("database", "", there)] + [("table", name, name in found) for name in expected]
+    rows = [(check, name, float(is_there), "PASS" if is_there else "FAIL") for check, name, is_there in present]
+    return spark.createDataFrame(rows, "check string, table_name string, amount double, status string")
 
 
 def partitions(spark: SparkSession, table: str) -> DataFrame:
@@ -40,7 +39,10 @@ def partitions(spark: SparkSession, table: str) -> DataFrame:
 
 
 def latest_months(spark: SparkSession, table: str, n: int) -> list[tuple[int, int]]:
-    """The n latest (year, month) of a table partitioned by them, from the catalogue alone."""
+    """The n latest (year, month) of a table partitioned by them, from the catalogue alone.
+
+    A month that is registered but holds no rows counts as one of them.
+    """
     number = lambda key: F.regexp_extract("partition", rf"{key}=(\d+)", 1).try_cast("int").alias(key)
     months = partitions(spark, table).select(number("rating_year"), number("rating_month")).dropna()
     latest = months.orderBy(F.desc("rating_year"), F.desc("rating_month")).limit(n)

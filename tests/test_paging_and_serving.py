@@ -25,29 +25,43 @@ def test_clamp_page(page, want):
     assert clamp_page(page, 0, 20) == 1
 
 
-@pytest.mark.parametrize("shallow", [paging.SHALLOW_ROWS, 0])
 @pytest.mark.parametrize("page", [1, 2, 30, 75, 150, 151, 99999])
-def test_numbered_page_by_brute_force(scored, page, shallow):
+def test_numbered_page_by_brute_force(scored, page):
     data, df = scored
-    got = [tuple(r) for r in numbered_page(df, ORDER, page, shallow=shallow).collect()]
+    got = [tuple(r) for r in numbered_page(df, ORDER, page).collect()]
     start = (clamp_page(page, len(data)) - 1) * 20
     assert got == data[start : start + 20]
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_nulls_come_last_on_every_kind_of_page(spark, descending):
+    data = [(i, None if i % 3 else i % 7 / 2) for i in range(200)]
+    sign = -1 if descending else 1
+    want = sorted(data, key=lambda r: (r[1] is None, sign * (r[1] or 0), r[0]))
+    df = spark.createDataFrame(data, "id int, score double").repartition(5)
+    order = [Order("score", descending), Order("id")]
+    pages, last = [], None
+    for number in range(1, 11):
+        page = [tuple(r) for r in numbered_page(df, order, number).collect()]
+        assert page == [tuple(r) for r in page_after(df, order, last).collect()]
+        pages += page
+        last = [page[-1][1], page[-1][0]]
+    assert pages == want
+
+
 def test_deep_page_narrows_to_a_small_range(scored, monkeypatch):
     """Also among the rows with the one frequent score."""
-    seen, narrow = [], paging._narrow
+    seen, ranges = [], paging._ranges
 
-    def watched(*args):
-        found = narrow(*args)
-        seen.append(found[0].count())
-        return found
+    def watched(df, key):
+        seen.append(df.count())
+        return ranges(df, key)
 
-    monkeypatch.setattr(paging, "_narrow", watched)
+    monkeypatch.setattr(paging, "_ranges", watched)
     data, df = scored
     page = next(i for i, r in enumerate(data) if r[1] == 4.0) // 20 + 25
-    assert numbered_page(df, ORDER, page, shallow=0).count() == 20
-    assert seen[0] > 900 and seen[-1] < 20 and len(seen) < 8
+    assert numbered_page(df, ORDER, page).count() == 20
+    assert seen[0] == 3001 and seen[-1] < 1100 and len(seen) < 9
 
 
 def test_keyset_pages_make_the_whole(scored):
@@ -67,7 +81,6 @@ def test_keyset_pages_make_the_whole(scored):
 def test_page_of_nothing(spark):
     empty = spark.createDataFrame([], "id int, score double")
     assert numbered_page(empty, ORDER, 5).count() == 0
-    assert numbered_page(empty, ORDER, 5, shallow=0).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -130,6 +143,8 @@ def test_totals(spark, tables):
 def test_import_keeps_known_movies_only(spark, tables):
     movies = serving.imported_movies(tables[0].withColumnRenamed("movie_id", "movieId"))
     assert rows(movies, "genres") == [("",), ("",), ("Drama|Comedy",)]
+    twice = tables[0].unionByName(tables[0]).withColumnRenamed("movie_id", "movieId")
+    assert serving.imported_movies(twice).count() == 3
     recs = spark.createDataFrame([(5, 1, 4.5), (5, 99, 5.0)], "userId int, movieId int, predicted_rating float")
     got = serving.imported_recommendations(recs, movies)
     assert rows(got, "movie_id", "user_id", "recommendation_score", "popularity_score") == [(1, 5, 4.5, 4.126)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from starboard.operators import cleaning
 from starboard.registry import inputs
 from starboard.schemas import RAW_MOVIES, RAW_RATINGS
-from starboard.session import build_session, new_folder, shared_folder
+from starboard.session import build_session, new_folder, prepared, shared_folder
 from starboard.sinks import files as sink_files
 from starboard.sinks import jdbc as sink_jdbc
 from starboard.sinks import serving as sink_serving
@@ -54,13 +54,14 @@ def test_missing_file_raises(spark, tmp_path):
         files.read_movies(spark, str(tmp_path / "none"))
 
 
-def test_single_file_is_for_small_results_only(spark, folder, monkeypatch):
-    monkeypatch.setattr(sink_files, "SINGLE_FILE_ROWS", 100)
-    df = spark.range(100).repartition(8)
-    sink_files.write_csv(df, folder, single_file=True)
+def test_a_top_list_is_one_file(spark, folder):
+    sink_files.write_csv(spark.range(5000).repartition(8).orderBy(F.desc("id")).limit(50), folder)
     assert len(spark.read.text(folder).inputFiles()) == 1
-    with pytest.raises(ValueError):
-        sink_files.write_csv(spark.range(101), folder, single_file=True)
+
+
+def test_user_range(spark, folder):
+    sink_files.write_user_range(spark.range(100).withColumnRenamed("id", "userId"), folder, 10, 20)
+    assert rows(spark.read.csv(folder, header=True, inferSchema=True)) == [(i,) for i in range(10, 21)]
 
 
 @pytest.fixture(scope="module")
@@ -143,9 +144,20 @@ def test_orc_and_parquet_agree(spark, months, folder):
     assert rows(files.read_cleaned_ratings(spark, folder, "orc")) == rows(files.read_cleaned_ratings(spark, months))
 
 
-def test_parquet_tuning_reaches_the_file(spark, folder):
-    sink_files.write_partitioned(inputs.cleaned_ratings(spark, SMALL), folder, options=sink_files.PARQUET_TUNING)
-    assert spark.read.parquet(folder).count() > 0
+def test_parquet_tuning_reaches_the_file(spark, tmp_path):
+    """Smaller row groups and pages show in the footers."""
+    import pyarrow.parquet as pq
+
+    ratings = inputs.cleaned_ratings(spark, SMALL).withColumn("rating_year", F.lit(2000)).withColumn("rating_month", F.lit(1))
+    ratings = ratings.select("*", F.sha2(F.concat_ws(",", "userId", "movieId"), 512).alias("wide")).coalesce(1)
+    groups = {}
+    for name, size in (("tuned", sink_files.PARQUET_TUNING["parquet.block.size"]), ("small", "65536")):
+        options = sink_files.PARQUET_TUNING | {"parquet.block.size": size}
+        path = str(tmp_path / name)
+        sink_files.write_partitioned(ratings, path, options=options)
+        files_there = [f.removeprefix("file://") for f in spark.read.parquet(path).inputFiles()]
+        groups[name] = max(pq.ParquetFile(f).metadata.num_row_groups for f in files_there)
+    assert groups["tuned"] == 1 and groups["small"] > 1
 
 
 def test_export_leaves_out_invalid_rows(spark, folder):
@@ -168,10 +180,10 @@ def test_tables_partitions_and_repair(spark, folder):
         ("rating_year=1970/rating_month=2",),
     ]
     report = catalog.verify_catalog(spark, "shop", ["cleaned_ratings", "other"])
-    assert rows(report, "status", "detail") == [
-        ("FAIL", "other missing"),
-        ("PASS", "cleaned_ratings exists"),
-        ("PASS", "shop exists"),
+    assert rows(report) == [
+        ("database", "", 1.0, "PASS"),
+        ("table", "cleaned_ratings", 1.0, "PASS"),
+        ("table", "other", 0.0, "FAIL"),
     ]
     catalog.use_database(spark, "shop")
     try:
@@ -179,7 +191,7 @@ def test_tables_partitions_and_repair(spark, folder):
     finally:
         catalog.use_database(spark, "default")
     missing = catalog.verify_catalog(spark, "nowhere", ["t"])
-    assert rows(missing, "category", "status") == [("Database", "FAIL"), ("Table", "FAIL")]
+    assert rows(missing, "check", "status") == [("database", "FAIL"), ("table", "FAIL")]
 
 
 def test_strip_qualifier(spark):
@@ -244,12 +256,34 @@ def test_shared_folder_is_the_sessions(spark):
     assert build_session().conf.get("spark.sql.session.timeZone") == "UTC"
 
 
-def test_shared_folder_without_setting():
+def test_shared_folder_without_setting_is_with_the_tables():
     class Fake:
-        def __init__(self, master):
-            self.conf = {}
-            self.sparkContext = type("C", (), {"master": master})
+        conf = {"spark.sql.warehouse.dir": "hdfs:///tables"}
+
+    assert shared_folder(Fake()) == "hdfs:///tables/work"
+
+
+def test_prepared_once_and_cleared(spark, monkeypatch):
+    import os
+
+    from starboard import session
+
+    monkeypatch.setattr(session, "_made", {})
+    monkeypatch.setattr(session, "_prepared", {})
+    calls = []
+
+    def write(folder):
+        calls.append(folder)
+        spark.range(3).write.parquet(f"{folder}/t")
 
-    assert shared_folder(Fake("local[2]")) == shared_folder(Fake("local[*]"))
-    with pytest.raises(ValueError):
-        shared_folder(Fake("yarn"))
+    first = prepared(spark, "thing", "here", write)
+    assert prepared(spark, "thing", "here", write) == first and calls == [first]
+    assert prepared(spark, "thing", "there", write) != first
+    database = f"{new_folder(spark, 'base')}"
+    spark.sql(f"CREATE DATABASE to_go LOCATION '{database}'")
+    spark.sql(f"CREATE TABLE to_go_too (id LONG) USING parquet LOCATION '{first}/t'")
+    session.clear_work(spark)
+    assert "to_go" not in catalog.databases(spark) and "to_go_too" not in catalog.tables(spark, "default")
+    assert not os.path.exists(first) and not os.path.exists(database)
+    assert prepared(spark, "thing", "here", write) != first
+    session.clear_work(spark)

@@ -12,7 +12,7 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from starboard.registry import load_all  # noqa: E402
-from starboard.session import build_session  # noqa: E402
+from starboard.session import build_session, clear_work  # noqa: E402
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -79,3 +79,4 @@ if __name__ == "__main__":
         except Exception as error:  # noqa: BLE001 - report and go on with the next query
             text, seconds = f"ERROR {type(error).__name__} {str(error)[:700]}", 0
         print(f"{name:34} {seconds:6.1f}s {text}", flush=True)
+    clear_work(session)
