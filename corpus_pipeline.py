@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starboard.llm.common import stored, with_row_key
+from starboard.llm.common import free_name, stored, with_row_key
 from starboard.llm.exact_dedup import exact_dedup
 from starboard.llm.language import UNKNOWN, identify_languages
 from starboard.llm.mixing import mix_sources
@@ -19,32 +19,34 @@ MIN_LANGUAGE_SCORE = 0.05
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or unlike all languages that the labels name, go; null texts are such."""
-    found = identify_languages(docs)
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    name = free_name(docs, "language")
+    found = identify_languages(docs, name=name)
+    kept = found.where((F.col(name)["lang_pred"] != UNKNOWN) & (F.col(name)["score"] >= MIN_LANGUAGE_SCORE))
     return kept.select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the smallest doc_id stays."""
-    keyed = with_row_key(docs)
-    kept = exact_dedup(keyed, order=("doc_id",), row="_row").where("kept").select("_row")
-    return keyed.join(kept, "_row").select(*docs.columns)
+    keyed, row = with_row_key(docs)
+    kept = exact_dedup(keyed, order=("doc_id",), row=row).where("kept").select(row)
+    return keyed.join(kept, row).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that SimHash links the one with the smallest doc_id stays."""
-    keyed = with_row_key(docs)
-    found = simhash_components(keyed, order=("doc_id",), row="_row")
-    kept = found.where(F.col("first._row") == F.col("_row")).select("_row")
-    return keyed.join(kept, "_row").select(*docs.columns)
+    keyed, row = with_row_key(docs)
+    found = simhash_components(keyed, order=("doc_id",), row=row)
+    kept = found.where(F.col("first")[row] == F.col(row)).select(row)
+    return keyed.join(kept, row).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mix: files in order, rows in order within them."""
-    keyed = with_row_key(docs)
-    places = mix_sources(keyed, carry=("_row",)).select("_row", "slot", "place")
-    ordered = keyed.join(places, "_row").repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
-    return ordered.select(*docs.columns)
+    keyed, row = with_row_key(docs)
+    places = mix_sources(keyed, carry=(row,)).select(row, F.struct("slot", "place").alias("_mix"))
+    at = free_name(docs, "_mix")
+    joined = keyed.join(places.withColumnRenamed("_mix", at), row)
+    return joined.repartitionByRange(at).sortWithinPartitions(at).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

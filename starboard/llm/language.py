@@ -141,13 +141,15 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
-def identify_languages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with ``held_out``, ``lang_pred`` and ``score``. Profiles are learned from rows not held out that have a language."""
+def identify_languages(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", name: str = "language"
+) -> DataFrame:
+    """``docs`` with a struct ``name`` of ``held_out``, ``lang_pred`` and ``score``, in place of a column of that name.
+
+    Profiles are learned from the rows that are not held out and have a language.
+    """
     ship_code(docs.sparkSession)
     profiles = learn_profiles(docs.where(in_training(F.col(doc_id))), text, lang)
-    return (
-        docs.withColumn("held_out", ~in_training(F.col(doc_id)))
-        .withColumn("_found", identify(F.col(text), profiles))
-        .withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")})
-        .drop("_found")
-    )
+    found = identify(F.col(text), profiles)
+    held_out = (~in_training(F.col(doc_id))).alias("held_out")
+    return docs.withColumn(name, F.struct(held_out, found["lang"].alias("lang_pred"), found["score"].alias("score")))

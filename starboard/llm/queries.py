@@ -36,7 +36,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    return identify_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
+    return identify_languages(docs).select("doc_id", "language.held_out", "language.lang_pred", "language.score")
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,10 @@ def unigram_counter(model_file: str) -> UnigramCounter:
 
 
 def count_tokens(docs: DataFrame, model_file: str, *, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with ``n_tokens`` and ``token_score`` of the whole text; null counts as empty: 0 and 0."""
+    """``docs`` without ``text``, with ``n_tokens`` and ``token_score`` of the whole text; null counts as empty: 0 and 0.
+
+    Columns that had these names are replaced.
+    """
     ship_code(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, token_score double")
@@ -109,6 +112,6 @@ def count_tokens(docs: DataFrame, model_file: str, *, text: str = "text") -> Dat
         counter = unigram_counter(model_file)
         return pd.DataFrame([counter.count(t) for t in texts], columns=["n_tokens", "token_score"])
 
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c.lower() not in (text.lower(), "n_tokens", "token_score")]
     found = docs.select(*kept, counted(F.col(text)).alias("_counted"))
     return found.select(*kept, "_counted.n_tokens", "_counted.token_score")
