@@ -29,9 +29,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_row_key(docs: DataFrame, name: str = "_row") -> DataFrame:
-    """Stored rows with a key of their own, so that repeated or null ids do no harm."""
-    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "keyed")
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Stored rows with a key of their own and its name, so that repeated or null ids do no harm."""
+    key = free_name(docs, "_row")
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def rank_of(columns: Sequence[str], row: str) -> Column:
@@ -53,8 +62,15 @@ def _package_zip() -> str:
     return path
 
 
+# Whole texts go to Python, so that a batch of rows is to be smaller than for numbers.
+BATCH_ROWS = 1000
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors once, for functions that run in Python there."""
+    """Send this package to the executors once, for functions that run in Python there, and keep batches small."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(batch)) > BATCH_ROWS:
+        spark.conf.set(batch, BATCH_ROWS)
     context = spark.sparkContext
     if not any(name.endswith("starboard_tasks.zip") for name in context.listFiles):
         context.addPyFile(_package_zip())
