@@ -82,22 +82,42 @@ def _differs(column: pa.Array) -> pa.Array:
     return pc.or_(pc.xor(pc.is_null(here), pc.is_null(before)), pc.fill_null(pc.not_equal(here, before), False))
 
 
-def integer_names(rows: DataFrame, keys: Sequence[str], carry: Sequence[str], row: str, name: str) -> DataFrame:
+def integer_names(
+    rows: DataFrame, keys: Sequence[str], carry: Sequence[str], row: str, name: str, long_keys: bool = False
+) -> DataFrame:
     """``carry`` and ``name``: an integer that two rows share exactly if their keys are equal.
 
     All rows are sorted by (keys, row) over all partitions, so that a key with many rows spans several of them.
     Each task numbers the runs of equal keys it sees; one row for each task, with its first and last key, tells
     where a run goes on in the next task and how far the numbers are shifted. Names start at 0, in key order.
+
+    ``long_keys`` are sorted by a 64-bit hash first, so that the driver sees hashes, not keys, when Spark samples
+    the ranges; keys with one hash are told apart by themselves. Only if their hash goes
+    on from one task to the next, a key may be torn apart; that shows at the edges, and the hash is changed.
     """
-    spark = rows.sparkSession
-    source = rows.select(*keys, *carry)
-    order = [*keys, *([row] if row not in keys else [])]
-    sorted_rows = source.repartitionByRange(*order).sortWithinPartitions(*order)
+    if not long_keys:
+        return _numbered(rows, keys, carry, row, name, [])[0]
+    for seed in range(8):
+        hashed = rows.withColumn("_hash", F.xxhash64(F.lit(seed), *keys))
+        named, torn = _numbered(hashed, keys, carry, row, name, ["_hash"])
+        if not torn:
+            return named
+    raise RuntimeError("keys with equal hashes at the edges of tasks, for each of eight hashes")
+
+
+def _numbered(
+    rows: DataFrame, keys: Sequence[str], carry: Sequence[str], row: str, name: str, before: list[str]
+) -> tuple[DataFrame, bool]:
+    """The named rows, and whether a value of ``before`` goes on beyond an edge with another key. Ranges are those of ``before``."""
+    source = rows.select(*before, *keys, *carry)
+    ends = [row] if row not in keys else []
+    sorted_rows = source.repartitionByRange(*(before or keys), *ends).sortWithinPartitions(*before, *keys, *ends)
+    shown = [*before, *keys]
     types = {f.name: f.dataType for f in source.schema}
     schema = T.StructType(
         [T.StructField(c, types[c]) for c in carry]
         + [T.StructField(c, T.LongType()) for c in ("_part", "_local", "_distinct")]
-        + [T.StructField(f"_{edge}_{k}", types[k]) for edge in ("first", "last") for k in keys]
+        + [T.StructField(f"_{edge}_{k}", types[k]) for edge in ("first", "last") for k in shown]
     )
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +126,8 @@ def integer_names(rows: DataFrame, keys: Sequence[str], carry: Sequence[str], ro
             n = batch.num_rows
             if not n:
                 continue
-            columns = {k: batch.column(k) for k in keys}
-            ends = [(columns[k][0].as_py(), columns[k][n - 1].as_py()) for k in keys]
+            columns = {k: batch.column(k) for k in shown}
+            ends = [(columns[k][0].as_py(), columns[k][n - 1].as_py()) for k in shown]
             new = pa.array([first is None or [e[0] for e in ends] != last])
             if n > 1:
                 rest = functools.reduce(pc.or_, (_differs(c) for c in columns.values()))
@@ -118,30 +138,37 @@ def integer_names(rows: DataFrame, keys: Sequence[str], carry: Sequence[str], ro
             last = [e[1] for e in ends]
             out = {c: batch.column(c) for c in carry}
             out |= {"_part": pa.array([part] * n, pa.int64()), "_local": numbers, "_distinct": pa.nulls(n, pa.int64())}
-            out |= {f"_{edge}_{k}": pa.nulls(n, columns[k].type) for edge in ("first", "last") for k in keys}
+            out |= {f"_{edge}_{k}": pa.nulls(n, columns[k].type) for edge in ("first", "last") for k in shown}
             made = pa.RecordBatch.from_pydict(out)
             arrow = made.schema
             yield made
         if first is not None:
             edges = dict.fromkeys(carry) | {"_part": part, "_local": None, "_distinct": local + 1}
-            edges |= {f"_first_{k}": v for k, v in zip(keys, first)} | {f"_last_{k}": v for k, v in zip(keys, last)}
+            edges |= {f"_first_{k}": v for k, v in zip(shown, first)} | {f"_last_{k}": v for k, v in zip(shown, last)}
             yield pa.RecordBatch.from_pylist([edges], schema=arrow)
 
-    ship_code(spark)
+    ship_code(rows.sparkSession)
     found = stored(sorted_rows.mapInArrow(numbered, schema), "names")
     by_part = Window.orderBy("_part")
-    goes_on = functools.reduce(
-        lambda a, b: a & b, (F.col(f"_first_{k}").eqNullSafe(F.lag(f"_last_{k}").over(by_part)) for k in keys)
-    ) & F.lag("_part").over(by_part).isNotNull()
-    tasks = found.where(F.col("_distinct").isNotNull()).select(
-        "_part", "_distinct", F.when(goes_on, 1).otherwise(0).alias("_same")
-    )
+    follows = F.lag("_part").over(by_part).isNotNull()
+
+    def alike(columns: Sequence[str]) -> Column:
+        same = (F.col(f"_first_{k}").eqNullSafe(F.lag(f"_last_{k}").over(by_part)) for k in columns)
+        return functools.reduce(lambda a, b: a & b, same) & follows
+
+    edges = found.where(F.col("_distinct").isNotNull())
+    tasks = edges.select("_part", "_distinct", F.when(alike(shown), 1).otherwise(0).alias("_same"))
+    torn = False
+    if before:
+        # Within a task a hash's keys are in order. A key torn apart leaves an edge where the hash goes on, but not the key.
+        torn = not edges.select((alike(before) & ~alike(keys)).alias("split")).where("split").isEmpty()
     shifts = tasks.select(
         "_part", (F.sum(F.col("_distinct") - F.col("_same")).over(by_part) - F.col("_distinct")).alias("_shift")
     )
     # One row for each task of the sort, whatever the size of the data: small enough for every executor.
-    return (
+    named = (
         found.where(F.col("_distinct").isNull())
         .join(F.broadcast(shifts), "_part")
         .select(*carry, (F.col("_local") + F.col("_shift")).alias(name))
     )
+    return named, torn

@@ -65,7 +65,7 @@ def document_names(docs: DataFrame, carry: Sequence[str], text: str, row: str, b
     """
     blocks = cut_blocks(docs, carry, text, row, block_bytes)
     kept = [row, "_pos", "n_blocks", *carry, "text_sha256"]
-    named = integer_names(blocks, ["_block"], kept, row, "_name")
+    named = integer_names(blocks, ["_block"], kept, row, "_name", long_keys=True)
     out, left, columns = None, F.col("n_blocks"), [row, *carry, "text_sha256", "n_blocks", F.col("_name").alias("name")]
     most = named.agg(F.max("n_blocks")).first()[0] or 1
     while True:

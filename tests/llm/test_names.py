@@ -17,6 +17,36 @@ def test_names_follow_the_order_of_keys(spark, hot):
     assert got == {i: order[k] for i, k in enumerate(keys)}
 
 
+@pytest.mark.parametrize("hot", [0, 4000])
+def test_long_keys_have_the_same_names_if_equal(spark, hot):
+    dice = random.Random(6)
+    keys = [dice.choice([None, "", *map(str, range(300))]) for _ in range(2000)] + ["hot"] * hot
+    rows = spark.createDataFrame(list(enumerate(keys)), "r long, k string").repartition(7)
+    named = integer_names(rows, ["k"], ["r"], "r", "name", long_keys=True).collect()
+    pairs = {(keys[r["r"]], r["name"]) for r in named}
+    assert len(named) == len(keys) and len(pairs) == len(set(keys)) == len({n for _, n in pairs})
+    assert {n for _, n in pairs} == set(range(len(pairs)))
+
+
+def test_equal_hashes_do_not_make_equal_names(spark, monkeypatch):
+    """With a hash of 3 values most keys collide; where one is torn apart, another seed is tried."""
+    real, seeds = F.xxhash64, []
+
+    def poor(seed, *columns):
+        seeds.append(seed)
+        return real(seed, *columns) % 3 if len(seeds) < 3 else real(seed, *columns)
+
+    keys = [str(i % 50) for i in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(keys)), "r long, k string").repartition(7)
+    monkeypatch.setattr(F, "xxhash64", poor)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        named = integer_names(rows, ["k"], ["r"], "r", "name", long_keys=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(seeds) == 3 and len({(keys[r["r"]], r["name"]) for r in named}) == 50 == len({r["name"] for r in named})
+
+
 def test_pairs_with_nulls_are_named(spark):
     pairs = [(1, 1, 2), (2, 1, None), (3, 1, 2), (4, 2, None), (5, 1, None), (6, 0, 9)]
     rows = spark.createDataFrame(pairs, "r long, a long, b long")
