@@ -66,7 +66,7 @@ def as_text(hashes: Column) -> Column:
 
 
 def next_rows(docs: DataFrame, order: str, text: str, row: str) -> DataFrame:
-    """``row``, ``n_chars`` and ``next_row``: the row that follows in descending order, after the last the first.
+    """``row``, ``order``, ``n_chars`` and ``next_row``: the row that follows in descending order, after the last the first.
 
     Nulls come last, ties by row. Rows are sorted over all partitions; each partition finds its own neighbours, and
     one row for each partition tells what follows at its end.
@@ -82,7 +82,9 @@ def next_rows(docs: DataFrame, order: str, text: str, row: str) -> DataFrame:
     whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = firsts.select("_part", F.coalesce(F.lead("_first").over(across), F.first("_first").over(whole)).alias("_follows"))
     # One row for each partition of the sort.
-    return found.join(F.broadcast(ends), "_part").select(row, "n_chars", F.coalesce("_next", "_follows").alias("next_row"))
+    return found.join(F.broadcast(ends), "_part").select(
+        row, F.col("_order").alias(order), "n_chars", F.coalesce("_next", "_follows").alias("next_row")
+    )
 
 
 def fingerprint_edited(
@@ -104,13 +106,18 @@ def fingerprint_edited(
     if row is None:
         docs = docs.withColumn(key, F.monotonically_increasing_id())
     plain = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(key, order, plain.alias("_text")).withColumn("own", sketch(F.col("_text"), words, scale_bits))
-    follows = stored(next_rows(docs, order, text, key), "next")
+    # Read by both joins with the same columns and key, so that whole texts are shuffled once.
+    texts = docs.select(key, plain.alias("_text")).withColumn("own", sketch(F.col("_text"), words, scale_bits))
+    follows = stored(next_rows(docs, order, text, key), "next").alias("f")
     half = F.expr("n_chars div 2").cast("int")
-    handed = follows.join(
-        texts.select(F.col(key).alias("next_row"), "_text", "own"), "next_row"
-    ).select(key, "n_chars", F.substring(F.col("_text"), F.lit(1), half).alias("_head"), F.col("own").alias("next_sketch"))
-    joined = texts.join(handed, key)
+    handed = follows.join(texts.hint("merge").alias("t"), F.col("f.next_row") == F.col(f"t.{key}")).select(
+        F.col(f"f.{key}"),
+        order,
+        "n_chars",
+        F.substring(F.col("_text"), F.lit(1), half).alias("_head"),
+        F.col("own").alias("next_sketch"),
+    )
+    joined = texts.join(handed.hint("merge"), key)
     kept = F.substring(F.col("_text"), F.lit(1), (F.col("n_chars") - half).cast("int"))
     return joined.select(order, "n_chars", "own", "next_sketch", F.concat(kept, "_head").alias("edited")).withColumn(
         "edited_sketch", sketch(F.col("edited"), words, scale_bits)
