@@ -61,9 +61,11 @@ def remove_shared_lines(
         places.where("site IS NOT NULL").select("line", "site"), min_sites=min_sites, log_registers=log_registers
     )
     # A left join is not narrowed to a semi join, so that a line with many places can be split over tasks.
-    found = places.join(stored(shared, "shared-lines").select("line"), "line").groupBy(key).agg(F.collect_set("at").alias("_gone"))
+    gone = places.join(stored(shared, "shared-lines").select("line"), "line")
+    found = gone.groupBy(key).agg(F.collect_set("at").alias("_gone"))
     lines = docs.select(key, *carry, F.col(text).alias("_text"))
-    joined = lines.join(stored(found, "removed-lines"), key, "left")
+    # Merged at every size: the removed places grow with the documents, and are not to be broadcast.
+    joined = lines.join(stored(found, "removed-lines").hint("merge"), key, "left")
     kept = F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
     cleaned = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(

@@ -35,14 +35,15 @@ def test_odd_documents(spark, min_sites):
 
 
 @pytest.mark.parametrize("min_sites", [5, 40])
-def test_random_lines_around_the_threshold(spark, min_sites):
+def test_random_lines_around_the_threshold(spark, tmp_path, min_sites):
     dice = random.Random(min_sites)
     rows = []
     for i in range(600):
         lines = [f"line {dice.randrange(1, 60)}" + dice.choice(["", " ", "\t"]) for _ in range(dice.randrange(0, 6))]
         lines += ["everywhere"] * (i % 2) + [""] * (i % 3)
         rows.append((i, "\n".join(lines), "en", f"s{int(60 * dice.random() ** 2)}", 0, "r", "z"))
-    found = compare(spark, rows, spark.createDataFrame(rows, odd_documents(spark).schema).repartition(4), min_sites)
+    spark.createDataFrame(rows, odd_documents(spark).schema).repartition(4).write.parquet(str(tmp_path / "docs"))
+    found = compare(spark, rows, spark.read.parquet(str(tmp_path / "docs")), min_sites)
     assert 0 < sum(f[3] for f in found) < sum(f[2] for f in found)
 
 
