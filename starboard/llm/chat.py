@@ -39,7 +39,13 @@ def with_ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     ids = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     here = F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n"))
     state = stored(
-        nodes.join(ids, here, "left").select("tree", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")),
+        nodes.join(ids, here, "left").select(
+            "tree",
+            "node",
+            F.col("n").alias("up"),
+            F.lit(1).cast("long").alias("depth"),
+            F.col("score").alias("total"),
+        ),
         "ancestors",
     )
     most = state.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
@@ -49,12 +55,18 @@ def with_ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if levels[-1].isEmpty():
             break
         above = state.select(
-            F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("d"), F.col("total").alias("s")
+            F.col("tree").alias("t"),
+            F.col("node").alias("n"),
+            F.col("up").alias("up2"),
+            F.col("depth").alias("d"),
+            F.col("total").alias("s"),
         )
         joined = state.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
         state = stored(
             joined.select(
-                "tree", "node", F.col("up2").alias("up"),
+                "tree",
+                "node",
+                F.col("up2").alias("up"),
                 (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"),
                 (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"),
             ),

@@ -108,7 +108,10 @@ def integer_names(
 def _numbered(
     rows: DataFrame, keys: Sequence[str], carry: Sequence[str], row: str, name: str, before: list[str]
 ) -> tuple[DataFrame, bool]:
-    """The named rows, and whether a value of ``before`` goes on beyond an edge with another key. Ranges are those of ``before``."""
+    """The named rows, and whether a value of ``before`` goes on beyond an edge with another key.
+
+    The ranges are those of ``before``.
+    """
     source = rows.select(*before, *keys, *carry)
     ends = [row] if row not in keys else []
     sorted_rows = source.repartitionByRange(*(before or keys), *ends).sortWithinPartitions(*before, *keys, *ends)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,7 +53,10 @@ def hashed_ngrams() -> HashedNgrams:
 
 
 def bucket_counts(docs: DataFrame, text: str, target: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each bucket in all rows, and in those where ``target`` is true. Tasks add up; ``buckets`` sums reach the driver."""
+    """Counts of each bucket in all rows, and in those where ``target`` is true.
+
+    Tasks add up; ``buckets`` sums reach the driver.
+    """
     ship_code(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +118,8 @@ def importance_sample(
         features = hashed_ngrams()
         return pd.Series([float(ratios[features.buckets(t, buckets).astype(np.int64)].sum()) for t in texts], dtype="float64")
 
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.coalesce(F.col(doc_id), F.lit(0))), 11) + F.lit(0.5)) / F.lit(2.0**53)
+    drawn = F.xxhash64(F.lit(seed + 1), F.coalesce(F.col(doc_id), F.lit(0)))
+    uniform = (F.shiftrightunsigned(drawn, 11) + F.lit(0.5)) / F.lit(2.0**53)
     scored = docs.select(doc_id, weights(F.col(text)).alias("log_weight")).withColumn("_row", F.monotonically_increasing_id())
     scored = scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform)))
     scored = stored(scored.withColumn("_down", -F.col("sample_key")), "weights")

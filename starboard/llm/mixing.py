@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from starboard.llm.common import stored
 
@@ -148,15 +147,11 @@ def mix_sources(
         for s, share in phase["share"].items():
             spans.append((s, phase["before"][s], phase["before"][s] + phase["had"][s], number, phase["start"], share))
         tables += [(s, number, i, slot) for (s, i), slot in phase["table"].items()]
-    long = T.LongType()
-    spans = spark.createDataFrame(
-        spans,
-        T.StructType([T.StructField("_s2", T.StringType()), *(T.StructField(c, long) for c in ("_from", "_to", "_phase", "_start", "_share"))]),
-    )
-    tables = spark.createDataFrame(
-        tables, T.StructType([T.StructField("_s3", T.StringType()), *(T.StructField(c, long) for c in ("_phase3", "_at", "_slot"))])
-    )
-    in_span = F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_to"))
+    numbers = "_from long, _to long, _phase long, _start long, _share long"
+    spans = spark.createDataFrame(spans, f"_s2 string, {numbers}")
+    tables = spark.createDataFrame(tables, "_s3 string, _phase3 long, _at long, _slot long")
+    started, ended = F.col("block") >= F.col("_from"), F.col("block") >= F.col("_to")
+    in_span = F.col("_s").eqNullSafe(F.col("_s2")) & started & ~ended
     rows = rows.join(F.broadcast(spans), in_span)
     rows = rows.withColumn("_b", F.col("block") - F.col("_from"))
     found = (
