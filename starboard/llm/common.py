@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import functools
+import io
 import os
-import tempfile
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -49,17 +49,19 @@ def rank_of(columns: Sequence[str], row: str) -> Column:
     return F.struct(*parts, F.col(row).alias(row))
 
 
-@functools.cache
-def _package_zip() -> str:
+CODE = "starboard_tasks.zip"
+
+
+def _package_zip() -> bytes:
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), "starboard_tasks.zip")
-    with zipfile.ZipFile(path, "w") as archive:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
         for folder, _, files in os.walk(package):
             for name in files:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     archive.write(full, os.path.relpath(full, os.path.dirname(package)))
-    return path
+    return out.getvalue()
 
 
 # Whole texts go to Python, so that a batch of rows is to be smaller than for numbers.
@@ -67,13 +69,21 @@ BATCH_ROWS = 1000
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors once, for functions that run in Python there, and keep batches small."""
+    """Send this package to the executors once, for functions that run in Python there, and keep batches small.
+
+    It goes through the shared folder.
+    """
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(batch)) > BATCH_ROWS:
         spark.conf.set(batch, BATCH_ROWS)
     context = spark.sparkContext
-    if not any(name.endswith("starboard_tasks.zip") for name in context.listFiles):
-        context.addPyFile(_package_zip())
+    if any(name.endswith(CODE) for name in context.listFiles):
+        return
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{new_folder(spark, 'llm-code')}/{CODE}")
+    stream = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
+    stream.write(_package_zip())
+    stream.close()
+    context.addPyFile(place.toString())
 
 
 def _differs(column: pa.Array) -> pa.Array:
