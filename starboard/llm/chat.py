@@ -33,13 +33,15 @@ def unescaped(text: Column) -> Column:
 def with_ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Nodes with ``depth`` (1 for a root) and ``total`` score of their path, and the ancestors 1, 2, 4, ... above.
 
-    Each round joins the table with itself and doubles the reach, so a path of n nodes takes log2(n) rounds. A
-    parent that is not there makes a root. Nodes that lead into a circle never reach a root and are left out.
+    Each round joins the nodes that have not reached their root with all nodes and doubles the reach, so a path of
+    n nodes takes log2(n) rounds, and short ones soon drop out. A parent that is not there makes a root. Nodes that
+    lead into a circle never reach a root and are left out.
     """
     ids = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     here = F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n"))
+    found = nodes.join(ids, here, "left")
     state = stored(
-        nodes.join(ids, here, "left").select(
+        found.select(
             "tree",
             "node",
             F.col("n").alias("up"),
@@ -49,31 +51,31 @@ def with_ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         "ancestors",
     )
     most = state.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    reached, active = state.where("up IS NULL"), state.where("up IS NOT NULL")
     levels, reach = [], 1
-    while reach <= most:
-        levels.append(state.where("up IS NOT NULL").select("tree", "node", "up"))
-        if levels[-1].isEmpty():
-            break
-        above = state.select(
+    while reach <= most and not active.isEmpty():
+        levels.append(active.select("tree", "node", "up"))
+        above = reached.unionByName(active).select(
             F.col("tree").alias("t"),
             F.col("node").alias("n"),
             F.col("up").alias("up2"),
             F.col("depth").alias("d"),
             F.col("total").alias("s"),
         )
-        joined = state.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
+        further = active.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
         state = stored(
-            joined.select(
+            further.select(
                 "tree",
                 "node",
                 F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"),
+                (F.col("depth") + F.col("d")).alias("depth"),
+                (F.col("total") + F.col("s")).alias("total"),
             ),
             "ancestors",
         )
+        reached, active = reached.unionByName(state.where("up IS NULL")), state.where("up IS NOT NULL")
         reach *= 2
-    return state.where("up IS NULL").drop("up"), levels
+    return reached.drop("up"), levels
 
 
 def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
