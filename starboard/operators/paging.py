@@ -25,10 +25,13 @@ class Order:
     column: str
     descending: bool = False
 
+    def value(self) -> Column:
+        """A value that grows along the order, NULL for NULL."""
+        return -F.col(self.column) if self.descending else F.col(self.column)
+
     def keys(self) -> list[Column]:
         """Values without NULLs that grow along the order."""
-        value = -F.col(self.column) if self.descending else F.col(self.column)
-        return [F.col(self.column).isNull().cast("int"), F.coalesce(value, F.lit(0))]
+        return [F.col(self.column).isNull().cast("int"), F.coalesce(self.value(), F.lit(0))]
 
     def places(self, value) -> list:
         """The keys of a value."""
@@ -66,32 +69,35 @@ def clamp_page(page, rows: int, size: int = PAGE_SIZE) -> int:
     return number if 1 <= number <= last else last
 
 
-def _ranges(df: DataFrame, key: Column) -> tuple[Column, list[tuple[int, int]]]:
-    """The number of a row's range of ``key`` values, and the rows of each range, in order.
+def _ranges(df: DataFrame, order: Order) -> tuple[Column, list[tuple[int, int]]]:
+    """The number of a row's range of values, and the rows of each range, in order.
 
     Each cut is a range of its own (odd numbers), and so is what lies between two cuts (even
     ones). Cuts are values that occur, so every range is smaller than the whole or one value.
+    NULLs are the last range.
     """
-    steps = [i / RANGES for i in range(1, RANGES)]
-    cuts = sorted(set(df.select(F.percentile_approx(key, steps)).first()[0] or [0]))
-    values = F.array(*[F.lit(c) for c in cuts])
-    below, up_to = F.filter(values, lambda c: c < key), F.filter(values, lambda c: c <= key)
-    number = F.size(below) + F.size(up_to)
+    steps, value = [i / RANGES for i in range(1, RANGES)], order.value()
+    cuts = sorted(set(df.select(F.percentile_approx(value, steps)).first()[0] or []))
+    number = F.lit(1)
+    if cuts:
+        values = F.array(*[F.lit(c) for c in cuts])
+        below, up_to = F.filter(values, lambda c: c < value), F.filter(values, lambda c: c <= value)
+        number = F.when(value.isNull(), 2 * len(cuts) + 1).otherwise(F.size(below) + F.size(up_to))
     return number, sorted(tuple(r) for r in df.groupBy(number.alias("n")).count().collect())
 
 
 def numbered_page(df: DataFrame, order: list[Order], page, size: int = PAGE_SIZE) -> DataFrame:
     """Page ``page``, counted from 1, of ``df`` in ``order``, whose columns must identify a row.
 
-    Key by key, ranges are narrowed until the one that holds the page's first row is no longer
+    Column by column, ranges are narrowed until the one that holds the page's first row is no longer
     than a page or a single value. Only counts of ranges come to the driver; the first of them
     also give the number of pages.
     """
     keys, rows, left, offset = all_keys(order), df, None, 0
-    for key in keys:
+    for o in order:
         single = False
         while not single and (left is None or left > size):
-            number, counts = _ranges(rows, key)
+            number, counts = _ranges(rows, o)
             if left is None:
                 left = sum(count for _, count in counts)
                 offset = (clamp_page(page, left, size) - 1) * size

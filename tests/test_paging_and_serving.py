@@ -53,9 +53,9 @@ def test_deep_page_narrows_to_a_small_range(scored, monkeypatch):
     """Also among the rows with the one frequent score."""
     seen, ranges = [], paging._ranges
 
-    def watched(df, key):
+    def watched(df, column):
         seen.append(df.count())
-        return ranges(df, key)
+        return ranges(df, column)
 
     monkeypatch.setattr(paging, "_ranges", watched)
     data, df = scored
