@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +39,18 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Stored rows with a key of their own and its name, so that repeated or null ids do no harm."""
+    """Rows with a key of their own and its name, so that repeated or null ids do no harm.
+
+    The key is the same each time the rows are read, whatever executors there are: for rows of Parquet files a
+    row's place in its file, with 96 bits of hash for the file; other rows are stored with a number first.
+    """
     key = free_name(docs, "_row")
-    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+    path = F.col("_metadata.file_path")
+    place = F.struct(F.xxhash64(path).alias("file"), F.hash(path).alias("more"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.withColumn(key, place), key
+    except AnalysisException:
+        return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def rank_of(columns: Sequence[str], row: str) -> Column:
