@@ -96,7 +96,7 @@ def exact_dedup(
     Returns ``row``, the ``order`` columns, ``keep`` (a struct with the order columns of the row that stays),
     ``group_size``, ``kept``, ``text_sha256``. The first row by ``order`` stays, nulls last; of rows alike in
     these, one stays. Null text is empty, and empty texts are equal. ``row`` names a column that identifies a
-    stored row; without it one is made. Other columns are not read, whatever their names.
+    row each time it is read; without it one is made. Other columns are not read, whatever their names.
     """
     key = row or "_row"
     if row is None:

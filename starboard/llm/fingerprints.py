@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starboard.llm.common import WHITE_SPACE, stored
+from starboard.llm.common import WHITE_SPACE, stored, with_row_key
 
 WORDS = 5
 # One of 2 ** 3 hashes is kept.
@@ -99,12 +99,10 @@ def fingerprint_edited(
     """Each row's ``order`` column, ``n_chars``, ``edited``, and the sketches ``own``, ``edited_sketch``, ``next_sketch``.
 
     ``edited`` is the text with its last floor(n_chars / 2) code points replaced by the first as many, or all, of
-    the next row in descending order. Null text is empty. A single row is its own next. Without ``row``, the key of
-    stored rows, ``docs`` is read twice and has to give the same rows in the same partitions, as files do.
+    the next row in descending order. Null text is empty. A single row is its own next. ``row`` names a column that
+    identifies a row each time it is read; without it one is made.
     """
-    key = row or "_row"
-    if row is None:
-        docs = docs.withColumn(key, F.monotonically_increasing_id())
+    docs, key = (docs, row) if row else with_row_key(docs.select(order, text))
     plain = F.coalesce(F.col(text), F.lit(""))
     # Read by both joins with the same columns and key, so that whole texts are shuffled once.
     texts = docs.select(key, plain.alias("_text")).withColumn("own", sketch(F.col("_text"), words, scale_bits))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starboard.llm.common import WHITE_SPACE, stored
+from starboard.llm.common import WHITE_SPACE, stored, with_row_key
 
 MIN_SITES = 10
 LOG_REGISTERS = 12
@@ -47,12 +47,10 @@ def remove_shared_lines(
 
     Lines are parted by a line feed and compared without white space at their ends; empty ones are kept and not
     counted as shared. All places of a shared line go. A null site is no site. Null text stays null, with no lines.
-    Lines go by their 64-bit hash. Without ``row``, the key of stored rows, ``docs`` is read twice and has to give
-    the same rows in the same partitions, as files do.
+    Lines go by their 64-bit hash. ``row`` names a column that identifies a row each time it is read; without it
+    one is made.
     """
-    key = row or "_row"
-    if row is None:
-        docs = docs.withColumn(key, F.monotonically_increasing_id())
+    docs, key = (docs, row) if row else with_row_key(docs.select(*dict.fromkeys([*carry, text, site])))
     split = F.split(F.col(text), "\n")
     hashed = F.transform(split, lambda x: F.when(trimmed(x) != "", F.xxhash64(trimmed(x))))
     places = docs.select(key, F.col(site).alias("site"), F.posexplode(hashed).alias("at", "line")).where("line IS NOT NULL")
