@@ -14,7 +14,7 @@ BLOCK_ROWS = 64
 # Weights are taken in so many parts, and a schedule repeats after as many slots.
 PARTS = 1024
 # Rows of one source that are ordered together; larger sources are cut by their hash.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
 
 
 def shares(weights: Mapping[str | None, float], parts: int) -> dict[str | None, int]:
