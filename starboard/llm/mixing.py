@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping, Sequence
+import itertools
+import math
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starboard.llm.common import stored
+from starboard.llm.common import ship_code, stored
 
 BLOCK_ROWS = 64
-# Weights are taken in so many parts, and a schedule repeats after as many slots.
-PARTS = 1024
 # Rows of one source that are ordered together; larger sources are cut by their hash.
 CHUNK_ROWS = 2_000
+# Slots of the schedule that are handed over together.
+SLOT_ROWS = 10_000
 
 
 def shares(weights: Mapping[str | None, float], parts: int) -> dict[str | None, int]:
@@ -87,6 +92,65 @@ def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]
     return out
 
 
+def repeated(
+    blocks: Mapping[str | None, int], weights: Mapping[str | None, float], parts: int
+) -> Iterator[tuple[str | None, int]]:
+    """The source and the number of its block for each slot of the phases."""
+    for phase in phases(blocks, weights, parts):
+        table = sorted(phase["table"], key=phase["table"].get)
+        for t in range(sum(phase["had"].values())):
+            s, i = table[t % parts]
+            yield s, phase["before"][s] + t // parts * phase["share"][s] + i
+
+
+def exact(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]) -> Iterator[tuple[str | None, int]]:
+    """The source and the number of its block for each slot, by the weights as they are given.
+
+    The measure is the ideal mix in which all sources flow at once, each at its weight's share among those that have
+    something left. Block i of a source is released when the ideal has i of its blocks and due when it has i + 1, the
+    release rounded down and the deadline up to whole slots. In each slot the released block that is due first goes,
+    ties by source. The ideal itself shows that all deadlines can be met, so the earliest first meets them, and after
+    any number of slots each source has had what the ideal gives it, give or take less than one block: by its weight
+    until the first source ends, and by the weights of those that are left from then on. Times are exact integers,
+    whatever the weights and however many sources; what is kept is one block for each source.
+    """
+    count = {s: n for s, n in blocks.items() if n > 0}
+    if not count:
+        return
+    if min(weights[s] for s in count) <= 0:
+        raise ValueError("weights must be above 0")
+    given = {s: Fraction(weights[s]) for s in count}
+    scale = math.lcm(*(w.denominator for w in given.values()))
+    weight = {s: int(w * scale) for s, w in given.items()}
+    rank = {s: i for i, s in enumerate(sorted(count, key=lambda s: (s is None, s)))}
+    ends = sorted(count, key=lambda s: Fraction(count[s], weight[s]))
+    # When so many sources have ended: their blocks, and the weights of the others.
+    ended = [0, *itertools.accumulate(count[s] for s in ends)]
+    rates = [*itertools.accumulate((weight[s] for s in reversed(ends)), initial=0)][::-1]
+
+    def parts_of_time(s: str | None, i: int) -> tuple[int, int]:
+        """Whole slots, and the rest in parts of the source's weight, until the ideal has i blocks of the source."""
+        over = bisect_left(ends, True, key=lambda e: count[e] * weight[s] > i * weight[e])
+        whole, rest = divmod(rates[over] * i, weight[s])
+        return ended[over] + whole, rest
+
+    waiting = [(0, rank[s], s, 0) for s in count]
+    heapq.heapify(waiting)
+    ready: list[tuple] = []
+    for t in range(ended[-1]):
+        while waiting and waiting[0][0] <= t:
+            _, r, s, i = heapq.heappop(waiting)
+            whole, rest = parts_of_time(s, i + 1)
+            # The next block of the source is released where this one is due, but for the rounding.
+            heapq.heappush(ready, (whole + (rest > 0), r, s, i, whole))
+        due, r, s, i, follows = heapq.heappop(ready)
+        if due <= t:
+            raise AssertionError("a deadline was missed")
+        yield s, i
+        if i + 1 < count[s]:
+            heapq.heappush(waiting, (follows, r, s, i + 1))
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -96,16 +160,18 @@ def mix_sources(
     source: str = "source",
     seed: int = 0,
     block_rows: int = BLOCK_ROWS,
-    parts: int = PARTS,
+    parts: int | None = None,
 ) -> DataFrame:
     """``carry``, ``source``, ``block`` (within its source), ``slot`` (of the block in the mix), ``place`` (in the block).
 
     Sorting by (slot, place) gives the mix. Rows of a source are shuffled by a hash of ``carry`` and the seed and
-    cut into blocks of ``block_rows``, the last one maybe shorter. ``weights`` are the sources' shares of blocks,
-    in ``parts``; without them they follow the sources' sizes to the power ``power``. Every row comes once: when
-    a source ends, the others go on by their weights. A null source is a source. Rows alike in ``carry`` follow
-    each other in any order. The driver sees a count for each source and chunk of it, never rows; a source
-    without weight, or a weight not above 0, is an error.
+    cut into blocks of ``block_rows``, the last one maybe shorter. ``weights`` are the sources' shares of blocks;
+    without them they follow the sources' sizes to the power ``power``. Weights are kept exactly, over the whole mix
+    (see ``exact``); with ``parts`` they are rounded to so many parts, at least one for each source, and the schedule
+    of one period is repeated, so that what is rounded adds up. Every row comes once: when a source ends, the others
+    go on by their weights. A null source is a source. Rows alike in ``carry`` follow each other in any order. The
+    driver sees a count for each source, never rows; one task goes through the blocks' numbers, one for each
+    ``block_rows`` rows. A source without weight, or a weight not above 0, is an error.
     """
     spark = docs.sparkSession
     names = [F.col(c) for c in carry]
@@ -116,11 +182,16 @@ def mix_sources(
         weights = {s: n**power for s, n in sizes.items()}
     if missing := [s for s in sizes if s not in weights]:
         raise ValueError(f"sources without a weight: {missing[:5]}")
-    schedule = phases({s: -(-n // block_rows) for s, n in sizes.items()}, weights, parts)
+    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
+    if any(weights[s] <= 0 for s in blocks):
+        raise ValueError("weights must be above 0")
+    if parts is not None and len(blocks) > parts:
+        raise ValueError(f"{len(blocks)} sources do not fit into {parts} parts")
+    wanted = {s: weights[s] for s in blocks}
 
     # A row's number in its source: rows of earlier chunks, and its number in its own chunk.
     cuts = spark.createDataFrame([(s, -(-n // CHUNK_ROWS)) for s, n in sizes.items()], "_s string, _cuts long")
-    # One row for each source, at most ``parts`` of them, as shares() has seen to.
+    # One row for each source; the driver has them all.
     cut = keyed.join(F.broadcast(cuts), keyed["_s"].eqNullSafe(cuts["_s"])).drop(cuts["_s"])
     span = F.lit(2.0**64)
     chunk = F.least(((F.col("_h") + F.lit(2.0**63)) / span * F.col("_cuts")).cast("long"), F.col("_cuts") - 1)
@@ -141,24 +212,19 @@ def mix_sources(
         (at % block_rows).cast("int").alias("place"),
     )
 
-    # Slots are looked up: at most ``parts`` rows for a phase, and no more phases than sources.
-    spans, tables = [], []
-    for number, phase in enumerate(schedule):
-        for s, share in phase["share"].items():
-            spans.append((s, phase["before"][s], phase["before"][s] + phase["had"][s], number, phase["start"], share))
-        tables += [(s, number, i, slot) for (s, i), slot in phase["table"].items()]
-    numbers = "_from long, _to long, _phase long, _start long, _share long"
-    spans = spark.createDataFrame(spans, f"_s2 string, {numbers}")
-    tables = spark.createDataFrame(tables, "_s3 string, _phase3 long, _at long, _slot long")
-    started, ended = F.col("block") >= F.col("_from"), F.col("block") >= F.col("_to")
-    in_span = F.col("_s").eqNullSafe(F.col("_s2")) & started & ~ended
-    rows = rows.join(F.broadcast(spans), in_span)
-    rows = rows.withColumn("_b", F.col("block") - F.col("_from"))
-    found = (
-        F.col("_s").eqNullSafe(F.col("_s3"))
-        & (F.col("_phase") == F.col("_phase3"))
-        & (F.col("_b") % F.col("_share") == F.col("_at"))
-    )
-    rows = rows.join(F.broadcast(tables), found)
-    slot = F.col("_start") + F.expr("_b div _share") * parts + F.col("_slot")
-    return rows.select(*carry, F.col("_s").alias(source), "block", slot.alias("slot"), "place")
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            order = exact(blocks, wanted) if parts is None else repeated(blocks, wanted, parts)
+            for first in itertools.count(0, SLOT_ROWS):
+                if not (some := list(itertools.islice(order, SLOT_ROWS))):
+                    break
+                names, numbers = zip(*some)
+                columns = [pa.array(names, pa.string()), pa.array(numbers, pa.int64())]
+                columns.append(pa.array(range(first, first + len(some)), pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, ["_s2", "_block2", "slot"])
+
+    # One row for each block. A key has the rows of one block, whatever the size of its source.
+    ship_code(spark)
+    slots = stored(spark.range(1, numPartitions=1).mapInArrow(planned, "_s2 string, _block2 long, slot long"), "slots")
+    rows = rows.join(slots, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("block") == F.col("_block2")))
+    return rows.select(*carry, F.col("_s").alias(source), "block", "slot", "place")

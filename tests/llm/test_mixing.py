@@ -1,12 +1,13 @@
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from plain import no_documents, odd_documents, odd_rows
 
-from starboard.llm.mixing import mix_sources, period, phases, shares
+from starboard.llm.mixing import exact, mix_sources, period, phases, shares
 
 
 @settings(max_examples=60, deadline=None)
@@ -95,3 +96,53 @@ def test_odd_and_no_documents(spark):
     found = mix_sources(odd_documents(spark)).collect()
     assert Counter((r["doc_id"], r["source"]) for r in found) == Counter((r[0], r[3]) for r in odd_rows())
     assert mix_sources(no_documents(spark)).collect() == []
+
+
+def ideal(blocks, weights, slots):
+    """Blocks that each source has had after each number of slots if all flow at once by their weights."""
+    had, out, t = dict.fromkeys(blocks, Fraction(0)), [], Fraction(0)
+    for until in range(1, slots + 1):
+        while t < until:
+            active = [s for s in blocks if had[s] < blocks[s]]
+            total = sum(Fraction(weights[s]) for s in active)
+            step = min([until - t] + [(blocks[s] - had[s]) * total / Fraction(weights[s]) for s in active])
+            for s in active:
+                had[s] += step * Fraction(weights[s]) / total
+            t += step
+        out.append(dict(had))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(1e-4, 100), st.integers(1, 40)), min_size=1, max_size=12))
+def test_less_than_one_block_from_the_given_weights_over_the_whole_mix(sources):
+    weights, blocks = ({f"s{i}": x[k] for i, x in enumerate(sources)} for k in (0, 1))
+    had, order = Counter(), list(exact(blocks, weights))
+    for (s, i), want in zip(order, ideal(blocks, weights, len(order)), strict=True):
+        assert i == had[s]
+        had[s] += 1
+        assert all(abs(had[x] - want[x]) < 1 for x in blocks)
+    assert had == blocks
+
+
+def test_less_than_one_block_from_the_given_weights_after_many_blocks():
+    sizes = {"hot": 1_000_000} | {f"s{i}": 105_000 + 480 * i for i in range(19)}
+    weights = {s: n**0.5 for s, n in sizes.items()} | {"rare": 0.02}
+    total, had = sum(weights.values()), Counter()
+    assert weights["rare"] / total < 1 / 100_000
+    order = exact({s: -(-n // 64) for s, n in sizes.items()} | {"rare": 10}, weights)
+    for t, (s, i) in enumerate(order, 1):
+        assert i == had[s]
+        had[s] += 1
+        if t <= 30_000 and (t % 97 == 0 or t > 29_000):
+            assert all(abs(had[x] - t * w / total) < 1 + 1e-6 for x, w in weights.items())
+    assert had["hot"] == 15_625 and had["rare"] == 10
+
+
+def test_more_sources_than_a_period_had_parts(spark):
+    docs = spark.range(4500).selectExpr("id AS doc_id", "concat('s', id % 1500) AS source")
+    found = mix_sources(docs, block_rows=2).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(4500))
+    assert {r["slot"] for r in found} == set(range(3000))
+    firsts = [r["block"] for r in sorted(found, key=lambda r: (r["slot"], r["place"]))[:3000]]
+    assert set(firsts) == {0}
