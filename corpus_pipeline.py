@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 from starboard.llm.common import free_name, stored, with_row_key
 from starboard.llm.exact_dedup import exact_dedup
-from starboard.llm.language import UNKNOWN, identify_languages
+from starboard.llm.language import identify_languages, is_known, least_scores
 from starboard.llm.mixing import mix_sources
 from starboard.llm.packing import pack_documents
 from starboard.llm.queries import documents, tokenizer_file
 from starboard.llm.simhash import simhash_components
 
-# A text this far from all profiles is in none of the languages.
+# A text this far from all profiles is in none of the languages, however short it is.
 MIN_LANGUAGE_SCORE = 0.05
 
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or unlike all languages that the labels name, go; null texts are such."""
+    """Documents without letters, or unlike all languages that the labels name, go; null texts are such.
+
+    How much alike a text has to be is learned from the rows that the profiles are learned from, by number of n-grams.
+    Texts of a few words stay from ``MIN_LANGUAGE_SCORE`` on, and so do all where there are too few rows to learn from.
+    """
     name = free_name(docs, "language")
     found = identify_languages(docs, name=name)
-    kept = found.where((F.col(name)["lang_pred"] != UNKNOWN) & (F.col(name)["score"] >= MIN_LANGUAGE_SCORE))
-    return kept.select(*docs.columns)
+    learned = found.where(F.col("lang").isNotNull() & ~F.col(name)["held_out"])
+    least = least_scores(learned.select(F.col(name)["score"].alias("score"), F.col(name)["grams"].alias("grams")))
+    return found.where(is_known(F.col(name), least, MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

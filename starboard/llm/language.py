@@ -17,6 +17,12 @@ from starboard.llm.common import ship_code
 PROFILE = 400
 UNKNOWN = "und"
 SPACE = 32
+# Least scores are set for so many n-grams or more (about six words), each number up to the next one. Below, the words of
+# a clean text may all be rare, and its score be that of noise.
+BANDS = (64, 128, 256, PROFILE)
+BAND_ROWS = 100
+STRAY = 0.01
+MARGIN = 2 / 3
 
 
 @functools.cache
@@ -108,20 +114,24 @@ class Profiles:
 
     def best(self, text: str | None) -> tuple[str, float]:
         """The nearest language, ties by name, and 1 - distance as a share of the largest possible."""
+        return self.nearest(text)[:2]
+
+    def nearest(self, text: str | None) -> tuple[str, float, int]:
+        """As ``best``, and the number of n-grams that were compared."""
         codes = ngrams(text)
         if not len(codes) or not len(self.grams):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         found, counts = np.unique(codes, return_counts=True)
         found = found[np.lexsort((found, -counts))][: self.size]
         at = np.minimum(np.searchsorted(self.grams, found), len(self.grams) - 1)
         ranks = np.where(self.grams[at] == found, self.ranks[:, at], -1)
         apart = np.where(ranks >= 0, np.abs(ranks - np.arange(len(found))), self.size).sum(axis=1)
         nearest = int(apart.argmin())
-        return self.names[nearest], float(1 - apart[nearest] / (self.size * len(found)))
+        return self.names[nearest], float(1 - apart[nearest] / (self.size * len(found))), len(found)
 
 
 def identify(text: Column, profiles: Mapping[str, np.ndarray], size: int = PROFILE) -> Column:
-    """Struct of ``lang`` and ``score`` (0 to 1) for a whole text.
+    """Struct of ``lang``, ``score`` (0 to 1) and ``grams`` (n-grams compared, at most ``size``) for a whole text.
 
     The n-grams of the text are ranked by frequency, ties by code; each is out of place by the difference of its
     ranks in text and profile, or by ``size`` if the profile lacks it. ``und`` and 0 if the text is null or has no
@@ -129,9 +139,9 @@ def identify(text: Column, profiles: Mapping[str, np.ndarray], size: int = PROFI
     """
     known = Profiles(profiles, size)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, grams int")
     def found(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([known.best(t) for t in texts], columns=["lang", "score"])
+        return pd.DataFrame([known.nearest(t) for t in texts], columns=["lang", "score", "grams"])
 
     return found(text)
 
@@ -144,7 +154,7 @@ def in_training(doc_id: Column) -> Column:
 def identify_languages(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", name: str = "language"
 ) -> DataFrame:
-    """``docs`` with a struct ``name`` of ``held_out``, ``lang_pred`` and ``score``, in place of a column of that name.
+    """``docs`` with a struct ``name``, in place of a column of that name: ``held_out``, ``lang_pred``, ``score``, ``grams``.
 
     Profiles are learned from the rows that are not held out and have a language.
     """
@@ -152,4 +162,46 @@ def identify_languages(
     profiles = learn_profiles(docs.where(in_training(F.col(doc_id))), text, lang)
     found = identify(F.col(text), profiles)
     held_out = (~in_training(F.col(doc_id))).alias("held_out")
-    return docs.withColumn(name, F.struct(held_out, found["lang"].alias("lang_pred"), found["score"].alias("score")))
+    fields = (found["lang"].alias("lang_pred"), found["score"].alias("score"), found["grams"].alias("grams"))
+    return docs.withColumn(name, F.struct(held_out, *fields))
+
+
+def _band(grams: Column) -> Column:
+    """Number of the band of n-gram counts, null below the first."""
+    out = F.lit(None).cast("int")
+    for number, least in enumerate(BANDS):
+        out = F.when(grams >= least, number).otherwise(out)
+    return out
+
+
+def least_scores(scores: DataFrame) -> list[float]:
+    """For each band of n-gram counts the score that a text in a known language is to have, from those of clean texts.
+
+    ``scores`` has ``score`` and ``grams``. The least score is ``MARGIN`` times the one that all but ``STRAY`` of the
+    rows of the band reach, so that a few wrong labels among many rows do not move it. A band of fewer than
+    ``BAND_ROWS`` rows has the lowest of the others; the list is empty if there is no other. Counts of scores in
+    thousandths reach the driver, at most 1,001 for each band.
+    """
+    counted = scores.groupBy(_band(F.col("grams")).alias("band"), F.floor(F.col("score") * 1000).alias("at"))
+    found: dict[int, dict[int, int]] = {}
+    for r in counted.agg(F.count(F.lit(1)).alias("n")).where("band IS NOT NULL").collect():
+        found.setdefault(r["band"], {})[r["at"]] = r["n"]
+    least = {}
+    for band, counts in found.items():
+        rows, below = sum(counts.values()), 0
+        if rows < BAND_ROWS:
+            continue
+        for at in sorted(counts):
+            below += counts[at]
+            if below > STRAY * rows:
+                least[band] = MARGIN * at / 1000
+                break
+    return [least.get(band, min(least.values())) for band in range(len(BANDS))] if least else []
+
+
+def is_known(language: Column, least: list[float], floor: float) -> Column:
+    """Whether the language's score is that of its band or more; ``floor`` where there is none."""
+    wanted = F.lit(floor)
+    for number, score in enumerate(least):
+        wanted = F.when(_band(language["grams"]) == number, F.greatest(F.lit(floor), F.lit(score))).otherwise(wanted)
+    return (language["lang_pred"] != UNKNOWN) & (language["score"] >= wanted)

@@ -1,6 +1,8 @@
 """Registered queries: odd tables, SQL, and the pipeline against plain Python."""
 
+import base64
 import hashlib
+import random
 from collections import Counter
 
 import duckdb
@@ -105,3 +107,38 @@ def test_pipeline_catches_copies_and_keeps_the_rest(spark):
     left = list(texts.values())
     firsts = components([fingerprint(r["text"]) for r in left])
     assert kept == {left[i]["doc_id"] for i in set(firsts)}
+
+
+FOREIGN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem i "
+    "sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja "
+    "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar, akıl ve vicdana sahiptirler ve birbirlerine "
+    "karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "vi": "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi, mọi con người đều được tạo hóa "
+    "ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình anh em.",
+}
+
+
+def test_foreign_text_and_letter_noise_go_and_short_clean_texts_stay(spark, tmp_path):
+    dice = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = [r["text"].split() for r in docs.where("n_chars > 500").orderBy("doc_id").limit(200).collect()]
+    short = [" ".join(w[at : at + n]) for w in clean for n in (1, 2, 4, 12) for at in [dice.randrange(len(w) - n)]]
+    short = [t for t in short if sum(c.isalpha() for c in t) > 1]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = [" ".join("".join(dice.choices(letters, k=dice.randrange(2, 10))) for _ in range(n)) for n in (40, 200, 2000)]
+    coded = [base64.b64encode(dice.randbytes(n)).decode() for n in (300, 3000)]
+    added = [(10**9 + 4 * i, t, None, "s0", len(t)) for i, t in enumerate([*FOREIGN.values(), *noise, *coded, *short])]
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(
+        spark.createDataFrame(added, "doc_id long, text string, lang string, source string, n_chars long")
+    )
+    folder = written(both, tmp_path)
+    kept = corpus_pipeline.in_known_language(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    kept = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    unlike = len(FOREIGN) + len(noise) + len(coded)
+    assert not kept & {r[0] for r in added[:unlike]}
+    assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= kept
+    stay = [r[0] in kept for r in added[unlike:]]
+    assert len(stay) > 600 and sum(stay) >= 0.99 * len(stay)
