@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starboard.llm.common import free_name, stored, with_row_key
+from starboard.llm.common import free_name, stored, with_row_key, with_written_position
 from starboard.llm.exact_dedup import exact_dedup
 from starboard.llm.language import identify_languages, is_known, least_scores
 from starboard.llm.mixing import mix_sources
@@ -55,8 +55,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their ids in sequences. Each task packs a stretch of the mix, in its order."""
-    return pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+    """Pieces with their ids in sequences. Each stretch of the mix is packed by itself, in its order.
+
+    Sequence numbers follow the mix: that of a sequence stands where its first piece does.
+    """
+    placed, position = with_written_position(docs)
+    return pack_documents(placed, tokenizer_file("word_bpe_49k.json"), position=position)
 
 
 STAGES = [

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 import io
+import itertools
 import os
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -53,6 +55,34 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
         return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
+def with_written_position(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows of the files of one write with their number (from 0) in the order of that write, and its column's name.
+
+    The order is that of the tasks' numbers in the file names (of whole paths where there is no number), of a task's
+    files, and of the rows in a file. Rows are not moved: Spark deals files out by their size, but the rows of a task
+    that stand next to each other in a file keep doing so. The driver sees a count for each file. Rows that are not
+    from files are stored first.
+    """
+    path, at = F.col("_metadata.file_path"), free_name(docs, "_at")
+    try:
+        docs.select(path)
+    except AnalysisException:
+        docs = stored(docs, "written")
+    counts = docs.groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n")).collect()
+
+    def place(path: str) -> tuple:
+        found = re.search(r"/part-(\d+)-[^/]*?(?:-c(\d+))?[.][^/]*$", path)
+        return (0, int(found[1]), int(found[2] or 0), path) if found else (1, 0, 0, path)
+
+    counts.sort(key=lambda r: place(r["path"]))
+    before = itertools.accumulate((r["n"] for r in counts), initial=0)
+    starts = docs.sparkSession.createDataFrame([(r["path"], n) for r, n in zip(counts, before)], "_path string, _start long")
+    placed = docs.withColumn(at, F.struct(path.alias("path"), F.col("_metadata.row_index").alias("row")))
+    # One row for each file.
+    joined = placed.join(F.broadcast(starts), F.col(at)["path"] == F.col("_path"))
+    return joined.withColumn(at, F.col("_start") + F.col(at)["row"]).select(*docs.columns, at), at
+
+
 def rank_of(columns: Sequence[str], row: str) -> Column:
     """A struct that sorts by the columns, nulls last, then by row."""
     parts = [p for c in columns for p in (F.col(c).isNull().alias(f"{c}_null"), F.col(c).alias(c))]

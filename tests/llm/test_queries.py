@@ -142,3 +142,30 @@ def test_foreign_text_and_letter_noise_go_and_short_clean_texts_stay(spark, tmp_
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= kept
     stay = [r[0] in kept for r in added[unlike:]]
     assert len(stay) > 600 and sum(stay) >= 0.99 * len(stay)
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """Sources of unequal size and length, in several files of which the last are the largest."""
+    words = {"a": 500, "b": 60, "c": 5}
+    names = ["a"] * 2000 + ["b"] * 1000 + ["c"] * 1000
+    rows = [(i, " ".join(f"w{(i + k) % 97}" for k in range(words[s])), "en", s, 1) for i, s in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    path, key = str(tmp_path / "mixed"), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        corpus_pipeline.mixed(spark, docs, "").write.parquet(path)
+        found = corpus_pipeline.packed(spark, spark.read.parquet(path), "").select("doc_id", "sequence_id", "offset").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(list((tmp_path / "mixed").glob("part-*"))) > 1
+    order = spark.read.parquet(path).selectExpr("doc_id", "_metadata.file_name AS f", "_metadata.row_index AS i").collect()
+    at = {r["doc_id"]: n for n, r in enumerate(sorted(order, key=lambda r: (r["f"], r["i"])))}
+    found.sort(key=lambda r: (r["sequence_id"], r["offset"]))
+    heads = [at[r["doc_id"]] for r in found if r["offset"] == 0]
+    assert heads == sorted(heads)
+    share = {"a": 2**0.5, "b": 1, "c": 1}
+    total = sum(share.values())
+    for n in range(200, 2600, 200):
+        had = Counter(names[r["doc_id"]] for r in found[:n])
+        assert all(abs(had[s] - n * w / total) < 3 * 64 for s, w in share.items()), (n, had)
