@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starboard.llm.common import integer_names, ship_code, stored
+from starboard.llm.common import integer_names, ship_code, stored, with_row_key
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
@@ -101,10 +101,12 @@ def importance_sample(
     ``targets`` has the ids of rows of target quality; the target model is fitted on at most ``target_rows`` of
     them, those with the smallest hash of id and seed, the raw model on all rows. A text's log weight is the sum of
     its n-grams' log ratios. Adding Gumbel noise and taking the ``sample_rows`` (or that share) highest keys samples
-    without replacement in proportion to the weights. The noise comes from id and seed, so a run can be repeated.
+    without replacement in proportion to the weights. Each row has noise of its own, also among rows with one id or none;
+    it comes from seed, id and the row's key (its place in its file), so a run on the same files can be repeated.
     Ties are broken by row. Null and empty texts have weight 0; without targets all weights are 0. Null targets
     are no targets.
     """
+    docs, key = with_row_key(docs.select(doc_id, text))
     mixed = F.xxhash64(F.lit(seed), F.col(doc_id))
     ids = targets.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().orderBy(mixed, doc_id).limit(target_rows)
     chosen = ids.withColumn("_target", F.lit(True))
@@ -118,10 +120,11 @@ def importance_sample(
         features = hashed_ngrams()
         return pd.Series([float(ratios[features.buckets(t, buckets).astype(np.int64)].sum()) for t in texts], dtype="float64")
 
-    drawn = F.xxhash64(F.lit(seed + 1), F.coalesce(F.col(doc_id), F.lit(0)))
+    drawn = F.xxhash64(F.lit(seed + 1), F.col(doc_id), F.col(key))
     uniform = (F.shiftrightunsigned(drawn, 11) + F.lit(0.5)) / F.lit(2.0**53)
-    scored = docs.select(doc_id, weights(F.col(text)).alias("log_weight")).withColumn("_row", F.monotonically_increasing_id())
-    scored = scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform)))
+    scored = docs.select(doc_id, weights(F.col(text)).alias("log_weight"), (-F.log(-F.log(uniform))).alias("_noise"))
+    scored = scored.withColumn("_row", F.monotonically_increasing_id())
+    scored = scored.withColumn("sample_key", F.col("log_weight") + F.col("_noise")).drop("_noise")
     scored = stored(scored.withColumn("_down", -F.col("sample_key")), "weights")
     if sample_rows is None:
         sample_rows = round(scored.count() * sample_share)

@@ -72,3 +72,16 @@ def test_without_targets_and_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert {r["log_weight"] for r in importance_sample(odd_documents(spark), none).collect()} == {0.0}
     assert importance_sample(no_documents(spark), none).collect() == []
+
+
+@pytest.mark.parametrize("one_id", [7, None])
+def test_rows_with_one_id_have_noise_of_their_own(spark, tmp_path, one_id):
+    path = str(tmp_path / "docs")
+    rows = [(one_id, "good " * (i % 2 + 1)) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    none = spark.createDataFrame([], "doc_id long")
+    first, again = (importance_sample(spark.read.parquet(path), none, sample_rows=400).collect() for _ in range(2))
+    noise = np.array([r["sample_key"] - r["log_weight"] for r in first])
+    assert len(set(noise.round(12).tolist())) == 2000
+    assert noise.mean() == pytest.approx(0.5772, abs=0.12) and noise.var() == pytest.approx(1.645, abs=0.35)
+    assert sorted(r["sample_key"] for r in first) == sorted(r["sample_key"] for r in again)
