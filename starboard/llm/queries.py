@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starboard.llm import chat
+from starboard.llm.collocations import collocations
 from starboard.llm.exact_dedup import exact_dedup
 from starboard.llm.fingerprints import as_text, containment, fingerprint_edited, resemblance
 from starboard.llm.importance import importance_sample
@@ -109,6 +110,10 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(documents(spark, sf_dir), targets, sample_share=0.5 if share is None else share)
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_formatting,
         op9_line_dedup,
         op10_importance_resampling,
+        op13_phrase_collocations,
     )
 }
 
@@ -168,5 +174,42 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone),
        count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed
 FROM marked GROUP BY doc_id
 UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
+""",
+    "op13_phrase_collocations": r"""
+WITH cut AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM cut
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces WHERE len(w) > 0
+), spans AS (
+  SELECT lang, w, i, k FROM starts, (SELECT unnest(range(1, 6)) AS k) AS lengths WHERE i + k <= len(w) + 1
+), counted AS (
+  SELECT lang, w[i:i + k - 1] AS p, count(*) AS f FROM spans GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM counted WHERE len(p) > 1
+), scores AS (
+  SELECT c.lang, c.p, c.a, c.k, x.f AS l, y.f AS r, n,
+         CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.p = c.p[1:c.k]
+       JOIN counted y ON y.lang = c.lang AND y.p = c.p[c.k + 1:]
+       JOIN totals t ON t.lang = c.lang
+), least AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS nth FROM scores
+), inner_ AS (
+  SELECT DISTINCT lang, p[1:len(p) - 1] AS p, f FROM counted WHERE len(p) > 2
+  UNION SELECT DISTINCT lang, p[2:] AS p, f FROM counted WHERE len(p) > 2
+), kept AS (
+  SELECT s.lang, array_to_string(s.p, ' ') AS phrase, a, l, r, n, score
+  FROM least s LEFT JOIN inner_ i ON i.lang = s.lang AND i.p = s.p AND i.f = s.a WHERE nth = 1 AND i.p IS NULL
+)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM kept) AS ranked
+WHERE rank <= 2000
 """,
 }
