@@ -18,6 +18,7 @@ from starboard.llm.mixing import mix_sources
 from starboard.llm.packing import pack_documents
 from starboard.llm.simhash import simhash_components
 from starboard.llm.token_counts import count_tokens
+from starboard.llm.whitening import by_component, whiten
 
 
 def tokenizer_file(name: str) -> str:
@@ -110,6 +111,14 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(documents(spark, sf_dir), targets, sample_share=0.5 if share is None else share)
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_component(whiten(embeddings(spark, sf_dir)))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
@@ -127,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_formatting,
         op9_line_dedup,
         op10_importance_resampling,
+        op11_embedding_whitening,
         op13_phrase_collocations,
     )
 }
