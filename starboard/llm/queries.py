@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from starboard.llm import chat
 from starboard.llm.collocations import collocations
+from starboard.llm.embedding_dedup import near_vectors
 from starboard.llm.exact_dedup import exact_dedup
 from starboard.llm.fingerprints import as_text, containment, fingerprint_edited, resemblance
 from starboard.llm.importance import importance_sample
@@ -119,6 +120,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_component(whiten(embeddings(spark, sf_dir)))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(embeddings(spark, sf_dir))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
@@ -137,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_line_dedup,
         op10_importance_resampling,
         op11_embedding_whitening,
+        op12_embedding_near_dedup,
         op13_phrase_collocations,
     )
 }
