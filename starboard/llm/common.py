@@ -8,7 +8,7 @@ import itertools
 import os
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -89,6 +89,34 @@ def rank_of(columns: Sequence[str], row: str) -> Column:
     return F.struct(*parts, F.col(row).alias(row))
 
 
+# What a task remembers of words: so many bytes in all, and only words up to so many bytes.
+REMEMBERED_BYTES = 32 << 20
+LONGEST_REMEMBERED = 64
+# What an entry takes besides its word and its result.
+ENTRY_BYTES = 200
+
+
+class Remembered(dict):
+    """What ``find`` gives for words, remembered for short ones until they take ``most`` bytes, and then anew.
+
+    Long words (whole texts where a script has no spaces) are found each time they come.
+    """
+
+    def __init__(self, find: Callable, size: Callable = len, most: int = REMEMBERED_BYTES):
+        super().__init__()
+        self.find, self.size, self.most, self.held = find, size, most, 0
+
+    def __missing__(self, word):
+        found = self.find(word)
+        if len(word) <= LONGEST_REMEMBERED:
+            self.held += len(word) + self.size(found) + ENTRY_BYTES
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[word] = found
+        return found
+
+
 CODE = "starboard_tasks.zip"
 
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starboard.llm.common import integer_names, ship_code, stored, with_row_key
+from starboard.llm.common import REMEMBERED_BYTES, Remembered, integer_names, ship_code, stored, with_row_key
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
@@ -21,26 +21,17 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
 class HashedNgrams:
-    """Buckets of a text's tokens and pairs of adjacent tokens. Words between white space are remembered."""
+    """Buckets of a text's tokens and pairs of adjacent tokens. Short words between white space are remembered."""
 
-    def __init__(self, remembered: int = 600_000):
-        self.remembered = remembered
-        self.known: dict[str, bytes] = {}
+    def __init__(self, remembered: int = REMEMBERED_BYTES):
+        self.known = Remembered(self._word, most=remembered)
 
     def _word(self, word: str) -> bytes:
         hashes = [xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) for t in TOKEN.findall(word)]
         return np.array(hashes, "<u4").tobytes()
 
     def buckets(self, text: str | None, n: int) -> np.ndarray:
-        words = (text or "").split()
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        try:
-            joined = b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            for word in set(words).difference(self.known):
-                self.known[word] = self._word(word)
-            joined = b"".join(map(self.known.__getitem__, words))
+        joined = b"".join(map(self.known.__getitem__, (text or "").split()))
         one = np.frombuffer(joined, "<u4").astype(np.uint64)
         two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]
         two ^= two >> np.uint64(29)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starboard.llm.common import ship_code
+from starboard.llm.common import REMEMBERED_BYTES, Remembered, ship_code
 
 MARK = "▁"
 # Fixed value: an unknown character scores so much less than the worst piece.
@@ -26,7 +26,7 @@ class UnigramCounter:
     UTF-8 bytes. These are the tokenizer's own ties: for each place the earliest start wins.
     """
 
-    def __init__(self, pieces: dict[str, float], remembered: int = 600_000):
+    def __init__(self, pieces: dict[str, float], remembered: int = REMEMBERED_BYTES):
         import ahocorasick
 
         if any(MARK in piece.lstrip(MARK) for piece in pieces):
@@ -38,9 +38,7 @@ class UnigramCounter:
         if pieces:
             self.automaton.make_automaton()
         self.any = bool(pieces)
-        self.remembered = remembered
-        self.counts: dict[str, int] = {}
-        self.scores: dict[str, float] = {}
+        self.known = Remembered(lambda word: self.best(word.replace(" ", MARK)), size=lambda _: 64, most=remembered)
 
     def best(self, text: str) -> tuple[float, int]:
         scores, counts = [0.0], [0]
@@ -62,27 +60,16 @@ class UnigramCounter:
             counts.append(count)
         return scores[-1], counts[-1]
 
-    def _learn(self, words: set[str]) -> None:
-        for word in words:
-            self.scores[word], self.counts[word] = self.best(word.replace(" ", MARK))
-
     def count(self, text: str | None) -> tuple[int, float]:
         """Pieces and score of a text with a space put before it; (0, 0) for an empty one.
 
         No piece goes from one word into the next, so the best path of a text is that of its words one after the
-        other. Words are remembered, so many at most, and then anew. Scores that are whole numbers add up exactly.
+        other. Short words are remembered. Scores that are whole numbers add up exactly.
         """
         if not text:
             return 0, 0.0
-        words = WORD.findall(" " + text)
-        if len(self.counts) > self.remembered:
-            self.counts.clear()
-            self.scores.clear()
-        try:
-            return sum(map(self.counts.__getitem__, words)), sum(map(self.scores.__getitem__, words))
-        except KeyError:
-            self._learn(set(words).difference(self.counts))
-            return sum(map(self.counts.__getitem__, words)), sum(map(self.scores.__getitem__, words))
+        scores, counts = zip(*map(self.known.__getitem__, WORD.findall(" " + text)))
+        return sum(counts), sum(scores)
 
 
 def read_pieces(model_file: str) -> dict[str, float]:
@@ -103,7 +90,8 @@ def unigram_counter(model_file: str) -> UnigramCounter:
 def count_tokens(docs: DataFrame, model_file: str, *, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with ``n_tokens`` and ``token_score`` of the whole text; null counts as empty: 0 and 0.
 
-    Columns that had these names are replaced.
+    Columns that had these names are replaced. Texts are read whole; of very long ones without a space a task
+    remembers nothing. No rows give no rows.
     """
     ship_code(docs.sparkSession)
 

@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from starboard.llm.common import REMEMBERED_BYTES, Remembered
+
 # Chunks of ASCII and Latin-1 letters, digits and ASCII signs need no Unicode normalisation.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 # Fixed value: the tokenizer's own split, for plain lower-case chunks.
@@ -17,19 +19,22 @@ class WordBpe:
     """``ids(text)`` is what the tokenizer gives, as little-endian unsigned 32-bit values.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of its chunks
-    between ASCII white space, and ids of chunks are remembered. ``remembered`` bounds their number; beyond it
-    the memory starts anew. Strings of special tokens in a text are ordinary text.
+    between ASCII white space, and ids of short chunks are remembered, in ``remembered`` bytes. A text with the
+    string of a special token goes to the tokenizer as a whole, which gives that token.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = REMEMBERED_BYTES):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.whole = Tokenizer.from_file(path)
+        added = self.whole.get_added_tokens_decoder().values()
+        # Found in the text as it stands, before it is put into lower case.
+        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in added) or b"(?!)")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.remembered = remembered
-        self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks = Remembered(self._chunk, most=remembered)
+        self.pieces = Remembered(self._piece, most=remembered // 2)
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: letters.pre_tokenize_str(c)[0][0] for c in map(chr, range(33, 256))}
 
@@ -38,30 +43,20 @@ class WordBpe:
             mapped = "".join(map(self.as_bytes.__getitem__, piece))
         else:
             mapped = piece
-        ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-        self.pieces[piece] = ids
-        return ids
+        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
         if PLAIN.fullmatch(text):
-            known = self.pieces
-            return b"".join([known.get(p) or self._piece(p) for p in PIECE.findall(text.lower())])
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        chunks = (text or "").encode("utf-8", "replace").lower().split()  # both ASCII only
-        known = self.chunks
-        if len(known) > self.remembered:
-            known.clear()
-        if len(self.pieces) > self.remembered:
-            self.pieces.clear()
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            for chunk in set(chunks).difference(known):
-                known[chunk] = self._chunk(chunk)
-            return b"".join(map(known.__getitem__, chunks))
+        data = (text or "").encode("utf-8", "replace")
+        if self.special.search(data):
+            found = self.whole.encode(data.decode("utf-8"), add_special_tokens=False).ids
+            return np.array(found, "<u4").tobytes()
+        return b"".join(map(self.chunks.__getitem__, data.lower().split()))  # both ASCII only
 
 
 @functools.lru_cache(maxsize=1)

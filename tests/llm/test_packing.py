@@ -12,8 +12,7 @@ from starboard.llm.word_bpe import WordBpe
 
 PATH = tokenizer_file("word_bpe_49k.json")
 REAL = Tokenizer.from_file(PATH)
-REAL.encode_special_tokens = True
-OURS = WordBpe(PATH, remembered=1000)
+OURS = WordBpe(PATH, remembered=100_000)
 
 
 def real_ids(text):
@@ -32,6 +31,19 @@ def test_ids_of_any_text(text):
     assert OURS.ids(text) == real_ids(text)
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|> a", "x<|startoftext|>y", "<|ENDOFTEXT|> A", "É<|endoftext|>É <|endoftext", "<|endoftext|>" * 3])
+def test_strings_of_special_tokens(text):
+    assert OURS.ids(text) == real_ids(text)
+
+
+def test_long_words_are_not_remembered():
+    ours = WordBpe(PATH, remembered=10_000)
+    for i in range(200):
+        text = f"{'x' * 3000}{i} {'中' * 500} {i}"
+        assert ours.ids(text) == real_ids(text)
+    assert max(map(len, ours.chunks)) <= 64 and ours.chunks.held <= 10_300 and len(ours.chunks) < 60
+
+
 def test_ids_of_documents():
     for r in odd_rows():
         assert OURS.ids(r[1]) == real_ids(r[1] or "")
