@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import math
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starboard.llm.common import ship_code, stored
+from starboard.llm.common import ship_code, stored, with_row_key
 
 BLOCK_ROWS = 64
 # Rows of one source that are ordered together; larger sources are cut by their hash.
@@ -22,87 +23,6 @@ CHUNK_ROWS = 2_000
 SLOT_ROWS = 10_000
 
 
-def shares(weights: Mapping[str | None, float], parts: int) -> dict[str | None, int]:
-    """Weights in whole parts that add up to ``parts``: largest remainders, but at least one part for each source."""
-    if len(weights) > parts:
-        raise ValueError(f"{len(weights)} sources do not fit into {parts} parts")
-    if min(weights.values()) <= 0:
-        raise ValueError("weights must be above 0")
-    total = sum(weights.values())
-    exact = {s: w / total * parts for s, w in weights.items()}
-    out = {s: max(1, int(e)) for s, e in exact.items()}
-    rank = {s: i for i, s in enumerate(sorted(weights, key=lambda s: (s is None, s)))}
-    while (over := sum(out.values()) - parts) != 0:
-        step = -1 if over > 0 else 1
-        able = [s for s in out if out[s] + step > 0]
-        out[max(able, key=lambda s: (step * (exact[s] - out[s]), -rank[s]))] += step
-    return out
-
-
-def period(share: Mapping[str | None, int]) -> list[tuple[str | None, int]]:
-    """The source and the number (from 0) of its block for each slot of one period.
-
-    Block i of a source with share a of A parts is released at floor(i A / a) and due by ceil((i + 1) A / a). In
-    each slot the released block that is due first goes, ties by source. All deadlines are met, so that after t
-    slots a source has had t a / A blocks, give or take less than one, and the period ends without arrears.
-    """
-    slots = sum(share.values())
-    rank = {s: i for i, s in enumerate(sorted(share, key=lambda s: (s is None, s)))}
-    waiting = [(0, rank[s], s, 0) for s in share]
-    heapq.heapify(waiting)
-    ready: list[tuple] = []
-    out = []
-    for t in range(slots):
-        while waiting and waiting[0][0] <= t:
-            _, r, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * slots // share[s]), r, s, i))
-        due, r, s, i = heapq.heappop(ready)
-        if due <= t:
-            raise AssertionError("a deadline was missed")
-        out.append((s, i))
-        if i + 1 < share[s]:
-            heapq.heappush(waiting, ((i + 1) * slots // share[s], r, s, i + 1))
-    return out
-
-
-def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], parts: int) -> list[dict]:
-    """Schedules one after the other; each lasts until the first of its sources has no block left.
-
-    The sources that remain go on with their weights among themselves. A phase has its first slot, its repeating
-    table, and for each source the number of blocks it had before.
-    """
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done, start, out = dict.fromkeys(left, 0), 0, []
-    while left:
-        share = shares({s: weights[s] for s in left}, parts)
-        table = period(share)
-        at = {(s, i): slot for slot, (s, i) in enumerate(table)}
-        last = {s: (n - 1) // share[s] * parts + at[s, (n - 1) % share[s]] for s, n in left.items()}
-        length = min(last.values()) + 1
-        whole, part = divmod(length, parts)
-        had = {s: whole * share[s] for s in left}
-        for s, _ in table[:part]:
-            had[s] += 1
-        out.append({"start": start, "table": at, "share": share, "before": dict(done), "had": had})
-        for s, n in had.items():
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        start += length
-    return out
-
-
-def repeated(
-    blocks: Mapping[str | None, int], weights: Mapping[str | None, float], parts: int
-) -> Iterator[tuple[str | None, int]]:
-    """The source and the number of its block for each slot of the phases."""
-    for phase in phases(blocks, weights, parts):
-        table = sorted(phase["table"], key=phase["table"].get)
-        for t in range(sum(phase["had"].values())):
-            s, i = table[t % parts]
-            yield s, phase["before"][s] + t // parts * phase["share"][s] + i
-
-
 def exact(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]) -> Iterator[tuple[str | None, int]]:
     """The source and the number of its block for each slot, by the weights as they are given.
 
@@ -158,41 +78,44 @@ def mix_sources(
     power: float = 0.5,
     carry: Sequence[str] = ("doc_id",),
     source: str = "source",
+    by: Sequence[str] | None = None,
     seed: int = 0,
     block_rows: int = BLOCK_ROWS,
-    parts: int | None = None,
 ) -> DataFrame:
     """``carry``, ``source``, ``block`` (within its source), ``slot`` (of the block in the mix), ``place`` (in the block).
 
-    Sorting by (slot, place) gives the mix. Rows of a source are shuffled by a hash of ``carry`` and the seed and
-    cut into blocks of ``block_rows``, the last one maybe shorter. ``weights`` are the sources' shares of blocks;
-    without them they follow the sources' sizes to the power ``power``. Weights are kept exactly, over the whole mix
-    (see ``exact``); with ``parts`` they are rounded to so many parts, at least one for each source, and the schedule
-    of one period is repeated, so that what is rounded adds up. Every row comes once: when a source ends, the others
-    go on by their weights. A null source is a source. Rows alike in ``carry`` follow each other in any order. The
-    driver sees a count for each source, never rows; one task goes through the blocks' numbers, one for each
-    ``block_rows`` rows. A source without weight, or a weight not above 0, is an error.
+    Sorting by (slot, place) gives the mix. Rows of a source are shuffled by a hash of the columns ``by`` (``carry``,
+    if none are named) and the seed and cut into blocks of ``block_rows``, the last one maybe shorter. ``weights`` are the
+    sources' shares of blocks; without them they follow the sources' sizes to the power ``power``. Weights are kept
+    exactly, over the whole mix (see ``exact``). Every row comes once: when a source ends, the others go on by their
+    weights. A null source is a source. Rows alike in ``by`` follow each other in any order; rows that have only nulls
+    there are shuffled by their place in their files instead, so that they do not meet in one task. One task goes
+    through the sources and the blocks' numbers, one number for each ``block_rows`` rows; the driver sees neither. A source without
+    weight, or a weight not above 0, is an error. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
+    by = list(by or carry)
+    docs, row = with_row_key(docs.select(*dict.fromkeys([*carry, source, *by])))
     names = [F.col(c) for c in carry]
-    mixed = F.xxhash64(F.lit(seed), *(F.coalesce(c.cast("string"), F.lit("")) for c in names))
+    mixed = F.xxhash64(F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by))
+    nothing = functools.reduce(lambda a, b: a & b, (F.col(c).isNull() for c in by))
+    mixed = F.when(nothing, F.xxhash64(F.lit(seed), F.col(row))).otherwise(mixed)
     keyed = docs.select(*names, F.col(source).alias("_s"), mixed.alias("_h"))
-    sizes = {r["_s"]: r["n"] for r in docs.groupBy(F.col(source).alias("_s")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if weights is None:
-        weights = {s: n**power for s, n in sizes.items()}
-    if missing := [s for s in sizes if s not in weights]:
-        raise ValueError(f"sources without a weight: {missing[:5]}")
-    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    if any(weights[s] <= 0 for s in blocks):
+    sizes = stored(keyed.groupBy("_s").agg(F.count(F.lit(1)).alias("n")), "sources")
+    if weights is not None:
+        known = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "_known string, w double")
+        sizes = sizes.join(known, F.col("_s").eqNullSafe(F.col("_known")), "left").select("_s", "n", "w")
+        if missing := [r["_s"] for r in sizes.where("w IS NULL").limit(5).collect()]:
+            raise ValueError(f"sources without a weight: {missing}")
+    else:
+        sizes = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(power))))
+    if not sizes.where("NOT w > 0").isEmpty():
         raise ValueError("weights must be above 0")
-    if parts is not None and len(blocks) > parts:
-        raise ValueError(f"{len(blocks)} sources do not fit into {parts} parts")
-    wanted = {s: weights[s] for s in blocks}
 
     # A row's number in its source: rows of earlier chunks, and its number in its own chunk.
-    cuts = spark.createDataFrame([(s, -(-n // CHUNK_ROWS)) for s, n in sizes.items()], "_s string, _cuts long")
-    # One row for each source; the driver has them all.
-    cut = keyed.join(F.broadcast(cuts), keyed["_s"].eqNullSafe(cuts["_s"])).drop(cuts["_s"])
+    cuts = sizes.select("_s", F.ceil(F.col("n") / CHUNK_ROWS).cast("long").alias("_cuts")).alias("cuts")
+    cut = keyed.alias("k").join(cuts, F.col("k._s").eqNullSafe(F.col("cuts._s")))
+    cut = cut.select(*(F.col(f"k.{c}") for c in carry), F.col("k._s").alias("_s"), "_h", "_cuts")
     span = F.lit(2.0**64)
     chunk = F.least(((F.col("_h") + F.lit(2.0**63)) / span * F.col("_cuts")).cast("long"), F.col("_cuts") - 1)
     cut = stored(cut.select(*carry, "_s", "_h", chunk.alias("_chunk")), "chunks")
@@ -213,18 +136,22 @@ def mix_sources(
     )
 
     def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            order = exact(blocks, wanted) if parts is None else repeated(blocks, wanted, parts)
-            for first in itertools.count(0, SLOT_ROWS):
-                if not (some := list(itertools.islice(order, SLOT_ROWS))):
-                    break
-                names, numbers = zip(*some)
-                columns = [pa.array(names, pa.string()), pa.array(numbers, pa.int64())]
-                columns.append(pa.array(range(first, first + len(some)), pa.int64()))
-                yield pa.RecordBatch.from_arrays(columns, ["_s2", "_block2", "slot"])
+        blocks, wanted = {}, {}
+        for batch in batches:
+            for s, n, w in zip(*(batch.column(c).to_pylist() for c in ("_s", "n", "w"))):
+                blocks[s], wanted[s] = -(-n // block_rows), w
+        order = exact(blocks, wanted)
+        for first in itertools.count(0, SLOT_ROWS):
+            if not (some := list(itertools.islice(order, SLOT_ROWS))):
+                break
+            names, numbers = zip(*some)
+            columns = [pa.array(names, pa.string()), pa.array(numbers, pa.int64())]
+            columns.append(pa.array(range(first, first + len(some)), pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, ["_s2", "_block2", "slot"])
 
     # One row for each block. A key has the rows of one block, whatever the size of its source.
     ship_code(spark)
-    slots = stored(spark.range(1, numPartitions=1).mapInArrow(planned, "_s2 string, _block2 long, slot long"), "slots")
+    in_one = sizes.select(F.col("_s").cast("string").alias("_s"), "n", "w").coalesce(1)
+    slots = stored(in_one.mapInArrow(planned, "_s2 string, _block2 long, slot long"), "slots")
     rows = rows.join(slots, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("block") == F.col("_block2")))
     return rows.select(*carry, F.col("_s").alias(source), "block", "slot", "place")

@@ -7,26 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from plain import no_documents, odd_documents, odd_rows
 
-from starboard.llm.mixing import exact, mix_sources, period, phases, shares
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.floats(0.01, 100), min_size=1, max_size=12), st.integers(12, 200))
-def test_less_than_one_block_from_the_weights(weights, parts):
-    share = shares({f"s{i}": w for i, w in enumerate(weights)}, parts)
-    assert sum(share.values()) == parts and min(share.values()) >= 1
-    had = Counter()
-    for t, (s, i) in enumerate(period(share), 1):
-        assert i == had[s]
-        had[s] += 1
-        assert all(abs(had[x] * parts - t * a) < parts for x, a in share.items())
-    assert had == share
-
-
-def test_shares_are_the_nearest():
-    assert shares({"a": 2, "b": 1, "c": 1}, 1024) == {"a": 512, "b": 256, "c": 256}
-    assert shares({"a": 1, "b": 1, "c": 1}, 10) == {"a": 4, "b": 3, "c": 3}
-    assert shares({"a": 1e9, "b": 1}, 10) == {"a": 9, "b": 1}
+from starboard.llm.mixing import exact, mix_sources
 
 
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {}, {"a": 0, "b": 1, "c": 1}])
@@ -36,37 +17,7 @@ def test_weights_that_do_not_fit_are_errors(spark, weights):
         mix_sources(docs, weights=weights)
 
 
-def test_phases_use_every_block_once():
-    dice = random.Random(4)
-    blocks = {f"s{i}": dice.randrange(1, 400) for i in range(6)} | {None: 5}
-    weights = {s: dice.random() + 0.1 for s in blocks}
-    found, end = Counter(), 0
-    for phase in phases(blocks, weights, 64):
-        assert phase["start"] == end and all(phase["before"][s] == found[s] for s in phase["share"])
-        found.update(phase["had"])
-        end += sum(phase["had"].values())
-    assert found == blocks and end == sum(blocks.values())
-
-
-def scheduled(sizes, weights, block_rows, parts):
-    """Slots of all blocks by a plain simulation, slot after slot."""
-    left = {s: -(-n // block_rows) for s, n in sizes.items()}
-    out, done = [], Counter()
-    while left:
-        share, had = shares({s: weights[s] for s in left}, parts), Counter()
-        t = 0
-        while all(had[s] < n for s, n in left.items()):
-            due = [(-(-(had[s] + 1) * parts // a), s is None, s or "", s) for s, a in share.items() if had[s] * parts // a <= t]
-            s = min(due)[-1]
-            out.append((s, done[s] + had[s]))
-            had[s] += 1
-            t += 1
-        done.update(had)
-        left = {s: n - had[s] for s, n in left.items() if n > had[s]}
-    return out
-
-
-def test_slots_of_rows_against_a_simulation(spark, monkeypatch):
+def test_slots_of_rows_against_the_schedule(spark, monkeypatch):
     import starboard.llm.mixing as mixing
 
     monkeypatch.setattr(mixing, "CHUNK_ROWS", 50)
@@ -74,11 +25,11 @@ def test_slots_of_rows_against_a_simulation(spark, monkeypatch):
     weights = {"hot": 0.4, "b": 0.3, "c": 0.2, None: 0.1}
     names = [s for s, n in sizes.items() for _ in range(n)]
     docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string").repartition(5)
-    found = mix_sources(docs, weights=weights, block_rows=8, parts=32).collect()
+    found = mix_sources(docs, weights=weights, block_rows=8).collect()
     assert sorted(r["doc_id"] for r in found) == list(range(len(names)))
     assert all(names[r["doc_id"]] == r["source"] for r in found)
     slots = {r["slot"]: (r["source"], r["block"]) for r in found}
-    assert [slots[t] for t in sorted(slots)] == scheduled(sizes, weights, 8, 32)
+    assert [slots[t] for t in sorted(slots)] == list(exact({s: -(-n // 8) for s, n in sizes.items()}, weights))
     assert sorted(slots) == list(range(len(slots)))
     places = Counter((r["slot"], r["place"]) for r in found)
     assert max(places.values()) == 1 and all(p < 8 for _, p in places)
@@ -92,6 +43,25 @@ def test_a_second_run_gives_the_same_and_another_seed_another_mix(spark):
     assert sorted(map(tuple, mix_sources(docs, seed=1).collect())) != first
 
 
+def test_rows_without_an_id_are_spread(spark, tmp_path, monkeypatch):
+    import starboard.llm.mixing as mixing
+
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 50)
+    path = str(tmp_path / "docs")
+    spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, id) AS doc_id", "'s' AS source").repartition(4).write.parquet(path)
+    found = mix_sources(spark.read.parquet(path), block_rows=100).collect()
+    assert sum(r["doc_id"] is None for r in found) == 1000
+    by_slot = Counter(r["slot"] for r in found if r["doc_id"] is None)
+    assert len(by_slot) == 30 and max(by_slot.values()) < 60
+
+
+def test_the_order_can_follow_other_columns(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
+    first = {r["text"]: r["slot"] for r in mix_sources(docs, carry=("text",), by=("text",)).collect()}
+    again = mix_sources(docs.selectExpr("doc_id + 7 AS doc_id", "text", "source"), carry=("doc_id", "text"), by=("text",))
+    assert {r["text"]: r["slot"] for r in again.collect()} == first
+
+
 def test_odd_and_no_documents(spark):
     found = mix_sources(odd_documents(spark)).collect()
     assert Counter((r["doc_id"], r["source"]) for r in found) == Counter((r[0], r[3]) for r in odd_rows())
