@@ -17,12 +17,16 @@ from starboard.llm.common import ship_code
 PROFILE = 400
 UNKNOWN = "und"
 SPACE = 32
-# Least scores are set for so many n-grams or more (about six words), each number up to the next one. Below, the words of
-# a clean text may all be rare, and its score be that of noise.
-BANDS = (64, 128, 256, PROFILE)
-BAND_ROWS = 100
+# At so many n-grams a text needs half the score of a long one: the words of a clean short text may all be rare.
+HALF = 16
+# Share of the known rows that the threshold leaves aside, and how far below the others it lies.
 STRAY = 0.01
 MARGIN = 2 / 3
+# What stands in for known rows where there are few.
+PRIOR = 0.5
+PRIOR_ROWS = 20
+# N-grams that a task counts before it hands them over.
+HELD_GRAMS = 1 << 20
 
 
 @functools.cache
@@ -72,6 +76,15 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
             known = total.get(name, (np.empty(0, np.uint64), np.empty(0, np.int64)))
             total[name] = _count([known[0], *codes], [known[1], *(np.ones(len(c), np.int64) for c in codes)])
 
+        def handed_over() -> Iterator[pa.RecordBatch]:
+            for name in list(fresh):
+                settle(name)
+            for name, (codes, counts) in total.items():
+                columns = [pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
+            total.clear()
+            held.clear()
+
         held: dict[str, int] = {}
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -81,16 +94,9 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
                 if held[name] > 1 << 20:
                     settle(name)
                     held[name] = 0
-        for name in list(fresh):
-            settle(name)
-        for name, (codes, counts) in total.items():
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "lang": pa.array([name] * len(codes), pa.string()),
-                    "gram": pa.array(codes.astype(np.int64), pa.int64()),
-                    "n": pa.array(counts, pa.int64()),
-                }
-            )
+            if sum(len(codes) for codes, _ in total.values()) > HELD_GRAMS:
+                yield from handed_over()
+        yield from handed_over()
 
     labelled = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     sums = labelled.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -156,7 +162,8 @@ def identify_languages(
 ) -> DataFrame:
     """``docs`` with a struct ``name``, in place of a column of that name: ``held_out``, ``lang_pred``, ``score``, ``grams``.
 
-    Profiles are learned from the rows that are not held out and have a language.
+    Profiles are learned from the rows that are not held out and have a language; repeated rows count each time.
+    Nearest languages that are equally near go by name. An empty table gives no rows.
     """
     ship_code(docs.sparkSession)
     profiles = learn_profiles(docs.where(in_training(F.col(doc_id))), text, lang)
@@ -166,42 +173,30 @@ def identify_languages(
     return docs.withColumn(name, F.struct(held_out, *fields))
 
 
-def _band(grams: Column) -> Column:
-    """Number of the band of n-gram counts, null below the first."""
-    out = F.lit(None).cast("int")
-    for number, least in enumerate(BANDS):
-        out = F.when(grams >= least, number).otherwise(out)
-    return out
+def confidence(language: Column) -> Column:
+    """The score on one scale for texts of all lengths: what a few n-grams score is lifted, by their number."""
+    grams = language["grams"]
+    return language["score"] * (grams + HALF) / F.greatest(grams, F.lit(1))
 
 
-def least_scores(scores: DataFrame) -> list[float]:
-    """For each band of n-gram counts the score that a text in a known language is to have, from those of clean texts.
+def least_confidence(known: DataFrame, confidence: str = "confidence") -> float:
+    """The confidence that a text in a known language is to have, from those of clean texts.
 
-    ``scores`` has ``score`` and ``grams``. The least score is ``MARGIN`` times the one that all but ``STRAY`` of the
-    rows of the band reach, so that a few wrong labels among many rows do not move it. A band of fewer than
-    ``BAND_ROWS`` rows has the lowest of the others; the list is empty if there is no other. Counts of scores in
-    thousandths reach the driver, at most 1,001 for each band.
+    It is ``MARGIN`` times the one that all but ``STRAY`` of the rows of ``known`` reach, counted together with
+    ``PRIOR_ROWS`` rows of confidence ``PRIOR``: so few rows say little, many rows alone decide, and a few wrong labels
+    among them do not move it. The rule is the same for any number of rows. At most 3,000 counts reach the driver.
     """
-    counted = scores.groupBy(_band(F.col("grams")).alias("band"), F.floor(F.col("score") * 1000).alias("at"))
-    found: dict[int, dict[int, int]] = {}
-    for r in counted.agg(F.count(F.lit(1)).alias("n")).where("band IS NOT NULL").collect():
-        found.setdefault(r["band"], {})[r["at"]] = r["n"]
-    least = {}
-    for band, counts in found.items():
-        rows, below = sum(counts.values()), 0
-        if rows < BAND_ROWS:
-            continue
-        for at in sorted(counts):
-            below += counts[at]
-            if below > STRAY * rows:
-                least[band] = MARGIN * at / 1000
-                break
-    return [least.get(band, min(least.values())) for band in range(len(BANDS))] if least else []
-
-
-def is_known(language: Column, least: list[float], floor: float) -> Column:
-    """Whether the language's score is that of its band or more; ``floor`` where there is none."""
-    wanted = F.lit(floor)
-    for number, score in enumerate(least):
-        wanted = F.when(_band(language["grams"]) == number, F.greatest(F.lit(floor), F.lit(score))).otherwise(wanted)
-    return (language["lang_pred"] != UNKNOWN) & (language["score"] >= wanted)
+    counts = {round(PRIOR * 1000): PRIOR_ROWS}
+    for r in known.groupBy(F.floor(F.col(confidence) * 1000).alias("at")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["at"]] = counts.get(r["at"], 0) + r["n"]
+    rows, below = sum(counts.values()), 0
+    for at in sorted(counts):
+        below += counts[at]
+        if below > STRAY * rows:
+            return MARGIN * at / 1000
+    return 0.0
+
+
+def is_known(language: Column, least: float) -> Column:
+    """Whether the text has letters and the language's confidence is at least so much."""
+    return (language["lang_pred"] != UNKNOWN) & (confidence(language) >= least)

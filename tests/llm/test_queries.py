@@ -63,7 +63,7 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         if name != "pack":
             assert after.columns == before.columns
     profiles = Profiles(learn_profiles(odd_documents(spark).where("doc_id IS NULL OR crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 <> 2")), 400)
-    known = [r for r in odd_rows() if profiles.best(r[1])[1] >= corpus_pipeline.MIN_LANGUAGE_SCORE]
+    known = [r for r in odd_rows() if profiles.best(r[1])[0] != "und"]
     assert Counter(rows["language"]) == Counter(known)
     assert {r[1] for r in odd_rows()} - {r[1] for r in known} == {None, "", " \t\n", "123 456"}
 
@@ -144,6 +144,44 @@ def test_foreign_text_and_letter_noise_go_and_short_clean_texts_stay(spark, tmp_
     assert len(stay) > 600 and sum(stay) >= 0.99 * len(stay)
 
 
+@pytest.mark.parametrize("rows", [200, 1000, 10_000])
+def test_language_threshold_on_tables_of_any_size(spark, tmp_path, rows):
+    """What stays of noise, foreign and clean text must not depend on how many rows there are to learn from."""
+    dice = random.Random(rows)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(rows)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = [" ".join("".join(dice.choices(letters, k=dice.randrange(2, 10))) for _ in range(n)) for n in (16, 32, 64, 500) for _ in range(25)]
+    foreign = [" ".join(t.split()[i : i + 18]) for t in FOREIGN.values() for i in range(5)]
+    added = [(10**9 + i, t, None, "s0", len(t)) for i, t in enumerate([*noise, *foreign])]
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(
+        spark.createDataFrame(added, "doc_id long, text string, lang string, source string, n_chars long")
+    )
+    folder = written(both, tmp_path)
+    kept = corpus_pipeline.in_known_language(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    lost = docs.where("text IS NOT NULL").count() - sum(i < 10**9 for i in ids)
+    stay = [sum(10**9 + first <= i < 10**9 + end for i in ids) for first, end in ((0, 100), (100, 120))]
+    print(rows, "noise", stay[0], "of 100, foreign", stay[1], "of 20, clean lost", lost)
+    assert stay[0] <= 1 and stay[1] <= 2 and lost <= rows / 1000
+
+
+def test_two_runs_agree_whatever_the_files(spark, tmp_path):
+    """Rows with one id and other texts, and rows without an id; the second run has the rows in other files."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    again = docs.limit(40).selectExpr("IF(doc_id % 2 = 0, doc_id, NULL) AS doc_id", "concat(text, ' ', doc_id, ' x y z ', n_chars) AS text", "lang", "source", "n_chars")
+    both = docs.select(*again.columns).unionByName(again)
+    shown = []
+    for folder, files in ((tmp_path / "a", 2), (tmp_path / "b", 5)):
+        both.repartition(files).write.parquet(f"{folder}/documents.parquet")
+        run, order = str(folder), []
+        for name, _, after in stages(spark, run):
+            if name == "mix":
+                after = after.selectExpr("doc_id", "text", "_metadata.file_name AS f", "_metadata.row_index AS i")
+                order = [(r["doc_id"], r["text"]) for r in sorted(after.collect(), key=lambda r: (r["f"], r["i"]))]
+        shown.append(order)
+    assert shown[0] == shown[1] and len(shown[0]) > 150
+
+
 def test_sequences_follow_the_mix(spark, tmp_path):
     """Sources of unequal size and length, in several files of which the last are the largest."""
     words = {"a": 500, "b": 60, "c": 5}
