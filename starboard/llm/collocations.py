@@ -120,7 +120,7 @@ def in_filter(bits: np.ndarray, lang: str, word: bytes) -> bool:
 
 @dataclass
 class Suffixes:
-    """Distinct suffixes of frequent words, cut at ``words`` words, with their counts.
+    """Distinct suffixes of two or more frequent words, cut at ``words`` words, with their counts.
 
     ``rows`` holds numbers of ``vocabulary``, -1 where a suffix has ended, and is sorted.
     """
@@ -175,7 +175,8 @@ class _Held:
         rows = np.stack([ids[i : i + starts] for i in range(words)], axis=1) if starts else np.empty((0, words), np.int32)
         for i in range(1, words):
             rows[rows[:, i - 1] < 0, i] = -1
-        rows = rows[rows[:, 0] >= 0]
+        # Of single words all is known already.
+        rows = rows[(rows[:, 0] >= 0) & (rows[:, 1] >= 0)]
         return Suffixes(self.vocabulary, *sorted_rows(rows, np.ones(len(rows), np.int64)))
 
 
@@ -302,14 +303,15 @@ def _extensions(docs: DataFrame, heavy: Mapping, frequent: np.ndarray, length: i
     return docs.mapInArrow(counted, "lang string, phrase binary, f long")
 
 
-def pack_rows(rows: np.ndarray) -> bytes:
-    """Numbers column by column, and of each column first all low bytes, so that what is alike lies together."""
-    return np.ascontiguousarray((rows.T + 1).astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers column by column, of all first the low bytes, so that what is alike lies together, and compressed."""
+    planes = np.ascontiguousarray(numbers.T.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def unpack_rows(data: bytes, words: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(words, -1).T.astype(np.int32) - 1
+def unpack(data: bytes, rows: int, columns: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, rows * columns * 4, codec="zstd"), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(columns, rows).T
 
 
 def dealt_suffixes(docs: DataFrame, plan: Plan, frequent: np.ndarray, words: int) -> DataFrame:
@@ -323,21 +325,21 @@ def dealt_suffixes(docs: DataFrame, plan: Plan, frequent: np.ndarray, words: int
                 used, local = np.unique(rows, return_inverse=True)
                 skip = int(used[0] < 0)
                 rows = local.reshape(rows.shape) - skip
-                counts = found.counts[at].astype("<i8")
                 out.append(
                     {
                         "group": group,
                         "lang": lang,
                         "vocabulary": b" ".join([found.vocabulary[i] for i in used[skip:]]),
-                        "suffixes": pack_rows(rows),
-                        "counts": np.ascontiguousarray(counts).view(np.uint8).reshape(-1, 8).T.tobytes(),
+                        "suffixes": pack(rows + 1),
+                        "counts": pack(found.counts[at]),
+                        "n": len(rows),
                     }
                 )
             if out:
-                kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+                kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(zip(out[0], kinds))))
 
-    return docs.mapInArrow(dealt, "group int, lang string, vocabulary binary, suffixes binary, counts binary")
+    return docs.mapInArrow(dealt, "group int, lang string, vocabulary binary, suffixes binary, counts binary, n int")
 
 
 def subtree_counts(found: Suffixes, min_count: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -359,15 +361,13 @@ def subtree_counts(found: Suffixes, min_count: int) -> Iterator[tuple[int, np.nd
         yield depth, rows[first[node], :depth], total[node]
 
 
-def _merged(vocabularies: Sequence[bytes], packed: Sequence[bytes], counts: Sequence[bytes], words: int) -> Suffixes:
+def _merged(parts: Iterator[tuple[bytes, bytes, bytes, int]], words: int) -> Suffixes:
     known: dict[bytes, int] = {}
     rows, totals = [], []
-    for vocabulary, data, n in zip(vocabularies, packed, counts):
-        names = vocabulary.split(b" ")
-        ids = np.array([known.setdefault(w, len(known)) for w in names] + [-1], np.int32)
-        rows.append(ids[unpack_rows(data, words)])
-        planes = np.frombuffer(n, np.uint8).reshape(8, -1)
-        totals.append(np.ascontiguousarray(planes.T).view("<i8").reshape(-1))
+    for vocabulary, packed, counts, n in parts:
+        ids = np.array([-1, *(known.setdefault(w, len(known)) for w in vocabulary.split(b" "))], np.int32)
+        rows.append(ids[unpack(packed, n, words)])
+        totals.append(unpack(counts, n, 1)[:, 0].astype(np.int64))
     return Suffixes(list(known), *sorted_rows(np.concatenate(rows), np.concatenate(totals)))
 
 
@@ -378,7 +378,8 @@ def phrase_counts(
 
     ``docs`` has ``lang`` and ``text``, no nulls in ``lang``. Returns ``lang``, ``phrase`` (binary, joined by spaces),
     ``words``, ``f``, and ``lang``, ``n``. Prefixes are grouped so that a group has at most ``budget`` suffixes;
-    each group's subtrees are built by one task, independently of the others.
+    each group's subtrees are built by one task, independently of the others. The counts of single words, and of prefixes
+    that are spread over several groups, are those that the groups were made by.
     """
     ship_code(docs.sparkSession)
     levels = [stored(word_counts(docs), "words")]
@@ -392,13 +393,13 @@ def phrase_counts(
         langs = table.column("lang").to_pylist()
         for lang in sorted(set(langs)):
             at = [i for i, name in enumerate(langs) if name == lang]
-            parts = [[table.column(c)[i].as_py() for i in at] for c in ("vocabulary", "suffixes", "counts")]
-            found = _merged(*parts, words)
+            columns = [table.column(c) for c in ("vocabulary", "suffixes", "counts", "n")]
+            found = _merged((tuple(c[i].as_py() for c in columns) for i in at), words)
             for depth, rows, totals in subtree_counts(found, min_count):
                 for row, total in zip(rows, totals.tolist()):
                     phrase = found.phrase(row)
                     # Such a node has leaves in other groups; its count is known from the passes before.
-                    if (lang, phrase) not in heavy:
+                    if depth > 1 and (lang, phrase) not in heavy:
                         for c, v in zip(out, (lang, phrase, depth, total)):
                             out[c].append(v)
         kinds = [pa.string(), pa.binary(), pa.int32(), pa.int64()]
@@ -407,8 +408,8 @@ def phrase_counts(
     dealt = dealt_suffixes(docs, plan, frequent, words)
     found = dealt.groupBy("group").applyInArrow(counted, "lang string, phrase binary, words int, f long")
     for depth, level in enumerate(levels, 1):
-        too_frequent = level.where(F.col("f") > max(budget, min_count - 1))
-        found = found.unionByName(too_frequent.select("lang", "phrase", F.lit(depth).alias("words"), "f"))
+        known = level.where(F.col("f") >= (min_count if depth == 1 else max(budget + 1, min_count)))
+        found = found.unionByName(known.select("lang", "phrase", F.lit(depth).alias("words"), "f"))
     return stored(found, "phrases"), stored(totals, "word-totals")
 
 
