@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Container, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -134,73 +134,104 @@ class Suffixes:
 
 
 def sorted_rows(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal rows together, in order."""
+    """Equal rows together, in order. As many columns as fit into 64 bits are sorted as one number."""
     if not len(rows):
         return rows, counts
-    order = np.lexsort(rows.T[::-1])
-    rows, counts = rows[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
-    return rows[first], np.add.reduceat(counts, first)
+    bits = int(rows.max() + 1).bit_length()
+    at_once = max(64 // max(bits, 1), 1)
+    keys = []
+    for first in range(0, rows.shape[1], at_once):
+        key = np.zeros(len(rows), np.uint64)
+        for column in rows.T[first : first + at_once]:
+            key = key << np.uint64(bits) | (column + 1).astype(np.uint64)
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for key in keys:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    return rows[order[first]], np.add.reduceat(counts[order], first)
+
+
+class _Numbers(dict):
+    """Frequent words are numbered as they come; all others are -1."""
+
+    def __init__(self, lang: str, frequent: np.ndarray):
+        super().__init__(dict.fromkeys(ENDS, -1))
+        self.lang, self.frequent = lang, frequent
+        self.vocabulary: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = -1
+        if in_filter(self.frequent, self.lang, word):
+            number = len(self.vocabulary)
+            self.vocabulary.append(word)
+        self[word] = number
+        return number
 
 
 class _Held:
     """What a task has read of one language and not handed over."""
 
     def __init__(self, lang: str, frequent: np.ndarray, carried: Sequence[bytes | None] = ()):
-        self.lang, self.frequent = lang, frequent
-        self.known = dict.fromkeys(ENDS, -1)
-        self.vocabulary: list[bytes] = []
+        self.numbers = _Numbers(lang, frequent)
+        self.vocabulary = self.numbers.vocabulary
         self.parts: list[np.ndarray] = []
         self.n = 0
         self.add([ENDS[0] if w is None else w for w in carried])
 
     def add(self, words: Sequence[bytes]) -> None:
-        known = self.known
-        for word in set(words).difference(known):
-            known[word] = -1
-            if in_filter(self.frequent, self.lang, word):
-                known[word] = len(self.vocabulary)
-                self.vocabulary.append(word)
-        self.parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
         self.n += len(words)
 
     def last(self, n: int) -> list[bytes | None]:
         ids = np.concatenate(self.parts)[-n:] if n else []
         return [self.vocabulary[i] if i >= 0 else None for i in ids]
 
-    def suffixes(self, words: int, open_end: bool) -> Suffixes:
-        """Those of all words, or of all but the last ones if the text goes on."""
+    def suffixes(self, words: int, open_end: bool, starts: Container[tuple[str, bytes]] | None) -> Suffixes:
+        """Those of all words, or of all but the last ones if the text goes on; of ``starts`` only, if they are given."""
         ids = np.concatenate([*self.parts, *([] if open_end else [np.full(words - 1, -1, np.int32)])])
-        starts = max(len(ids) - words + 1, 0)
-        rows = np.stack([ids[i : i + starts] for i in range(words)], axis=1) if starts else np.empty((0, words), np.int32)
-        for i in range(1, words):
-            rows[rows[:, i - 1] < 0, i] = -1
+        n = max(len(ids) - words + 1, 0)
         # Of single words all is known already.
-        rows = rows[(rows[:, 0] >= 0) & (rows[:, 1] >= 0)]
+        wanted = (ids[:n] >= 0) & (ids[1 : n + 1] >= 0)
+        if starts is not None:
+            wanted &= np.array([(self.numbers.lang, w) in starts for w in self.vocabulary] + [False])[ids[:n]]
+        rows = ids[np.flatnonzero(wanted)[:, None] + np.arange(words)]
+        for i in range(2, words):
+            rows[rows[:, i - 1] < 0, i] = -1
         return Suffixes(self.vocabulary, *sorted_rows(rows, np.ones(len(rows), np.int64)))
 
 
 def read_suffixes(
-    batches: Iterator[pa.RecordBatch], frequent: np.ndarray, words: int
+    batches: Iterator[pa.RecordBatch],
+    frequent: np.ndarray,
+    words: int,
+    starts: Container[tuple[str, bytes]] | None = None,
 ) -> Iterator[tuple[str, Suffixes]]:
-    """The suffixes of all texts, after so many words or bytes at a time; equal ones may come again."""
+    """The suffixes of all texts, after so many words or bytes at a time; equal ones may come again.
+
+    With ``starts``, pairs of language and word, only those that begin with one of them.
+    """
     held: dict[str, _Held] = {}
     n = size = 0
     for lang, text in _texts(batches):
         for some in tokens(text):
-            mine = held.setdefault(lang, _Held(lang, frequent))
+            if (mine := held.get(lang)) is None:
+                mine = held[lang] = _Held(lang, frequent)
             mine.add(some)
             n += len(some)
-            size += sum(map(len, some)) if len(some) < 1000 else CHUNK
+            size += min(len(text), sum(map(len, some)) if len(some) < 100 else CHUNK)
             if n >= HELD_WORDS or size >= HELD_BYTES:
                 carried = mine.last(min(words - 1, mine.n))
                 for name, one in held.items():
-                    yield name, one.suffixes(words, open_end=one is mine)
+                    yield name, one.suffixes(words, one is mine, starts)
                 held, n, size = {lang: _Held(lang, frequent, carried)}, 0, 0
         if lang in held:
             held[lang].add(ENDS[:1])
     for name, one in held.items():
-        yield name, one.suffixes(words, open_end=False)
+        yield name, one.suffixes(words, False, starts)
 
 
 @dataclass
@@ -286,9 +317,10 @@ def vertical_partitions(
 
 def _extensions(docs: DataFrame, heavy: Mapping, frequent: np.ndarray, length: int) -> DataFrame:
     starts = set(heavy)
+    first_words = {(lang, phrase.split(b" ")[0]) for lang, phrase in heavy}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, found in read_suffixes(batches, frequent, length):
+        for lang, found in read_suffixes(batches, frequent, length, first_words):
             whole = found.rows[:, -1] >= 0
             rows, counts = found.rows[whole], found.counts[whole]
             if not len(rows):
@@ -322,15 +354,17 @@ def dealt_suffixes(docs: DataFrame, plan: Plan, frequent: np.ndarray, words: int
             out = []
             for group, at in plan.routes(lang, found):
                 rows = found.rows[at]
-                used, local = np.unique(rows, return_inverse=True)
-                skip = int(used[0] < 0)
-                rows = local.reshape(rows.shape) - skip
+                used = np.zeros(len(found.vocabulary) + 1, bool)
+                used[rows] = True
+                used[-1] = False
+                local = np.append(np.cumsum(used[:-1]), 0)
+                rows = local[rows]
                 out.append(
                     {
                         "group": group,
                         "lang": lang,
-                        "vocabulary": b" ".join([found.vocabulary[i] for i in used[skip:]]),
-                        "suffixes": pack(rows + 1),
+                        "vocabulary": b" ".join([found.vocabulary[i] for i in np.flatnonzero(used)]),
+                        "suffixes": pack(rows),
                         "counts": pack(found.counts[at]),
                         "n": len(rows),
                     }
