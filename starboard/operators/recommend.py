@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starboard.session import ensure_checkpoint_dir
+from starboard.session import ensure_checkpoint_dir, stored
 from starboard.schemas import ALS_ITERATIONS, ALS_RANK, ALS_REGULARISATION, SEED, TRAIN_SHARE
 
 BUCKETS = 10_000
 BLOCKS = 10
+# Ratings of one block of users and items that a task is to hold.
+BLOCK_RATINGS = 50_000_000
+# Items whose factors are sent to all tasks at once, and items that are scored between two looks at the bound.
+PANEL_ITEMS = 100_000
+STEP_ITEMS = 512
 
 
 def in_training(train_share: float = TRAIN_SHARE, seed: int = SEED, user="userId", item="movieId") -> Column:
@@ -50,13 +57,17 @@ def als_fit(
 
     ``blocks`` cuts the users and the items, and the ratings into its square. The starting
     factors follow the blocks, so the same model needs the same number on every cluster; it
-    depends on neither rows nor cores. Choose it so that the ratings of one block, rows / blocks,
-    fit into a task's memory: about one block for each 5 million ratings.
+    depends on neither rows nor cores. A task holds the ratings of one block, rows / blocks; more than
+    ``BLOCK_RATINGS`` of them are an error that names the number of blocks to give.
     """
     spark = ratings.sparkSession
     ensure_checkpoint_dir(spark)
     training = ratings.select(user, item, value).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        # Also fills the cache, so that the ratings are derived once.
+        rows = training.count()
+        if rows > blocks * BLOCK_RATINGS:
+            raise ValueError(f"{rows} ratings need blocks={-(-rows // BLOCK_RATINGS)} or more")
         als = ALS(
             rank=rank,
             maxIter=max_iter,
@@ -93,15 +104,133 @@ def explode_recommendations(lists: DataFrame, user="userId", item="movieId") ->
     )
 
 
-def als_recommend_all(model: ALSModel, k: int = 10) -> DataFrame:
-    """The best k items of every user in the model.
+def top_items(
+    users: DataFrame, items: DataFrame, k: int, item: str = "movieId", panel: int = PANEL_ITEMS, step: int = STEP_ITEMS
+) -> DataFrame:
+    """For each user the k items with the highest product of factors, exactly, without scoring users x items.
+
+    Both have ``id`` and ``features``. Returns ``id``, ``recommendations`` (structs of ``item`` and ``rating``, best
+    first, ties by item) and ``scored``: how many items the user was scored with.
 
-    Every user is scored with every item, as exact lists need: the work is users x items. For
-    fewer users take ``als_recommend_users``.
+    Items go by the length of their factors, longest first, and a product is at most length x length. A user stops at
+    the first ``step`` items whose bound is below the user's k-th score: no item from there on can beat it. The longest
+    ``panel`` items go to all tasks, where users are scored batch by batch without a shuffle; only if some users have not stopped
+    there, these alone and the next ``panel`` items make another round. So what is sent at once is
+    bounded by ``panel`` rows, and the work by what the lengths can't rule out. Users and items without factors are left
+    out; users without items have no row.
     """
-    return explode_recommendations(model.recommendForAllUsers(k))
+    length = F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    ranked = items.where("features IS NOT NULL").select(F.col("id").cast("long").alias("id"), "features", length.alias("length"))
+    ranked = stored(ranked, "item-factors")
+    active = users.where("features IS NOT NULL").select("id", F.col("features").cast("array<float>").alias("features"))
+    user_type = active.schema["id"].dataType.simpleString()
+    lists = "items array<long>, ratings array<double>"
+    active = active.withColumns({"items": F.array().cast("array<long>"), "ratings": F.array().cast("array<double>"), "scored": F.lit(0).cast("long")})
+    finished, after = None, F.lit(True)
+    while True:
+        rows = ranked.where(after).orderBy(F.desc("length"), "id").limit(panel).toArrow()
+        if not rows.num_rows:
+            break
+        last = rows.num_rows < panel
+        ids = rows.column("id").to_numpy()
+        lengths = rows.column("length").to_numpy()
+        factors = np.array(rows.column("features").to_pylist(), dtype=float)
+        found = active.mapInArrow(
+            _scored(ids, lengths, factors, k, step, last), f"id {user_type}, features array<float>, {lists}, scored long, active boolean"
+        )
+        if last:
+            finished = found if finished is None else finished.unionByName(found)
+            break
+        found = stored(found, "scored-users")
+        stopped = found.where("NOT active")
+        finished = stopped if finished is None else finished.unionByName(stopped)
+        active = found.where("active").drop("active")
+        if active.isEmpty():
+            break
+        bound, at = float(lengths[-1]), int(ids[-1])
+        after = (F.col("length") < bound) | ((F.col("length") == bound) & (F.col("id") > at))
+    if finished is None:
+        finished = active.where("false")
+    elif not last:
+        # Those that were still active when the items ended.
+        finished = finished.unionByName(found.where("active"))
+    pair = F.transform(F.arrays_zip("items", "ratings"), lambda x: F.struct(x["items"].cast(items.schema["id"].dataType).alias(item), x["ratings"].cast("float").alias("rating")))
+    return finished.select("id", pair.alias("recommendations"), "scored")
+
+
+def _scored(ids, lengths, factors, k: int, step: int, last: bool, batch_users: int = 1000):
+    """The function that scores batches of users with one panel of items; it brings along all it needs."""
+
+    def best(scores, names, k):
+        """The columns of the k best of each row, ties by name."""
+        if scores.shape[1] > k:
+            least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+            chosen = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+            tied = np.flatnonzero((scores >= least).sum(axis=1) > k)
+            for row in tied:
+                chosen[row] = np.lexsort((names[row], -scores[row]))[:k]
+            scores = np.take_along_axis(scores, chosen, axis=1)
+            names = np.take_along_axis(names, chosen, axis=1)
+        order = np.lexsort((names, -scores), axis=1)
+        return np.take_along_axis(scores, order, axis=1), np.take_along_axis(names, order, axis=1)
+
+    def some_users(users, scores, names, seen):
+        sizes = np.linalg.norm(users, axis=1)
+        alive = np.arange(len(users))
+        for first in range(0, len(ids) + 1, step):
+            full = names.shape[1] == k
+            # A little above the product of lengths, for rounding; an equal score may still win by its name.
+            bound = lengths[min(first, len(ids) - 1)] * sizes[alive] * (1 + 1e-9)
+            if full:
+                alive = alive[bound >= scores[alive, -1]]
+            if first >= len(ids) or not len(alive):
+                break
+            block = slice(first, first + step)
+            fresh = users[alive] @ factors[block].T
+            seen[alive] += fresh.shape[1]
+            both = np.concatenate([scores[alive], fresh], axis=1)
+            labels = np.concatenate([names[alive], np.broadcast_to(ids[block], fresh.shape)], axis=1)
+            got, of = best(both, labels, k)
+            if got.shape[1] > scores.shape[1]:
+                # All users get longer lists together, as all are alive until lists are full.
+                scores, names = got, of
+            else:
+                scores[alive], names[alive] = got, of
+        going = np.zeros(len(users), bool)
+        going[alive] = not last
+        return scores, names, seen, going
+
+    def lists(rows, kind):
+        ends = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32) if rows.shape[1] else np.zeros(len(rows) + 1, np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).reshape(-1), kind))
+
+    def scored(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, batch_users):
+                batch = whole.slice(first, batch_users)
+                users = np.array(batch.column("features").to_pylist(), dtype=float)
+                scores = np.array(batch.column("ratings").to_pylist(), dtype=float).reshape(len(users), -1)
+                names = np.array(batch.column("items").to_pylist(), dtype=np.int64).reshape(len(users), -1)
+                scores, names, seen, going = some_users(users, scores, names, batch.column("scored").to_numpy().copy())
+                columns = [batch.column("id"), batch.column("features"), lists(names, pa.int64()), lists(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(seen, pa.int64()), pa.array(going)],
+                    ["id", "features", "items", "ratings", "scored", "active"],
+                )
+
+    return scored
+
+
+def als_recommend_all(model: ALSModel, k: int = 10) -> DataFrame:
+    """The best k items of every user in the model. See ``top_items`` for the work it takes."""
+    user, item = model.getUserCol(), model.getItemCol()
+    lists = top_items(model.userFactors, model.itemFactors, k, item).withColumnRenamed("id", user)
+    return explode_recommendations(lists, user, item)
 
 
 def als_recommend_users(model: ALSModel, users: DataFrame, k: int = 10) -> DataFrame:
-    """The best k items of the given users only, so the work follows their number."""
-    return explode_recommendations(model.recommendForUserSubset(users, k))
+    """The best k items of the given users only, so the work follows their number. Unknown users have none."""
+    user, item = model.getUserCol(), model.getItemCol()
+    asked = users.select(F.col(user).alias("id")).distinct()
+    lists = top_items(model.userFactors.join(asked, "id", "left_semi"), model.itemFactors, k, item)
+    return explode_recommendations(lists.withColumnRenamed("id", user), user, item)

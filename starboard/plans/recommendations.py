@@ -79,8 +79,8 @@ def personalised_recommendations(
     """Analyse, train, evaluate and recommend for every user; lists and statistics are written as CSV.
 
     Movies and ratings come from CSV or from cleaned tables; only valid ratings, and of repeated
-    pairs the latest, go into training. The full lists cost users x items (see
-    ``als_recommend_all``).
+    pairs the latest, go into training. The lists are exact, and scored as far as factor lengths
+    ask (see ``top_items``).
     """
     movies = written(_known_movies(movies), f"{folder}/known_movies")
     ratings = written(ratings.select("userId", "movieId", "rating", "timestamp"), f"{folder}/ratings")

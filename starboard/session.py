@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
@@ -56,6 +56,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back: later steps do not repeat what made them."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prepared(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
     """A folder that ``write`` fills once for each session and source, for all who ask for it.
 

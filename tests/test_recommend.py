@@ -66,6 +66,63 @@ def test_lists(planted, spark):
     assert rows(some, "userId", "movieId") == rows(lists.where("userId in (1, 2)"), "userId", "movieId")
 
 
+def brute_lists(users, items, k):
+    """(user, item, score) of the best k of all products, ties by item."""
+    out = []
+    for u, a in users.items():
+        scored = sorted((-float(np.dot(a, v)), i) for i, v in items.items())
+        out += [(u, i, -s) for s, i in scored[:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("panel, step", [(100_000, 512), (7, 3), (40, 16), (3, 2)])
+@pytest.mark.parametrize("k", [1, 5, 1000])
+def test_top_items_against_all_products(spark, panel, step, k):
+    """Whole numbers, so that many scores are equal; negative and zero factors; lengths of all sizes."""
+    dice = np.random.default_rng(panel + k)
+    users = {int(u): dice.integers(-3, 4, 4).astype(float) for u in range(60)} | {900: np.zeros(4)}
+    items = {int(i): dice.integers(-4, 5, 4) * float(dice.integers(0, 6)) for i in range(150)}
+    tables = [
+        spark.createDataFrame([(i, [float(x) for x in v]) for i, v in d.items()] + [(-1, None)], "id int, features array<float>")
+        for d in (users, items)
+    ]
+    found = recommend.top_items(*tables, k, panel=panel, step=step)
+    lists = found.select(F.col("id"), F.inline("recommendations")).collect()
+    assert sorted((r["id"], r["movieId"], r["rating"]) for r in lists) == brute_lists(users, items, k)
+    seen = {r["id"]: r["scored"] for r in found.select("id", "scored").collect()}
+    assert set(seen) == set(users) and max(seen.values()) <= len(items)
+
+
+def test_top_items_score_few_pairs(spark, planted):
+    """The share of pairs scored, on items with lengths like those of popularity and on a fitted model."""
+    _, df = planted
+    dice = np.random.default_rng(5)
+    users = spark.createDataFrame([(u, dice.normal(size=8).tolist()) for u in range(300)], "id int, features array<float>")
+    spread = [(i, (dice.normal(size=8) / (1 + i) ** 0.7).tolist()) for i in range(5000)]
+    items = spark.createDataFrame(spread, "id int, features array<float>")
+    share = recommend.top_items(users, items, 10, step=64).agg(F.sum("scored")).first()[0] / (300 * 5000)
+    model = recommend.als_fit(df, rank=5, reg=0.01, blocks=2)
+    lists = recommend.top_items(model.userFactors, model.itemFactors, 5, step=4)
+    of_model = lists.agg(F.sum("scored")).first()[0] / (120 * 60)
+    print(f"pairs scored: {share:.1%} of those with spread lengths, {of_model:.1%} of the model's")
+    assert share < 0.1 and of_model < 0.7
+    factors = [{r["id"]: np.array(r["features"], float) for r in f.collect()} for f in (model.userFactors, model.itemFactors)]
+    got = sorted((r["id"], r["movieId"]) for r in lists.select("id", F.inline("recommendations")).collect())
+    assert got == [(u, i) for u, i, _ in brute_lists(*factors, 5)]
+
+
+@pytest.mark.parametrize("users, items", [([], [(1, [1.0])]), ([(1, [1.0])], []), ([], [])])
+def test_top_items_of_nothing(spark, users, items):
+    tables = [spark.createDataFrame(t, "id int, features array<float>") for t in (users, items)]
+    assert recommend.top_items(*tables, 3).where("size(recommendations) > 0").collect() == []
+
+
+def test_too_many_ratings_for_the_blocks(planted, monkeypatch):
+    monkeypatch.setattr(recommend, "BLOCK_RATINGS", 100)
+    with pytest.raises(ValueError, match="blocks="):
+        recommend.als_fit(planted[1], blocks=2)
+
+
 def test_model_depends_on_neither_partitions_nor_cores(planted):
     _, df = planted
     fit = lambda ratings: recommend.als_fit(ratings, rank=3, max_iter=4)
