@@ -45,7 +45,7 @@ HEADLINE = [
     "personalised_recommendations",
 ]
 
-PREPARED = {"stored_cleaned": inputs.stored_cleaned, "stored_serving": inputs.stored_serving}
+PREPARED = {"stored_cleaned": inputs.stored_cleaned, "stored_serving": inputs.stored_serving, "stored_pages": inputs.stored_pages}
 
 
 def timed(run, spark, sf_dir):

@@ -1,8 +1,9 @@
 """Pages of an ordered list.
 
-``page_after`` needs the last row of the page before and costs one top-k. ``numbered_page``
-goes to any page: from counts of value ranges, narrowed down to about one page, it finds the
-row the page starts with.
+``page_after`` needs the last row of the page before and costs one top-k. ``indexed_page`` goes
+to any page of a list that was written in order, and opens the files that hold it.
+``numbered_page`` does so for any rows, as a filter leaves them: from counts of value ranges,
+narrowed down to about one page, it finds the row the page starts with.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starboard.schemas import PAGE_SIZE
@@ -110,3 +111,22 @@ def numbered_page(df: DataFrame, order: list[Order], page, size: int = PAGE_SIZE
             rows, single = rows.where(number == n), n % 2 == 1
     first = rows.orderBy(*keys).offset(offset).limit(1).select(*keys).first()
     return df.where(_beyond(keys, list(first), inclusive=True)).orderBy(*keys).limit(size)
+
+
+def indexed_page(spark: SparkSession, folder: str, order: list[Order], page, size: int = PAGE_SIZE) -> DataFrame:
+    """Page ``page``, counted from 1, of a list written by ``write_ranked``: its files are opened, and no others.
+
+    The index has a row for each file. Of these the driver sees how many rows there are, and those that the page is in.
+    """
+    index = spark.read.schema("file string, rows long, start long").parquet(f"{folder}/positions")
+    total = index.agg(F.max(F.col("start") + F.col("rows"))).first()[0] or 0
+    first = (clamp_page(page, total, size) - 1) * size
+    held = index.where((F.col("start") < first + size) & (F.col("start") + F.col("rows") > first)).collect()
+    if not held:
+        return spark.read.parquet(f"{folder}/rows").limit(0)
+    rows = spark.read.parquet(*(f"{folder}/rows/{r['file']}" for r in held))
+    start = F.lit(None).cast("long")
+    for r in held:
+        start = F.when(F.col("_metadata.file_name") == r["file"], F.lit(r["start"])).otherwise(start)
+    wanted = rows.where((start + F.col("_metadata.row_index")).between(first, first + size - 1))
+    return wanted.orderBy(*all_keys(order))

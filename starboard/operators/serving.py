@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from starboard.functions.text import genre_matches, genres_label, split_genres, year_label
 from starboard.operators.joins import known_items, with_stats_filled
 from starboard.operators.cleaning import one_row_per_item
-from starboard.operators.paging import Order, all_keys, numbered_page, page_after
-from starboard.schemas import PAGE_SIZE
+from starboard.operators.paging import Order, all_keys, indexed_page, numbered_page, page_after
+from starboard.schemas import GENRE_SEPARATOR, PAGE_SIZE
 
 
 def score_order(recommendations: DataFrame) -> list[Order]:
@@ -82,6 +82,20 @@ def genre_filter(rows: DataFrame, needle: str) -> DataFrame:
     return rows.where(genre_matches(F.col("genres"), needle)) if needle else rows
 
 
+def movies_of_genre(movies: DataFrame, folder: str, needle: str) -> DataFrame:
+    """Ids of the movies that ``genre_filter`` finds, from ``write_genre_postings``.
+
+    Genres are few: the search goes through their names, and only the postings of those it finds are read. What goes
+    beyond one genre's name can't be found there and is looked up in the movies.
+    """
+    if not needle or GENRE_SEPARATOR in needle:
+        return genre_filter(movies, needle).select("movie_id").distinct()
+    spark = movies.sparkSession
+    names = spark.read.schema("genre string").parquet(f"{folder}/genres").where(genre_matches(F.col("genre"), needle))
+    found = spark.read.parquet(f"{folder}/postings").where(F.col("genre").isin([r["genre"] for r in names.collect()]))
+    return found.select("movie_id").distinct()
+
+
 def user_top_n(recommendations: DataFrame, movies: DataFrame, user: int, n: int = 10) -> DataFrame:
     """One user's n best recommendations; the list is cut before the movies are looked up."""
     best = user_filter(recommendations, user).join(movies.select("movie_id"), "movie_id", "left_semi")
@@ -101,15 +115,25 @@ def user_top_n(recommendations: DataFrame, movies: DataFrame, user: int, n: int
     )
 
 
-def recommendation_page(recommendations: DataFrame, movies: DataFrame, page, genre: str = "", size: int = PAGE_SIZE):
-    """A numbered page of the recommendations, of one genre if one is given."""
+def recommendation_page(
+    recommendations: DataFrame, movies: DataFrame, page, genre: str = "", size: int = PAGE_SIZE, postings: str | None = None
+):
+    """A numbered page of the recommendations, of one genre if one is given; ``postings`` names its index, if there is one."""
     if genre:
-        wanted = genre_filter(movies, genre)
-        recommendations = recommendations.join(wanted.select("movie_id"), "movie_id", "left_semi")
+        wanted = movies_of_genre(movies, postings, genre) if postings else genre_filter(movies, genre).select("movie_id")
+        recommendations = recommendations.join(wanted, "movie_id", "left_semi")
     rows = numbered_page(recommendations, score_order(recommendations), page, size)
     return lookup_movies(rows, movies)
 
 
+def ranked_page(recommendations: DataFrame, movies: DataFrame, folder: str, page, size: int = PAGE_SIZE) -> DataFrame:
+    """A numbered page of all recommendations, as ``write_ranked`` left them in ``folder``."""
+    spark, order = movies.sparkSession, score_order(recommendations)
+    rows = indexed_page(spark, folder, order, page, size).select(*recommendations.columns)
+    # At most one page of rows.
+    return movies.join(F.broadcast(rows), "movie_id").select(*rows.columns, *(c for c in movies.columns if c != "movie_id"))
+
+
 def next_page(recommendations: DataFrame, movies: DataFrame, last: list | None, size: int = PAGE_SIZE) -> DataFrame:
     """The page after the row with the values ``last`` (score, movie_id and, if there, user_id)."""
     return lookup_movies(page_after(recommendations, score_order(recommendations), last, size), movies)

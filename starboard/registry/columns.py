@@ -130,7 +130,10 @@ def min_count_filter(spark, sf):
 
 @query("genre_filter", "SELECT movie_id, title, genres FROM serving_movies WHERE genres ILIKE '%PROMO%'")
 def genre_filter(spark, sf):
-    return serving.genre_filter(inputs.serving_movies(spark, sf), "PROMO").select("movie_id", "title", "genres")
+    """Through the postings of the genres; the movies are looked up by id."""
+    movies = inputs.stored_serving(spark, sf)[0]
+    wanted = serving.movies_of_genre(movies, f"{inputs.stored_pages(spark, sf)}/genres", "PROMO")
+    return movies.join(wanted, "movie_id", "left_semi").select("movie_id", "title", "genres")
 
 
 @query(

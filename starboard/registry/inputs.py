@@ -11,6 +11,7 @@ from starboard.operators.recommend import explode_recommendations
 from starboard.schemas import RAW_MOVIES, RAW_RATINGS
 from starboard.session import prepared
 from starboard.sinks.files import write_table_folder
+from starboard.sinks.ranked import write_genre_postings, write_ranked
 from starboard.sinks.serving import write_recommendations
 
 # The derived items have 14 to 49 ratings, so the usual thresholds of 100 and 50 would keep none.
@@ -83,6 +84,17 @@ def stored_serving(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{folder}/movies"), spark.read.parquet(f"{folder}/recommendation_data")
 
 
+def stored_pages(spark: SparkSession, sf: str) -> str:
+    """Folder of the stored recommendations in order, with positions, and of the genres' postings."""
+    movies, recommendations = stored_serving(spark, sf)
+
+    def write(folder: str) -> None:
+        write_ranked(recommendations, serving.score_order(recommendations), f"{folder}/ranked")
+        write_genre_postings(movies, f"{folder}/genres")
+
+    return prepared(spark, "pages", sf, write)
+
+
 def stored_cleaned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Cleaned movies and ratings as written tables, made once for each session and source."""
 

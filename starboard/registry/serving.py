@@ -39,7 +39,7 @@ def user_top_n(spark, sf):
 
 @query("page", PAGE.format(where="", offset=40))
 def page(spark, sf):
-    return serving.recommendation_page(*tables(spark, sf), page=3).select(*PAGE_COLUMNS)
+    return serving.ranked_page(*tables(spark, sf), f"{inputs.stored_pages(spark, sf)}/ranked", 3).select(*PAGE_COLUMNS)
 
 
 MIDDLE = "(SELECT floor(count(*) / 2 / 20) * 20 + 20 FROM serving_recs)"
@@ -50,12 +50,22 @@ def page_deep(spark, sf):
     """The page after the middle of the list."""
     recommendations, movies = tables(spark, sf)
     number = recommendations.count() // 2 // 20 + 2
-    return serving.recommendation_page(recommendations, movies, page=number).select(*PAGE_COLUMNS)
+    folder = f"{inputs.stored_pages(spark, sf)}/ranked"
+    return serving.ranked_page(recommendations, movies, folder, number).select(*PAGE_COLUMNS)
 
 
 @query("page_past_end", PAGE.format(where="", offset=LAST))
 def page_past_end(spark, sf):
-    return serving.recommendation_page(*tables(spark, sf), page=1_000_000_000).select(*PAGE_COLUMNS)
+    folder = f"{inputs.stored_pages(spark, sf)}/ranked"
+    return serving.ranked_page(*tables(spark, sf), folder, 1_000_000_000).select(*PAGE_COLUMNS)
+
+
+@query("page_by_ranges", PAGE.format(where="", offset=MIDDLE))
+def page_by_ranges(spark, sf):
+    """``page_deep`` for rows that have no index: from counts of value ranges."""
+    recommendations, movies = tables(spark, sf)
+    number = recommendations.count() // 2 // 20 + 2
+    return serving.recommendation_page(recommendations, movies, page=number).select(*PAGE_COLUMNS)
 
 
 @query(
@@ -65,7 +75,9 @@ def page_past_end(spark, sf):
     ),
 )
 def page_of_genre(spark, sf):
-    return serving.recommendation_page(*tables(spark, sf), page=2, genre="small").select(*PAGE_COLUMNS)
+    postings = f"{inputs.stored_pages(spark, sf)}/genres"
+    found = serving.recommendation_page(*tables(spark, sf), page=2, genre="small", postings=postings)
+    return found.select(*PAGE_COLUMNS)
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Serving tables: refilled as a whole, each by one distributed write."""
+"""Serving tables: each refilled as a whole by one distributed write, and all replaced at once (see ``versions``)."""
 
 from __future__ import annotations
 
@@ -9,13 +9,16 @@ from starboard.functions.text import genres_label
 from starboard.operators.joins import count_unknown_items
 from starboard.operators.serving import imported_movies, imported_recommendations, recommendations_of_known
 from starboard.sinks.files import write_table_folder
+from starboard.sinks.versions import commit, current, new_version
 
 MOVIES = "movies"
 RECOMMENDATIONS = "recommendation_data"
 
 
 def read_serving(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{folder}/{MOVIES}"), spark.read.parquet(f"{folder}/{RECOMMENDATIONS}")
+    """Both tables of the current version."""
+    tables = current(spark, folder)
+    return spark.read.parquet(tables[MOVIES]), spark.read.parquet(tables[RECOMMENDATIONS])
 
 
 def write_recommendations(recommendations: DataFrame, path: str) -> None:
@@ -29,22 +32,26 @@ def write_recommendations(recommendations: DataFrame, path: str) -> None:
 
 
 def refresh_serving(movies: DataFrame, top: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Write all movies, and those of ``top`` whose movie is among them; return both as written."""
+    """Write all movies, and those of ``top`` whose movie is among them, as a new version; return both as written."""
     spark = movies.sparkSession
+    version = new_version(spark, folder)
     movies = movies.withColumn("genres", genres_label(F.col("genres")))
-    write_table_folder(movies, f"{folder}/{MOVIES}")
-    written = spark.read.parquet(f"{folder}/{MOVIES}")
-    write_table_folder(recommendations_of_known(top, written), f"{folder}/{RECOMMENDATIONS}")
+    write_table_folder(movies, f"{version}/{MOVIES}")
+    written = spark.read.parquet(f"{version}/{MOVIES}")
+    write_table_folder(recommendations_of_known(top, written), f"{version}/{RECOMMENDATIONS}")
+    commit(spark, folder, version, [MOVIES, RECOMMENDATIONS])
     return read_serving(spark, folder)
 
 
 def load_als_serving(
     movie_statistics: DataFrame, recommendations: DataFrame, folder: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Write movies and personal recommendations; return both, and the count of those skipped."""
+    """Write movies and personal recommendations as a new version; return both, and the count of those skipped."""
     spark = movie_statistics.sparkSession
-    write_table_folder(imported_movies(movie_statistics), f"{folder}/{MOVIES}")
-    movies = spark.read.parquet(f"{folder}/{MOVIES}")
-    write_recommendations(imported_recommendations(recommendations, movies), f"{folder}/{RECOMMENDATIONS}")
+    version = new_version(spark, folder)
+    write_table_folder(imported_movies(movie_statistics), f"{version}/{MOVIES}")
+    movies = spark.read.parquet(f"{version}/{MOVIES}")
+    write_recommendations(imported_recommendations(recommendations, movies), f"{version}/{RECOMMENDATIONS}")
+    commit(spark, folder, version, [MOVIES, RECOMMENDATIONS])
     skipped = count_unknown_items(recommendations.withColumnRenamed("movieId", "movie_id"), movies, "movie_id")
     return *read_serving(spark, folder), skipped

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -6,6 +7,9 @@ from pyspark.sql import functions as F
 
 from starboard.operators import paging, serving
 from starboard.operators.paging import Order, clamp_page, numbered_page, page_after
+from starboard.sinks import serving as sink
+from starboard.sinks import versions
+from starboard.sinks.ranked import write_genre_postings, write_ranked
 
 ORDER = [Order("score", descending=True), Order("id")]
 
@@ -83,6 +87,91 @@ def test_page_of_nothing(spark):
     assert numbered_page(empty, ORDER, 5).count() == 0
 
 
+@pytest.mark.parametrize("rows_per_file", [7, 500, 10**6])
+def test_indexed_pages_by_brute_force(scored, spark, folder, rows_per_file):
+    data, df = scored
+    write_ranked(df, ORDER, folder, rows_per_file)
+    for page in (1, 2, 75, 150, 151, 99999, "x"):
+        got = [tuple(r) for r in paging.indexed_page(spark, folder, ORDER, page).collect()]
+        start = (clamp_page(page, len(data)) - 1) * 20
+        assert got == data[start : start + 20]
+
+
+def test_indexed_page_opens_one_file(scored, spark, folder):
+    data, df = scored
+    write_ranked(df, ORDER, folder, 200)
+    files = spark.read.parquet(f"{folder}/rows").inputFiles()
+    assert len(files) >= 15
+    page = paging.indexed_page(spark, folder, ORDER, 40)
+    assert len(page.inputFiles()) <= 2 and len(paging.indexed_page(spark, folder, ORDER, 1).inputFiles()) == 1
+    executed = final_plan(page).split("Initial Plan")[0]
+    assert executed.count("FileScan") == 1 and "row_index" in executed
+
+
+def test_indexed_page_with_nulls_and_of_nothing(spark, folder):
+    data = [(i, None if i % 3 else i % 7 / 2) for i in range(200)]
+    want = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    df = spark.createDataFrame(data, "id int, score double").repartition(5)
+    write_ranked(df, ORDER, folder, 30)
+    got = [tuple(r) for n in range(1, 11) for r in paging.indexed_page(spark, folder, ORDER, n).collect()]
+    assert got == want
+    write_ranked(df.limit(0), ORDER, f"{folder}/none")
+    assert paging.indexed_page(spark, f"{folder}/none", ORDER, 3).collect() == []
+
+
+def test_genre_postings_find_what_the_movies_hold(spark, folder):
+    names = ["Drama", "Dramedy|Sci-Fi", "", None, "Film-Noir|Drama", "100%|a_b", "İstanbul|Größe"]
+    movies = spark.createDataFrame([(i, g) for i, g in enumerate(names)] + [(None, "Drama")], "movie_id int, genres string")
+    write_genre_postings(movies, folder)
+    for needle in ("dram", "DRAMA", "a", "sci-fi", "i|D", "noir|d", "", "%", "_", "größe", "zzz", "|"):
+        found = {r.movie_id for r in serving.movies_of_genre(movies, folder, needle).collect()} - {None}
+        assert found == {r.movie_id for r in serving.genre_filter(movies, needle).collect()} - {None}, needle
+
+
+def test_a_refresh_that_fails_leaves_the_tables_before_it(spark, tables, folder, monkeypatch):
+    movies, _ = tables
+    top = movies.selectExpr("movie_id AS movieId", "avg_rating AS weighted_rating", "avg_rating")
+    first = sink.refresh_serving(movies, top, folder)
+    before = [rows(t) for t in first]
+    write, calls = sink.write_table_folder, []
+
+    def failing(df, path, *more):
+        calls.append(path)
+        if len(calls) == 2:
+            raise OSError("disk full")
+        write(df, path, *more)
+
+    monkeypatch.setattr(sink, "write_table_folder", failing)
+    with pytest.raises(OSError):
+        sink.refresh_serving(movies.where("movie_id > 1"), top, folder)
+    assert len(calls) == 2 and [rows(t) for t in sink.read_serving(spark, folder)] == before
+    monkeypatch.setattr(sink, "write_table_folder", write)
+    after = sink.refresh_serving(movies.where("movie_id > 1"), top, folder)
+    assert [len(rows(t)) for t in after] == [2, 2] and [len(rows(t)) for t in sink.read_serving(spark, folder)] == [2, 2]
+    # Readers of the version before still have it, until it is removed.
+    assert [rows(t) for t in first] == before
+    sink.refresh_serving(movies, top, folder)
+    assert versions.remove_old(spark, folder, keep=2) == [1]
+    assert len([p for p in os.listdir(folder) if p.startswith("version-")]) == 2
+    assert [rows(t) for t in sink.read_serving(spark, folder)] == before
+
+
+def test_records_are_whole_and_written_once(spark, folder):
+    with pytest.raises(FileNotFoundError):
+        versions.current(spark, folder)
+    assert versions.commit(spark, folder, f"{folder}/version-a", ["t", "u"]) == 1
+    # Another writer that has seen the same records gets the next number.
+    real, versions.versions = versions.versions, lambda *_: []
+    try:
+        assert versions.commit(spark, folder, f"{folder}/version-b", ["t", "u"]) == 2
+    finally:
+        versions.versions = real
+    os.makedirs(f"{folder}/{versions.RECORDS}", exist_ok=True)
+    with open(f"{folder}/{versions.RECORDS}/3.json", "w"):
+        pass
+    assert versions.current(spark, folder) == {"t": f"{folder}/version-b/t", "u": f"{folder}/version-b/u"}
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     movies = spark.createDataFrame(
