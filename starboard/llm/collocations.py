@@ -27,20 +27,22 @@ FILTER_BITS = 1 << 26
 BITMAP_BITS = 32_768
 BUCKETS_PER_GROUP = 64
 UNKNOWN = "und"
-# Words, and each sign that ends a piece as a token of its own.
-TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]")
-ENDS = [bytes([c]) for c in b".,;:!?\x0a\x0b\x0c\x0d"]
-EDGE = re.compile(rb"[\x20\x09.,;:!?\x0A-\x0D]")
+# Words that have the same number in all tasks.
+COMMON_WORDS = 1 << 17
+# A-Z in lower case, all that ends a piece as one sign, all that parts words as another.
+PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
+END, NOTHING = b"\n", b""
+EDGE = re.compile(rb"[ \n]")
 CHUNK = 1 << 20
 
 
 def tokens(text: bytes) -> Iterator[list[bytes]]:
-    """Words and ends of pieces, A-Z lower-cased; a long text in several lists, cut between words."""
-    text, at = text.lower(), 0  # bytes: ASCII only
+    """Words, ``END`` after each piece, and ``NOTHING`` here and there; a long text in several lists, cut between words."""
+    text, at = text.translate(PLAIN), 0
     while at < len(text):
         edge = EDGE.search(text, at + CHUNK)
         to = edge.start() if edge else len(text)
-        yield TOKEN.findall(text[at:to] if at or edge else text)
+        yield text[at:to].replace(END, b" \n ").split(b" ")
         at = to
 
 
@@ -71,8 +73,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def handed_over() -> Iterator[pa.RecordBatch]:
             for lang, counts in found.items():
-                for end in ENDS:
-                    counts.pop(end, None)
+                counts.pop(END, None)
+                counts.pop(NOTHING, None)
                 columns = [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary())]
                 columns.append(pa.array(list(counts.values()), pa.int64()))
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
@@ -156,12 +158,13 @@ def sorted_rows(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class _Numbers(dict):
-    """Frequent words are numbered as they come; all others are -1."""
+    """Common words have their numbers, other frequent ones are numbered as they come; all others are -1."""
 
-    def __init__(self, lang: str, frequent: np.ndarray):
-        super().__init__(dict.fromkeys(ENDS, -1))
+    def __init__(self, lang: str, frequent: np.ndarray, common: Sequence[bytes]):
+        super().__init__(zip(common, range(len(common))))
+        self[END], self[NOTHING] = -1, -2
         self.lang, self.frequent = lang, frequent
-        self.vocabulary: list[bytes] = []
+        self.vocabulary = list(common)
 
     def __missing__(self, word: bytes) -> int:
         number = -1
@@ -175,16 +178,17 @@ class _Numbers(dict):
 class _Held:
     """What a task has read of one language and not handed over."""
 
-    def __init__(self, lang: str, frequent: np.ndarray, carried: Sequence[bytes | None] = ()):
-        self.numbers = _Numbers(lang, frequent)
+    def __init__(self, lang: str, frequent: np.ndarray, common: Sequence[bytes], carried: Sequence[bytes | None] = ()):
+        self.numbers = _Numbers(lang, frequent, common)
         self.vocabulary = self.numbers.vocabulary
         self.parts: list[np.ndarray] = []
         self.n = 0
-        self.add([ENDS[0] if w is None else w for w in carried])
+        self.add([END if w is None else w for w in carried])
 
     def add(self, words: Sequence[bytes]) -> None:
-        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
-        self.n += len(words)
+        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+        self.parts.append(ids[ids > -2])
+        self.n += len(self.parts[-1])
 
     def last(self, n: int) -> list[bytes | None]:
         ids = np.concatenate(self.parts)[-n:] if n else []
@@ -207,6 +211,7 @@ class _Held:
 def read_suffixes(
     batches: Iterator[pa.RecordBatch],
     frequent: np.ndarray,
+    common: Mapping[str, Sequence[bytes]],
     words: int,
     starts: Container[tuple[str, bytes]] | None = None,
 ) -> Iterator[tuple[str, Suffixes]]:
@@ -219,7 +224,7 @@ def read_suffixes(
     for lang, text in _texts(batches):
         for some in tokens(text):
             if (mine := held.get(lang)) is None:
-                mine = held[lang] = _Held(lang, frequent)
+                mine = held[lang] = _Held(lang, frequent, common.get(lang, ()))
             mine.add(some)
             n += len(some)
             size += min(len(text), sum(map(len, some)) if len(some) < 100 else CHUNK)
@@ -227,17 +232,21 @@ def read_suffixes(
                 carried = mine.last(min(words - 1, mine.n))
                 for name, one in held.items():
                     yield name, one.suffixes(words, one is mine, starts)
-                held, n, size = {lang: _Held(lang, frequent, carried)}, 0, 0
+                held, n, size = {lang: _Held(lang, frequent, common.get(lang, ()), carried)}, 0, 0
         if lang in held:
-            held[lang].add(ENDS[:1])
+            held[lang].add([END])
     for name, one in held.items():
         yield name, one.suffixes(words, False, starts)
 
 
 @dataclass
 class Plan:
-    """Which prefixes are too frequent for one group, and the group of each bucket of the others."""
+    """Which prefixes are too frequent for one group, and the group of each bucket of the others.
 
+    ``common`` has the most frequent words of each language in one order for all tasks, so that they need not be sent.
+    """
+
+    common: dict[str, list[bytes]]
     heavy: dict[tuple[str, bytes], int] = field(default_factory=dict)
     group_of: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int32))
 
@@ -300,7 +309,7 @@ def vertical_partitions(
     """
     total = sum(r["n"] for r in levels[0].groupBy("lang").agg(F.sum("f").alias("n")).collect())
     buckets = 1 << max(10, (BUCKETS_PER_GROUP * total // budget).bit_length())
-    plan, sizes = Plan(), {}
+    plan, sizes = Plan(common_words(levels[0], min_count)), {}
     for depth in range(1, words + 1):
         counted = levels[-1].where(F.col("f") >= min_count)
         light = counted.where(F.col("f") <= budget).groupBy(F.pmod(_key_column(), F.lit(buckets)).alias("bucket"))
@@ -310,17 +319,27 @@ def vertical_partitions(
         plan.heavy |= heavy
         if not heavy or depth == words:
             break
-        levels.append(stored(_summed(_extensions(docs, heavy, frequent, depth + 1)), "prefixes"))
+        some = docs.where(F.col("lang").isin(sorted({lang for lang, _ in heavy})))
+        levels.append(stored(_summed(_extensions(some, heavy, frequent, plan.common, depth + 1)), "prefixes"))
     plan.group_of = first_fit(sizes, budget, buckets)
     return plan
 
 
-def _extensions(docs: DataFrame, heavy: Mapping, frequent: np.ndarray, length: int) -> DataFrame:
+def common_words(words: DataFrame, min_count: int) -> dict[str, list[bytes]]:
+    """At most ``COMMON_WORDS`` of the most frequent words, by language and frequency."""
+    found: dict[str, list[bytes]] = {}
+    best = words.where(F.col("f") >= min_count).orderBy(F.desc("f"), "lang", "phrase").limit(COMMON_WORDS)
+    for r in best.collect():
+        found.setdefault(r["lang"], []).append(bytes(r["phrase"]))
+    return found
+
+
+def _extensions(docs: DataFrame, heavy: Mapping, frequent: np.ndarray, common: Mapping, length: int) -> DataFrame:
     starts = set(heavy)
     first_words = {(lang, phrase.split(b" ")[0]) for lang, phrase in heavy}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, found in read_suffixes(batches, frequent, length, first_words):
+        for lang, found in read_suffixes(batches, frequent, common, length, first_words):
             whole = found.rows[:, -1] >= 0
             rows, counts = found.rows[whole], found.counts[whole]
             if not len(rows):
@@ -347,18 +366,19 @@ def unpack(data: bytes, rows: int, columns: int) -> np.ndarray:
 
 
 def dealt_suffixes(docs: DataFrame, plan: Plan, frequent: np.ndarray, words: int) -> DataFrame:
-    """A row for each hand-over, language and group: the suffixes with the words they are made of."""
+    """A row for each hand-over, language and group: the suffixes with those of their words that are not common."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, found in read_suffixes(batches, frequent, words):
+        for lang, found in read_suffixes(batches, frequent, plan.common, words):
             out = []
             for group, at in plan.routes(lang, found):
                 rows = found.rows[at]
                 used = np.zeros(len(found.vocabulary) + 1, bool)
                 used[rows] = True
-                used[-1] = False
-                local = np.append(np.cumsum(used[:-1]), 0)
-                rows = local[rows]
+                n = len(plan.common.get(lang, ()))
+                used[:n], used[-1] = True, False
+                rows = np.append(np.cumsum(used[:-1]), 0)[rows]
+                used[:n] = False
                 out.append(
                     {
                         "group": group,
@@ -395,11 +415,12 @@ def subtree_counts(found: Suffixes, min_count: int) -> Iterator[tuple[int, np.nd
         yield depth, rows[first[node], :depth], total[node]
 
 
-def _merged(parts: Iterator[tuple[bytes, bytes, bytes, int]], words: int) -> Suffixes:
-    known: dict[bytes, int] = {}
+def _merged(parts: Iterator[tuple[bytes, bytes, bytes, int]], words: int, common: Sequence[bytes]) -> Suffixes:
+    known = dict(zip(common, range(len(common))))
     rows, totals = [], []
     for vocabulary, packed, counts, n in parts:
-        ids = np.array([-1, *(known.setdefault(w, len(known)) for w in vocabulary.split(b" "))], np.int32)
+        fresh = [known.setdefault(w, len(known)) for w in vocabulary.split(b" ") if w]
+        ids = np.concatenate([np.arange(-1, len(common), dtype=np.int32), np.array(fresh, np.int32)])
         rows.append(ids[unpack(packed, n, words)])
         totals.append(unpack(counts, n, 1)[:, 0].astype(np.int64))
     return Suffixes(list(known), *sorted_rows(np.concatenate(rows), np.concatenate(totals)))
@@ -412,7 +433,8 @@ def phrase_counts(
 
     ``docs`` has ``lang`` and ``text``, no nulls in ``lang``. Returns ``lang``, ``phrase`` (binary, joined by spaces),
     ``words``, ``f``, and ``lang``, ``n``. Prefixes are grouped so that a group has at most ``budget`` suffixes;
-    each group's subtrees are built by one task, independently of the others. The counts of single words, and of prefixes
+    each group's subtrees are built by one task, independently of the others. Tasks get the most frequent words as a list,
+    at most ``COMMON_WORDS``. The counts of single words, and of prefixes
     that are spread over several groups, are those that the groups were made by.
     """
     ship_code(docs.sparkSession)
@@ -428,7 +450,7 @@ def phrase_counts(
         for lang in sorted(set(langs)):
             at = [i for i, name in enumerate(langs) if name == lang]
             columns = [table.column(c) for c in ("vocabulary", "suffixes", "counts", "n")]
-            found = _merged((tuple(c[i].as_py() for c in columns) for i in at), words)
+            found = _merged((tuple(c[i].as_py() for c in columns) for i in at), words, plan.common.get(lang, ()))
             for depth, rows, totals in subtree_counts(found, min_count):
                 for row, total in zip(rows, totals.tolist()):
                     phrase = found.phrase(row)

@@ -46,6 +46,7 @@ def texts(dice, n):
 
 @pytest.mark.parametrize("budget", [5, 40, 400, 10**6])
 def test_against_plain_python(spark, monkeypatch, budget):
+    monkeypatch.setattr(c, "COMMON_WORDS", 7)
     rows = texts(random.Random(budget), 300) + [(None, "en"), ("", "de"), ("one two three four five six " * 30, "fr")]
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(5)
     want = plain(rows, 5, top=150)
@@ -63,7 +64,7 @@ def test_suffixes_do_not_depend_on_where_they_are_handed_over(monkeypatch):
 
     def counted():
         out = Counter()
-        for lang, found in c.read_suffixes(iter([batch]), everything, 4):
+        for lang, found in c.read_suffixes(iter([batch]), everything, {"en": [b"x", b"the"]}, 4):
             for row, n in zip(found.rows, found.counts.tolist()):
                 out[lang, found.phrase(row[row >= 0])] += n
         return out
