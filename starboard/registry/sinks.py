@@ -10,6 +10,7 @@ from starboard.registry import inputs, query, r6
 from starboard.registry.scans import RATINGS_ROWS, fresh_name, written_months
 from starboard.session import new_folder
 from starboard.sinks import files as sink_files
+from starboard.sinks import increments
 from starboard.sinks import serving as sink_serving
 from starboard.sinks.tables import TABLES, append_table, create_tables, load_cleaned_ratings, overwrite_table
 from starboard.sources import catalog, files
@@ -261,3 +262,56 @@ def load_als_serving_movies(spark, sf):
 )
 def load_als_serving_skipped(spark, sf):
     return _als_loaded(spark, sf)[2]
+
+
+# Three increments: all ratings; a seventh of the pairs rated anew forty days later; an eleventh as they were forty days before.
+MOVED = """
+SELECT "userId", "movieId", rating, "timestamp" FROM valid_ratings
+UNION ALL SELECT "userId", "movieId", 5.5 - rating, "timestamp" + 3456000 FROM valid_ratings WHERE ("userId" + "movieId") % 7 = 0
+UNION ALL SELECT "userId", "movieId", 5.5 - rating, "timestamp" - 3456000 FROM valid_ratings WHERE ("userId" + "movieId") % 11 = 0
+"""
+LATEST_MOVED = f"""
+SELECT "userId", "movieId", rating, "timestamp" FROM (
+  SELECT *, row_number() OVER (PARTITION BY "userId", "movieId" ORDER BY "timestamp" DESC, rating DESC) AS rn FROM ({MOVED}) m) t
+WHERE rn = 1
+"""
+
+
+def _increments(spark, sf):
+    raw = inputs.raw_ratings(spark, sf)
+    turned = (5.5 - F.col("rating")).alias("rating")
+
+    def moved(every, seconds):
+        some = inputs.valid_ratings(spark, sf).where((F.col("userId") + F.col("movieId")) % every == 0)
+        return some.select("userId", "movieId", turned, (F.col("timestamp") + seconds).alias("timestamp"))
+
+    return [raw, moved(7, 3_456_000), moved(11, -3_456_000)]
+
+
+@query(
+    "upsert_increments",
+    f"""
+SELECT "userId", "movieId", rating, strftime(make_timestamp("timestamp" * 1000000), '%Y-%m-%d %H:%M:%S') AS rating_date,
+       "timestamp", TRUE AS is_valid, CAST(year(make_timestamp("timestamp" * 1000000)) AS INTEGER) AS rating_year,
+       CAST(month(make_timestamp("timestamp" * 1000000)) AS INTEGER) AS rating_month
+FROM ({LATEST_MOVED}) t
+""",
+)
+def upsert_increments(spark, sf):
+    """Pairs move to later months and lose to later ratings; the table is that of all increments together."""
+    folder = new_folder(spark, "increments")
+    increments.upsert_all(spark, folder, _increments(spark, sf))
+    return increments.read_increments(spark, folder)
+
+
+@query(
+    "incremental_item_stats",
+    f"""
+SELECT "movieId", round(avg(rating), 6) AS avg_rating, count(*) AS rating_count FROM ({LATEST_MOVED}) t GROUP BY "movieId"
+""",
+)
+def incremental_item_stats(spark, sf):
+    """From sums that each increment changes; the ratings themselves are not read."""
+    folder = new_folder(spark, "increments")
+    increments.upsert_all(spark, folder, _increments(spark, sf))
+    return increments.current_item_stats(spark, folder).select("movieId", r6("avg_rating"), "rating_count")

@@ -16,6 +16,10 @@ from pyspark.sql import SparkSession
 RECORDS = "_versions"
 
 
+class ConcurrentCommit(RuntimeError):
+    """Another writer has committed the version that was to come next."""
+
+
 def _path(spark: SparkSession, name: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -52,29 +56,45 @@ def _record(spark: SparkSession, folder: str, number: int) -> dict[str, str] | N
 def commit(spark: SparkSession, folder: str, version: str, tables: list[str]) -> int:
     """Make the tables in the folder ``version`` the current ones, all at once; return the record's number.
 
-    A record is created only if there is none of its number, so that two writers never commit the same one.
+    If another writer commits in between, the tables are those of the later one.
     """
-    text = json.dumps({name: f"{version}/{name}" for name in tables}).encode()
-    number = max(versions(spark, folder), default=0) + 1
     while True:
-        path, files = _path(spark, f"{folder}/{RECORDS}/{number}.json")
+        after = max(versions(spark, folder), default=0)
         try:
-            stream = files.create(path, False)
-        except Py4JJavaError as error:
-            if "AlreadyExists" not in str(error.java_exception):
-                raise
-            number += 1
+            return commit_paths(spark, folder, {name: f"{version}/{name}" for name in tables}, after)
+        except ConcurrentCommit:
             continue
-        stream.write(text)
-        stream.close()
-        return number
+
+
+def commit_paths(spark: SparkSession, folder: str, tables: dict[str, str], after: int) -> int:
+    """Write the record that follows number ``after``: paths by name, which may lie in folders of earlier versions.
+
+    A record is created only if there is none of its number, so that two writers never commit the same one.
+    """
+    path, files = _path(spark, f"{folder}/{RECORDS}/{after + 1}.json")
+    try:
+        stream = files.create(path, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" not in str(error.java_exception):
+            raise
+        raise ConcurrentCommit(f"another writer has committed version {after + 1} of {folder}") from error
+    stream.write(json.dumps(tables).encode())
+    stream.close()
+    return after + 1
 
 
 def current(spark: SparkSession, folder: str) -> dict[str, str]:
     """Paths of the tables of the latest whole version, by name. Resolve them once and read all tables from there."""
+    return latest(spark, folder)[1]
+
+
+def latest(spark: SparkSession, folder: str, missing_ok: bool = False) -> tuple[int, dict[str, str]]:
+    """Number and tables of the latest whole version."""
     for number in reversed(versions(spark, folder)):
         if (tables := _record(spark, folder, number)) is not None:
-            return tables
+            return number, tables
+    if missing_ok:
+        return 0, {}
     raise FileNotFoundError(f"no version in {folder}")
 
 
@@ -90,7 +110,8 @@ def remove_old(spark: SparkSession, folder: str, keep: int = 2) -> list[int]:
     for number in old:
         path, files = _path(spark, f"{folder}/{RECORDS}/{number}.json")
         files.delete(path, False)
-    named = {t.rsplit("/", 1)[0].rsplit("/", 1)[-1] for n in numbers[-keep:] for t in (_record(spark, folder, n) or {}).values()}
+    paths = [p for n in numbers[-keep:] for p in (_record(spark, folder, n) or {}).values()]
+    named = {part for p in paths for part in p.split("/") if part.startswith("version-")}
     path, files = _path(spark, folder)
     for status in files.listStatus(path):
         name = status.getPath().getName()
