@@ -90,29 +90,33 @@ def rank_of(columns: Sequence[str], row: str) -> Column:
 
 
 # What a task remembers of words: so many bytes in all, and only words up to so many bytes.
-REMEMBERED_BYTES = 32 << 20
+REMEMBERED_BYTES = 64 << 20
 LONGEST_REMEMBERED = 64
 # What an entry takes besides its word and its result.
-ENTRY_BYTES = 200
+ENTRY_BYTES = 130
 
 
 class Remembered(dict):
-    """What ``find`` gives for words, remembered for short ones until they take ``most`` bytes, and then anew.
+    """What ``find`` gives for words, remembered for short ones in ``most`` bytes.
 
-    Long words (whole texts where a script has no spaces) are found each time they come.
+    When half of that is full, words that came since the last time are kept for as long again, so that frequent
+    ones stay. Long words (whole texts where a script has no spaces) are found each time they come.
     """
 
     def __init__(self, find: Callable, size: Callable = len, most: int = REMEMBERED_BYTES):
         super().__init__()
         self.find, self.size, self.most, self.held = find, size, most, 0
+        self.before: dict = {}
 
     def __missing__(self, word):
-        found = self.find(word)
+        found = self.before.get(word)
+        if found is None:
+            found = self.find(word)
         if len(word) <= LONGEST_REMEMBERED:
             self.held += len(word) + self.size(found) + ENTRY_BYTES
-            if self.held > self.most:
+            if self.held > self.most // 2:
+                self.before, self.held = dict(self), 0
                 self.clear()
-                self.held = 0
             self[word] = found
         return found
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-
-import numpy as np
+import struct
 
 from starboard.llm.common import REMEMBERED_BYTES, Remembered
 
@@ -34,28 +33,27 @@ class WordBpe:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.chunks = Remembered(self._chunk, most=remembered)
-        self.pieces = Remembered(self._piece, most=remembered // 2)
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: letters.pre_tokenize_str(c)[0][0] for c in map(chr, range(33, 256))}
 
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
-            mapped = "".join(map(self.as_bytes.__getitem__, piece))
-        else:
-            mapped = piece
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text):
-            return b"".join(map(self.pieces.__getitem__, PIECE.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if text.isascii() and text.isalpha():
+            ids = [t.id for t in self.model.tokenize(text)]
+        elif PLAIN.fullmatch(text):
+            pieces = PIECE.findall(text.lower())
+            if not text.isascii():
+                pieces = ["".join(map(self.as_bytes.__getitem__, p)) for p in pieces]
+            ids = [t.id for p in pieces for t in self.model.tokenize(p)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str | None) -> bytes:
         data = (text or "").encode("utf-8", "replace")
         if self.special.search(data):
-            found = self.whole.encode(data.decode("utf-8"), add_special_tokens=False).ids
-            return np.array(found, "<u4").tobytes()
+            ids = self.whole.encode(data.decode("utf-8"), add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.chunks.__getitem__, data.lower().split()))  # both ASCII only
 
 

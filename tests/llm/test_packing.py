@@ -41,7 +41,7 @@ def test_long_words_are_not_remembered():
     for i in range(200):
         text = f"{'x' * 3000}{i} {'中' * 500} {i}"
         assert ours.ids(text) == real_ids(text)
-    assert max(map(len, ours.chunks)) <= 64 and ours.chunks.held <= 10_300 and len(ours.chunks) < 60
+    assert max(map(len, ours.chunks)) <= 64 and ours.chunks.held <= 5_300 and len(ours.chunks) < 60
 
 
 def test_ids_of_documents():
