@@ -30,8 +30,8 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
 def sketch(text: Column, words: int = WORDS, scale_bits: int = SCALE_BITS) -> Column:
     """Distinct hashes below 2 ** -scale_bits of their range, in order.
 
-    A text with words of whose hashes none is that small keeps its least hash, so that no such text has an empty
-    sketch. Null and texts without words have an empty one.
+    A text with words of whose hashes none is that small keeps its least hash, so that it has a fingerprint of its
+    own; estimates leave that hash aside (``supported``). Null and texts without words have an empty sketch.
     """
 
     def kept(hashes: Column) -> Column:
@@ -43,14 +43,28 @@ def sketch(text: Column, words: int = WORDS, scale_bits: int = SCALE_BITS) -> Co
     return F.flatten(F.transform(F.array(shingle_hashes(text, words)), kept))
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of two texts taken together."""
-    return F.array_sort(F.array_union(a, b))
+def supported(a: Column, scale_bits: int = SCALE_BITS) -> Column:
+    """The hashes of a sketch below the threshold: a fair sample of the shingles, whatever else the text has."""
+    return F.filter(a, lambda h: F.shiftrightunsigned(h, 64 - scale_bits) == 0)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the shingles of a that b has; 1 if a has none."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
+def merged(a: Column, b: Column, scale_bits: int = SCALE_BITS) -> Column:
+    """The sketch of two texts taken together: the hashes of both, or the lesser of two that are left for want of others."""
+    small = F.array_sort(F.array_union(supported(a, scale_bits), supported(b, scale_bits)))
+    rest = F.array_union(a, b)
+    top = F.lit(-(1 << 63))
+    least = F.array_min(F.transform(rest, lambda h: h.bitwiseXOR(top))).bitwiseXOR(top)
+    return F.when(F.size(small) > 0, small).when(F.size(rest) > 0, F.array(least)).otherwise(rest)
+
+
+def containment(a: Column, b: Column, scale_bits: int = SCALE_BITS) -> Column:
+    """Estimated share of the shingles of a that b has; 1 if a has none.
+
+    Null if a has shingles, but no hash below the threshold: then nothing supports an estimate.
+    """
+    small = supported(a, scale_bits)
+    shared = F.size(F.array_intersect(small, b)) / F.greatest(F.size(small), F.lit(1))
+    return F.when(F.size(a) == 0, 1.0).when(F.size(small) > 0, shared)
 
 
 def resemblance(a: Column, b: Column) -> Column:
@@ -100,7 +114,8 @@ def fingerprint_edited(
 
     ``edited`` is the text with its last floor(n_chars / 2) code points replaced by the first as many, or all, of
     the next row in descending order. Null text is empty. A single row is its own next. ``row`` names a column that
-    identifies a row each time it is read; without it one is made.
+    identifies a row each time it is read; without it one is made. Rows with one ``order`` value follow each other by
+    ``row``, those without one come last. An empty table gives no rows. Other columns are not read.
     """
     docs, key = (docs, row) if row else with_row_key(docs.select(order, text))
     plain = F.coalesce(F.col(text), F.lit(""))

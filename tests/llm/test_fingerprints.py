@@ -99,3 +99,35 @@ def test_no_python_in_the_plan(spark):
     found = fp.fingerprint_edited(odd_documents(spark))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_containment_of_short_texts(spark):
+    """Short runs of words of long texts: contained as a whole, or without support; never an estimate of nothing."""
+    import random
+
+    dice = random.Random(9)
+    rows = []
+    for i in range(400):
+        long = [f"w{dice.randrange(10**6)}" for _ in range(400)]
+        at = dice.randrange(390)
+        rows.append((i, " ".join(long[at : at + dice.choice([5, 8, 12, 40])]), " ".join(long)))
+    docs = spark.createDataFrame(rows, "i int, short string, long string")
+    docs = docs.select("i", fp.sketch(F.col("short")).alias("a"), fp.sketch(F.col("long")).alias("b"))
+    found = docs.select(fp.containment(F.col("a"), F.col("b")).alias("c"), F.size(fp.supported(F.col("a"))).alias("n")).collect()
+    assert {r["c"] for r in found if r["n"]} == {1.0} and {r["c"] for r in found if not r["n"]} == {None}
+    assert 20 < sum(r["n"] > 0 for r in found) < 400
+
+
+def test_merged_is_the_sketch_of_both_texts(spark):
+    import random
+
+    dice = random.Random(3)
+    texts = [" ".join(f"w{dice.randrange(10**6)}" for _ in range(dice.choice([0, 5, 6, 9, 60]))) for _ in range(300)]
+    rows = [(a, b) for a, b in zip(texts, texts[1:])]
+    docs = spark.createDataFrame(rows, "a string, b string")
+    both = F.flatten(F.array(fp.shingle_hashes(F.col("a")), fp.shingle_hashes(F.col("b"))))
+    found = docs.select(both.alias("hashes"), fp.merged(fp.sketch(F.col("a")), fp.sketch(F.col("b"))).alias("m")).collect()
+    for r in found:
+        hashes = {h & (1 << 64) - 1 for h in r["hashes"]}
+        small = {h for h in hashes if h < 1 << (64 - fp.SCALE_BITS)}
+        assert {h & (1 << 64) - 1 for h in r["m"]} == (small or ({min(hashes)} if hashes else set()))
