@@ -16,6 +16,20 @@ def trimmed(line: Column) -> Column:
     return F.regexp_replace(line, f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines of these numbers: what lies between each two of them, in one pass over the lines."""
+    split = F.split(text, "\n")
+    ends = F.concat(F.array(F.lit(-1)), F.array_sort(gone), F.array(F.size(split)))
+
+    def between(s: Column) -> Column:
+        pairs = F.sequence(F.lit(1), F.size(s["ends"]) - 1)
+        before, after = (lambda i: F.get(s["ends"], i - 1)), (lambda i: F.get(s["ends"], i))
+        return F.flatten(F.transform(pairs, lambda i: F.slice(s["lines"], before(i) + 2, after(i) - before(i) - 1)))
+
+    # transform over a one-element array names the lines and the ends, so that they are made once
+    return F.array_join(F.get(F.transform(F.array(F.struct(split.alias("lines"), ends.alias("ends"))), between), 0), "\n")
+
+
 def spread_lines(lines: DataFrame, *, min_sites: int, log_registers: int) -> DataFrame:
     """``line`` (hash) and ``sites`` of the lines on at least ``min_sites`` sites, from rows (``line``, ``site``).
 
@@ -48,7 +62,8 @@ def remove_shared_lines(
     Lines are parted by a line feed and compared without white space at their ends; empty ones are kept and not
     counted as shared. All places of a shared line go. A null site is no site. Null text stays null, with no lines.
     Lines go by their 64-bit hash. ``row`` names a column that identifies a row each time it is read; without it
-    one is made.
+    one is made. Repeated rows are rows of their own, of one site each. An empty table gives no rows. Other columns are
+    not read. A text of many lines takes time in proportion to them.
     """
     docs, key = (docs, row) if row else with_row_key(docs.select(*dict.fromkeys([*carry, text, site])))
     split = F.split(F.col(text), "\n")
@@ -64,8 +79,7 @@ def remove_shared_lines(
     lines = docs.select(key, *carry, F.col(text).alias("_text"))
     # Merged at every size: the removed places grow with the documents, and are not to be broadcast.
     joined = lines.join(stored(found, "removed-lines").hint("merge"), key, "left")
-    kept = F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    cleaned = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    cleaned = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(_without(F.col("_text"), F.col("_gone")))
     return joined.select(
         *carry,
         cleaned.alias(text),

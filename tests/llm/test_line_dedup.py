@@ -61,3 +61,17 @@ def test_no_documents_and_no_python(spark):
     assert found.collect() == []
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_text_of_very_many_lines(spark):
+    """Twelve sites share every other line of a text of 200,000 lines."""
+    import time
+
+    text = "\n".join(f"shared {i}" if i % 2 else f"own {i}" for i in range(200_000))
+    rows = [(0, text, "s0")] + [(i, "\n".join(f"shared {k}" for k in range(1, 200_000, 2)), f"s{i}") for i in range(1, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    started = time.perf_counter()
+    (found,) = remove_shared_lines(docs).where("doc_id = 0").collect()
+    assert found["n_lines"] == 200_000 and found["n_removed"] == 100_000
+    assert found["text"] == "\n".join(f"own {i}" for i in range(0, 200_000, 2))
+    assert time.perf_counter() - started < 60
