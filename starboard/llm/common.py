@@ -194,7 +194,7 @@ def _numbered(
 
     The ranges are those of ``before``.
     """
-    source = rows.select(*before, *keys, *carry)
+    source = rows.select(*dict.fromkeys([*before, *keys, *carry]))
     ends = [row] if row not in keys else []
     sorted_rows = source.repartitionByRange(*(before or keys), *ends).sortWithinPartitions(*before, *keys, *ends)
     shown = [*before, *keys]

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starboard.llm.common import REMEMBERED_BYTES, Remembered, integer_names, ship_code, stored, with_row_key
+from starboard.llm.common import REMEMBERED_BYTES, Remembered, integer_names, ship_code, stored
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
@@ -75,6 +75,25 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = 1.0) -> n
     return np.log(p) - np.log(q)
 
 
+def numbered(rows: DataFrame, alike: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``: a number from 0 among the rows alike in these columns, without the column ``_row``.
+
+    Most rows are like no other and have 0 at once. The others are sorted over all partitions, so that a group may span
+    several tasks.
+    """
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in alike]
+    groups = rows.groupBy(*alike).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*alike)
+    groups = stored(groups, "repeated").alias("g")
+    condition = functools.reduce(lambda a, b: a & b, same)
+    single = rows.alias("r").join(groups, condition, "left_anti").withColumn(name, F.lit(0).cast("long"))
+    many = rows.alias("r").join(groups, condition, "left_semi")
+    kept = rows.columns
+    placed = stored(integer_names(many, [*alike, "_row"], kept, "_row", "_place"), "places").alias("r")
+    first = placed.groupBy(*alike).agg(F.min("_place").alias("_first")).alias("g")
+    found = placed.join(first, condition).select(*(F.col(f"r.{c}") for c in kept), (F.col("_place") - F.col("_first")).alias(name))
+    return single.select(*kept, name).unionByName(found).drop("_row")
+
+
 def importance_sample(
     docs: DataFrame,
     targets: DataFrame,
@@ -93,11 +112,11 @@ def importance_sample(
     them, those with the smallest hash of id and seed, the raw model on all rows. A text's log weight is the sum of
     its n-grams' log ratios. Adding Gumbel noise and taking the ``sample_rows`` (or that share) highest keys samples
     without replacement in proportion to the weights. Each row has noise of its own, also among rows with one id or none;
-    it comes from seed, id and the row's key (its place in its file), so a run on the same files can be repeated.
-    Ties are broken by row. Null and empty texts have weight 0; without targets all weights are 0. Null targets
-    are no targets.
+    it comes from seed, id, the text's hash and the row's number among those alike in both, so the same rows give the
+    same sample whatever files they are in. Ties go by these too. Null and empty texts have weight 0; without targets
+    all weights are 0. Null targets are no targets. An empty table gives no rows. Other columns are not read.
     """
-    docs, key = with_row_key(docs.select(doc_id, text))
+    docs = docs.select(doc_id, text)
     mixed = F.xxhash64(F.lit(seed), F.col(doc_id))
     ids = targets.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().orderBy(mixed, doc_id).limit(target_rows)
     chosen = ids.withColumn("_target", F.lit(True))
@@ -111,14 +130,14 @@ def importance_sample(
         features = hashed_ngrams()
         return pd.Series([float(ratios[features.buckets(t, buckets).astype(np.int64)].sum()) for t in texts], dtype="float64")
 
-    drawn = F.xxhash64(F.lit(seed + 1), F.col(doc_id), F.col(key))
+    hashed = F.xxhash64(F.lit(seed + 1), F.col(text))
+    scored = docs.select(F.col(doc_id).alias("_id"), hashed.alias("_text"), weights(F.col(text)).alias("log_weight"))
+    scored = numbered(stored(scored.withColumn("_row", F.monotonically_increasing_id()), "weights"), ["_id", "_text"], "_nth")
+    drawn = F.xxhash64(F.lit(seed + 1), "_id", "_text", "_nth")
     uniform = (F.shiftrightunsigned(drawn, 11) + F.lit(0.5)) / F.lit(2.0**53)
-    scored = docs.select(doc_id, weights(F.col(text)).alias("log_weight"), (-F.log(-F.log(uniform))).alias("_noise"))
-    scored = scored.withColumn("_row", F.monotonically_increasing_id())
-    scored = scored.withColumn("sample_key", F.col("log_weight") + F.col("_noise")).drop("_noise")
-    scored = stored(scored.withColumn("_down", -F.col("sample_key")), "weights")
+    scored = scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform)))
+    scored = stored(scored.withColumn("_down", -F.col("sample_key")), "sample-keys")
     if sample_rows is None:
         sample_rows = round(scored.count() * sample_share)
-    kept = [doc_id, "log_weight", "sample_key"]
-    placed = integer_names(scored, ["_down", "_row"], kept, "_row", "position")
-    return placed.withColumn("selected", F.col("position") < sample_rows)
+    placed = integer_names(scored, ["_down", "_id", "_text", "_nth"], ["_id", "log_weight", "sample_key"], "_nth", "position")
+    return placed.withColumnRenamed("_id", doc_id).withColumn("selected", F.col("position") < sample_rows)

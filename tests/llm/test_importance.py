@@ -85,3 +85,15 @@ def test_rows_with_one_id_have_noise_of_their_own(spark, tmp_path, one_id):
     assert len(set(noise.round(12).tolist())) == 2000
     assert noise.mean() == pytest.approx(0.5772, abs=0.12) and noise.var() == pytest.approx(1.645, abs=0.35)
     assert sorted(r["sample_key"] for r in first) == sorted(r["sample_key"] for r in again)
+
+
+def test_the_sample_does_not_follow_the_files(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(50)).unionByName(docs.selectExpr("CAST(NULL AS LONG) AS doc_id", "text").limit(60))
+    targets = docs.where("doc_id % 5 = 0").select("doc_id")
+    shown = []
+    for name, files in (("a", 2), ("b", 6)):
+        docs.repartition(files).write.parquet(f"{tmp_path}/{name}")
+        found = importance_sample(spark.read.parquet(f"{tmp_path}/{name}"), targets, sample_rows=100).collect()
+        shown.append([(r["position"], r["doc_id"], round(r["sample_key"], 9), r["selected"]) for r in sorted(found, key=lambda r: r["position"])])
+    assert shown[0] == shown[1]
