@@ -1,8 +1,11 @@
 """Statistics and quality checks."""
 
-from starboard.operators import quality, serving, stats
+from starboard.operators import cleaning, month_state, quality, serving, stats
 from starboard.registry import inputs, query, r6
 from starboard.registry.sinks import QUALITY_ROWS
+from starboard.session import new_folder
+from starboard.sinks.bucketed import distinct_pairs, write_bucketed
+from starboard.sources import footers
 
 
 @query("item_stats", 'SELECT "movieId", round(avg_rating, 6) AS avg_rating, rating_count FROM stats')
@@ -325,3 +328,65 @@ SELECT DISTINCT unnest(string_split(genres, '|')) AS genre FROM serving_movies W
 )
 def distinct_genres(spark, sf):
     return serving.distinct_genres(inputs.serving_movies(spark, sf))
+
+
+@query(
+    "stored_months",
+    """
+SELECT rating_year, rating_month, count(*) AS rating_count, count(DISTINCT "userId") AS unique_users,
+       round(avg(rating), 6) AS avg_rating
+FROM cleaned_ratings GROUP BY rating_year, rating_month ORDER BY rating_year DESC, rating_month DESC LIMIT 20
+""",
+)
+def stored_months(spark, sf):
+    """``ratings_by_month`` from stored sums and bitmaps."""
+    months = month_state.stored_ratings_by_month(spark, inputs.stored_months(spark, sf), 20)
+    return months.withColumn("avg_rating", r6("avg_rating"))
+
+
+@query(
+    "stored_totals",
+    """
+SELECT 'cleaned_ratings' AS table_name, count(*) AS total_records,
+       count(*) FILTER (WHERE is_valid) AS valid_records, count(*) FILTER (WHERE NOT is_valid) AS invalid_records,
+       count(DISTINCT "userId") AS unique_users, count(DISTINCT "movieId") AS unique_movies,
+       min(rating) AS min_rating, max(rating) AS max_rating, round(avg(rating), 6) AS avg_rating
+FROM cleaned_ratings
+""",
+)
+def stored_totals(spark, sf):
+    """``verify_ratings`` from the same state: users and items of all months are an OR of bitmaps."""
+    return month_state.stored_totals(spark, inputs.stored_months(spark, sf)).withColumn("avg_rating", r6("avg_rating"))
+
+
+@query(
+    "footer_totals",
+    """
+SELECT count(*) AS rows, count(*) - count("userId") AS "null_userId", count(*) - count("movieId") AS "null_movieId",
+       count(*) - count(rating) AS null_rating, count(*) - count("timestamp") AS null_timestamp,
+       min(rating) AS min_rating, max(rating) AS max_rating, min("timestamp") AS min_timestamp, max("timestamp") AS max_timestamp
+FROM raw_ratings
+""",
+)
+def footer_totals(spark, sf):
+    """Rows, nulls and ranges of the stored raw ratings, from the files' footers."""
+    path = f"{inputs.stored_raw(spark, sf)}/ratings"
+    return footers.footer_totals(spark, path, ["userId", "movieId", "rating", "timestamp"], ["rating", "timestamp"])
+
+
+def _bucketed(spark, sf):
+    folder = new_folder(spark, "bucketed")
+    name = folder.rsplit("/", 1)[-1].replace("-", "_")
+    return write_bucketed(inputs.raw_ratings(spark, sf), name, folder, ["userId", "movieId"], 8, ["userId", "movieId", "timestamp"])
+
+
+@query("bucketed_pairs", f"SELECT count(*) AS total, {PAIRS} AS pairs FROM raw_ratings")
+def bucketed_pairs(spark, sf):
+    """Distinct pairs of a table that is dealt out by pair."""
+    return distinct_pairs(_bucketed(spark, sf))
+
+
+@query("bucketed_latest", "SELECT * FROM latest_ratings")
+def bucketed_latest(spark, sf):
+    """The latest rating of each pair of such a table."""
+    return cleaning.dedup_latest(cleaning.valid_ratings(_bucketed(spark, sf)))

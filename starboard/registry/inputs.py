@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from starboard import fixtures
 from starboard.operators import cleaning, serving, stats
+from starboard.operators.month_state import write_month_state
 from starboard.operators.recommend import explode_recommendations
 from starboard.schemas import RAW_MOVIES, RAW_RATINGS
 from starboard.session import prepared
@@ -95,6 +96,16 @@ def stored_pages(spark: SparkSession, sf: str) -> str:
     return prepared(spark, "pages", sf, write)
 
 
+def stored_months(spark: SparkSession, sf: str) -> str:
+    """Folder of the state of each month of the stored cleaned ratings."""
+    return prepared(spark, "months", sf, lambda folder: write_month_state(stored_cleaned(spark, sf)[1], folder, whole_table=True))
+
+
+def stored_raw(spark: SparkSession, sf: str) -> str:
+    """Folder of the raw ratings as a table."""
+    return prepared(spark, "raw", sf, lambda folder: write_table_folder(raw_ratings(spark, sf), f"{folder}/ratings"))
+
+
 def stored_cleaned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Cleaned movies and ratings as written tables, made once for each session and source."""
 
