@@ -11,6 +11,7 @@ import os
 import time
 
 from starboard.registry import inputs, load_all
+from starboard.registry.plans import stored_warehouse
 from starboard.session import build_session, clear_work
 
 HEADLINE = [
@@ -45,7 +46,7 @@ HEADLINE = [
     "personalised_recommendations",
 ]
 
-PREPARED = {"stored_cleaned": inputs.stored_cleaned, "stored_serving": inputs.stored_serving, "stored_pages": inputs.stored_pages}
+PREPARED = {"stored_cleaned": inputs.stored_cleaned, "stored_serving": inputs.stored_serving, "stored_pages": inputs.stored_pages, "stored_warehouse": stored_warehouse}
 
 
 def timed(run, spark, sf_dir):

@@ -50,8 +50,8 @@ def csv_recommendations(
     movie_frame = written(frames[0], f"{folder}/movies")
     top_frame = written(frames[1], f"{folder}/recommendations")
     if csv:
-        write_csv(movie_frame, f"{folder}/movies_processed")
-        write_csv(top_frame, f"{folder}/recommendations_processed")
+        write_csv(movie_frame, f"{folder}/movies_csv")
+        write_csv(top_frame, f"{folder}/recommendations_csv")
     if jdbc:
         write_jdbc(movie_frame, jdbc["url"], "movies", jdbc.get("properties"))
     return {"movies": movie_frame, "recommendations": top_frame, "stats": stats}

@@ -113,11 +113,11 @@ def warehouse_recommendations(
     # Both lists read the statistics; written once, they cost one pass over the ratings.
     stats = written(item_stats(ratings), f"{folder}/item_stats")
     known = one_row_per_item(movies)
-    top = written(bayesian_top_n(known, stats, m, n).drop("genres_array", "is_valid"), f"{folder}/top_movies_table")
-    genres = written(genre_top_k(known, stats, genre_m, genre_k), f"{folder}/genre_recommendations_table")
+    top = written(bayesian_top_n(known, stats, m, n).drop("genres_array", "is_valid"), f"{folder}/best_movies")
+    genres = written(genre_top_k(known, stats, genre_m, genre_k), f"{folder}/best_by_genre")
     if csv:
-        write_csv(top, f"{folder}/top_movies")
-        write_csv(genres, f"{folder}/genre_recommendations")
+        write_csv(top, f"{folder}/best_movies_csv")
+        write_csv(genres, f"{folder}/best_by_genre_csv")
     return {
         "movies": movies,
         "ratings": ratings,

@@ -13,7 +13,7 @@ from starboard.registry.aggregates import VERIFICATION
 from starboard.registry.cleaning import CLEAN_ANY
 from starboard.registry.ranking import GENRE_TOP
 from starboard.registry.scans import fresh_name
-from starboard.session import new_folder
+from starboard.session import new_folder, prepared
 from starboard.sinks.files import write_csv, write_partitioned, write_table_folder
 from starboard.sources.files import read_cleaned_movies, read_cleaned_ratings
 
@@ -49,6 +49,19 @@ def warehouse(spark, sf):
     )
 
 
+def stored_warehouse(spark, sf):
+    """A warehouse built once for each session and source."""
+
+    def name(folder):
+        return folder.rsplit("/", 1)[-1].replace("-", "_")
+
+    def write(folder):
+        wh.build_warehouse(spark, inputs.raw_movies(spark, sf), inputs.raw_ratings(spark, sf), name(folder), folder)
+
+    folder = prepared(spark, "warehouse", sf, write)
+    return wh.Warehouse(spark, name(folder), folder)
+
+
 @query(
     "warehouse_build",
     VERIFICATION
@@ -81,7 +94,7 @@ FROM cleaned_ratings GROUP BY rating_year, rating_month ORDER BY rating_year DES
 """,
 )
 def warehouse_months(spark, sf):
-    return warehouse(spark, sf).ratings_by_month(20).withColumn("avg_rating", r6("avg_rating"))
+    return stored_warehouse(spark, sf).ratings_by_month(20).withColumn("avg_rating", r6("avg_rating"))
 
 
 @query("csv_recommendations", TOP.format(movies="known_movies", stats=RAW_STATS.format(ratings="raw_ratings")))
@@ -93,7 +106,7 @@ def csv_recommendations(spark, sf):
 
 
 def _from_warehouse(spark, sf):
-    built = warehouse(spark, sf)
+    built = stored_warehouse(spark, sf)
     return wh.warehouse_recommendations(
         spark,
         built.database,

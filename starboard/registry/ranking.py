@@ -31,6 +31,23 @@ def genre_top_k(spark, sf):
     return best.withColumn("avg_rating", r6("avg_rating"))
 
 
+@query(
+    "year_top_k",
+    """
+SELECT "userId", "movieId", rating, rating_year, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY rating_year ORDER BY rating DESC, "timestamp" DESC, "userId", "movieId")
+                 AS INTEGER) AS rank
+  FROM cleaned_ratings) t
+WHERE rank <= 1500
+""",
+)
+def year_top_k(spark, sf):
+    """More of each group than Spark's group limit takes: ranked in slices first."""
+    order = [F.desc("rating"), F.desc("timestamp"), "userId", "movieId"]
+    best = ranking.top_k_per_group(inputs.stored_cleaned(spark, sf)[1], "rating_year", order, 1500, "userId")
+    return best.select("userId", "movieId", "rating", "rating_year", "rank")
+
+
 @query(
     "genre_count",
     "SELECT count(DISTINCT genre) AS genre_count FROM (" + GENRE_TOP.format(movies="movie_statistics", k=10) + ") b",

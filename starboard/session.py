@@ -43,10 +43,35 @@ _prepared: dict[tuple, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Where that is unset, it is the place of the session's own tables.
+    Where that is unset, it is the place of the session's own tables; that is an error if only this machine can reach it
+    and the executors are on others.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
-    return folder.rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
+    if "://" in folder and not folder.startswith("file:"):
+        return folder
+    path, files = hadoop_path(spark, folder)
+    if files.makeQualified(path).toUri().getScheme() == "file" and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors reach; {folder} is on the driver")
+    return folder
+
+
+def hadoop_path(spark: SparkSession, name: str):
+    """Path and file system of a name, as Spark's readers see it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _files(spark: SparkSession, source: str) -> tuple:
+    """Names, sizes and times of the files in a folder."""
+    path, files = hadoop_path(spark, source)
+    found, listed = [], files.listFiles(path, True) if files.exists(path) else None
+    while listed is not None and listed.hasNext():
+        status = listed.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -66,9 +91,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def prepared(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
     """A folder that ``write`` fills once for each session and source, for all who ask for it.
 
-    The source must not change while the session lasts.
+    A source whose files have other names, sizes or times than before is another one.
     """
-    key = (spark.sparkContext.applicationId, name, source)
+    key = (spark.sparkContext.applicationId, name, source, _files(spark, source))
     if key not in _prepared:
         folder = new_folder(spark, name)
         write(folder)

@@ -13,6 +13,8 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from starboard.session import hadoop_path as _path
+
 RECORDS = "_versions"
 
 
@@ -20,11 +22,6 @@ class ConcurrentCommit(RuntimeError):
     """Another writer has committed the version that was to come next."""
 
 
-def _path(spark: SparkSession, name: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def new_version(spark: SparkSession, folder: str) -> str:
     """A folder in ``folder`` for the tables of one refresh."""
     return f"{folder}/version-{uuid.uuid4().hex}"

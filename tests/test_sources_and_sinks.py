@@ -263,6 +263,37 @@ def test_shared_folder_without_setting_is_with_the_tables():
     assert shared_folder(Fake()) == "hdfs:///tables/work"
 
 
+def test_a_folder_of_the_driver_is_refused_on_a_cluster(spark, monkeypatch, folder):
+    class Elsewhere:
+        _jvm = spark._jvm
+
+        class conf:
+            get = staticmethod(lambda k, d=None: {"spark.sql.warehouse.dir": f"file:{folder}"}.get(k, d))
+
+        class sparkContext:
+            _jsc = spark.sparkContext._jsc
+            master = "yarn"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Elsewhere())
+    Elsewhere.sparkContext.master = "local[4]"
+    assert shared_folder(Elsewhere()) == f"file:{folder}/work"
+
+
+def test_prepared_anew_when_the_source_changes(spark, folder):
+    spark.range(3).write.parquet(f"{folder}/source")
+    made = []
+
+    def write(path):
+        made.append(path)
+        spark.read.parquet(f"{folder}/source").write.parquet(path)
+
+    first = prepared(spark, "copy", f"{folder}/source", write)
+    assert prepared(spark, "copy", f"{folder}/source", write) == first
+    spark.range(5).write.mode("append").parquet(f"{folder}/source")
+    assert spark.read.parquet(prepared(spark, "copy", f"{folder}/source", write)).count() == 8 and len(made) == 2
+
+
 def test_prepared_once_and_cleared(spark, monkeypatch):
     import os
 
