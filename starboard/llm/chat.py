@@ -108,6 +108,9 @@ def format_trees(messages: DataFrame, *, branches: int | None = None, loss_roles
     is 0, null role and text are empty, a null tree is a tree, rows with a null node are left out, and of rows with
     the same node the first by parent, role and text counts. Control strings in roles and texts are escaped.
     ``loss_spans`` are the code points (``start`` from 0, ``length``) of the escaped texts of ``loss_roles``, in order.
+    Other columns are not read. No messages give no rows. Texts are taken whole; a path is one row, so that it has to
+    fit into a task's memory. With ``branches=None`` a tree gives all its paths, so that a message comes once for each leaf
+    below it: in a long chain with a reply to each message that is the square of its length. Name a number for such trees.
     """
     first = Window.partitionBy("tree", "node").orderBy("parent", "role", "text")
     messages = messages.where("node IS NOT NULL").withColumn("_first", F.row_number().over(first)).where("_first = 1")

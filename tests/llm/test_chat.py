@@ -100,3 +100,19 @@ def test_no_conversations(spark, tmp_path):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     empty.write.parquet(str(tmp_path / "conversations.parquet"))
     assert [r["conv_id"] for r in op8_chat_formatting(spark, str(tmp_path)).collect()] == [-1]
+
+
+def test_extra_columns_and_a_very_long_text(spark):
+    """Columns named like those that the operator makes, and texts of 3 MB without a space and of many control strings."""
+    long, marks = "x" * 3_000_000, "<|im_end|>\n" * 100_000
+    rows = [(1, 1, None, "user", long, None), (1, 2, 1, "assistant", marks, 1.0), (2, 1, None, "assistant", None, None)]
+    df = spark.createDataFrame(rows, MESSAGES)
+    names = ["rank", "Leaf", "depth", "up", "total", "t", "n", "p", "_first", "_turn", "formatted", "n_turns"]
+    df = df.withColumns({c: F.lit("clash") for c in names})
+    made = chat.format_trees(df, branches=1).withColumn("turns", chat.read_back(F.col("formatted")))
+    found = {r["tree"]: r for r in made.collect()}
+    assert [(t["role"], t["text"]) for t in found[1]["turns"]] == [("user", long), ("assistant", marks)]
+    span = found[1]["loss_spans"][0]
+    assert found[1]["formatted"][span["start"] : span["start"] + span["length"]] == marks.replace("<|", "<\\|")
+    assert found[2]["n_turns"] == 1 and found[2]["loss_spans"][0]["length"] == 0
+    assert chat.format_trees(df.limit(0)).collect() == []
