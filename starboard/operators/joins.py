@@ -7,10 +7,12 @@ join, where AQE splits an oversized partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starboard.functions.text import genre_matches
+
 BROADCAST_LIMIT = 64 * 1024 * 1024
 
 
@@ -76,6 +78,17 @@ def recommendations_with_movies(recommendations: DataFrame, movies: DataFrame) -
     )
 
 
+def recommendations_of_genre(session: SparkSession, recommendations: str, movies: str, needle: str) -> DataFrame:
+    """Recommendations of the movies whose genres hold ``needle``, from the two tables' folders.
+
+    In a ``filtering_session`` the recommendations are filtered by the movies' ids in their scan, so that only those of
+    the genre, and a few by chance, are shuffled.
+    """
+    wanted = session.read.parquet(movies).where(genre_matches(F.col("genres"), needle))
+    rows = session.read.parquet(recommendations)
+    return rows.join(wanted.select("movie_id", "title"), "movie_id").select("user_id", "movie_id", "title", "recommendation_score")
+
+
 def known_items(rows: DataFrame, movies: DataFrame, item="movieId") -> DataFrame:
     return rows.join(movies.select(item), item, "left_semi")
 

@@ -3,7 +3,7 @@
 from starboard.operators import joins, serving, stats
 from starboard.registry import inputs, query, r6
 from starboard.registry.ranking import TOP_HAVING
-from starboard.session import new_folder
+from starboard.session import filtering_session, new_folder
 from starboard.sinks.files import write_table_folder
 
 
@@ -79,6 +79,20 @@ def join_recs_movies(spark, sf):
     return joins.recommendations_with_movies(inputs.recommendations(spark, sf), inputs.known_movies(spark, sf))
 
 
+@query(
+    "recs_of_genre",
+    """
+SELECT r.user_id, r.movie_id, m.title, r.recommendation_score
+FROM serving_recs r JOIN serving_movies m ON r.movie_id = m.movie_id WHERE m.genres ILIKE '%promo%'
+""",
+)
+def recs_of_genre(spark, sf):
+    """With the Bloom filter and without broadcast, which tables this small would not get by themselves."""
+    movies, recommendations = (t.inputFiles()[0].rsplit("/", 1)[0] for t in inputs.stored_serving(spark, sf))
+    session = filtering_session(spark, large_from="0B", broadcast_up_to="-1")
+    return joins.recommendations_of_genre(session, recommendations, movies, "promo")
+
+
 @query(
     "semi_known_movies",
     'SELECT "userId", "movieId", predicted_rating FROM recs WHERE "movieId" IN (SELECT "movieId" FROM known_movies)',

@@ -36,6 +36,22 @@ def build_session(
     return builder.getOrCreate()
 
 
+def filtering_session(spark: SparkSession, large_from: str = "1GB", broadcast_up_to: str | None = None) -> SparkSession:
+    """A session beside this one whose joins filter a large side by the keys of a selective one, before it is shuffled.
+
+    Spark puts a Bloom filter of the small side's keys into the scan of the large one if the latter has ``large_from`` bytes
+    or more, the small side is cut by a condition and both are to be shuffled. The tables must be read in this session.
+    """
+    session = spark.newSession()
+    prefix = "spark.sql.optimizer.runtime.bloomFilter"
+    session.conf.set(f"{prefix}.enabled", "true")
+    session.conf.set(f"{prefix}.applicationSideScanSizeThreshold", large_from)
+    if broadcast_up_to is not None:
+        session.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast_up_to)
+        session.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", broadcast_up_to)
+    return session
+
+
 _made: dict[str, list[str]] = {}
 _prepared: dict[tuple, str] = {}
 

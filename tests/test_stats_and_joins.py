@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from starboard.operators import joins, ranking, stats
 from starboard.schemas import RAW_RATINGS
+from starboard.session import filtering_session
 
 MOVIES = "movieId int, title string, year int, genres string"
 
@@ -180,3 +181,40 @@ def test_attach_scalar_is_no_join(spark, ratings):
     rated = stats.item_stats(ratings[1])
     plan = final_plan(joins.attach_scalar(rated, stats.mean_of_means(rated), "c"))
     assert "Join" not in plan and "Subquery" in plan
+
+
+def shuffled_rows(df):
+    """Rows that each exchange of the executed plan has written, largest first."""
+    df.collect()
+    found = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if name.startswith("Exchange"):
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return sorted(found, reverse=True)
+
+
+def test_runtime_filter_before_the_shuffle(spark, folder):
+    rng = random.Random(2)
+    recs = [(u, rng.randrange(2000), 1.0) for u in range(400) for _ in range(50)]
+    movies = [(i, f"m{i}", "Drama|Rare" if i % 100 == 7 else "Drama") for i in range(2000)]
+    spark.createDataFrame(recs, "user_id int, movie_id int, recommendation_score double").write.parquet(f"{folder}/recs")
+    spark.createDataFrame(movies, "movie_id int, title string, genres string").write.parquet(f"{folder}/movies")
+    paths = f"{folder}/recs", f"{folder}/movies"
+    plain = filtering_session(spark, large_from="1TB", broadcast_up_to="-1")
+    filtered = filtering_session(spark, large_from="0B", broadcast_up_to="-1")
+    before, after = (joins.recommendations_of_genre(s, *paths, "rare") for s in (plain, filtered))
+    assert rows(before) == rows(after) and before.count() > 100
+    assert "might_contain" in final_plan(after) and "might_contain" not in final_plan(before)
+    counts = shuffled_rows(before)[0], shuffled_rows(after)[0]
+    print("rows of the large side shuffled:", *counts)
+    assert counts[0] == 20_000 and counts[1] < 1_000
