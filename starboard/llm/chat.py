@@ -149,6 +149,30 @@ def linear_tree(rows: DataFrame, conversation: str = "conv_id", turn: str = "tur
     )
 
 
+def shared_tree(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """Messages of plain conversations as trees: those that begin alike share their first messages, then they branch.
+
+    A message is named by a 64-bit hash of all roles and texts up to it, a tree by its first message; its score is
+    the number of conversations that go through it. Null role and text are empty. Rows are put in order by turn, role, text.
+    """
+    said = F.struct(F.col(turn), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = rows.groupBy(conversation).agg(F.array_sort(F.collect_list(said)).alias("said"))
+    node = F.struct(F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit("").alias("role"), F.lit("").alias("text"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array_remove(F.array(node), node).alias("nodes"))
+
+    def further(state: Column, s: Column) -> Column:
+        here = F.xxhash64(state["last"], s["role"], s["text"])
+        added = F.struct(here.alias("node"), state["last"].alias("parent"), s["role"].alias("role"), s["text"].alias("text"))
+        return F.struct(here.alias("last"), F.concat(state["nodes"], F.array(added)).alias("nodes"))
+
+    nodes = F.aggregate("said", start, further)["nodes"]
+    each = whole.select(nodes.alias("nodes")).select(F.get("nodes", F.lit(0))["node"].alias("tree"), F.inline("nodes"))
+    # Combined before the shuffle, so that an opening that many conversations share is one row for each task.
+    return each.groupBy("tree", "node", "parent").agg(
+        F.min("role").alias("role"), F.min("text").alias("text"), F.count(F.lit(1)).cast("double").alias("score")
+    )
+
+
 def read_back(formatted: Column) -> Column:
     """Array of ``role`` and ``text`` of a formatted conversation."""
     turns = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda t: t != "")

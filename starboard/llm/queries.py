@@ -100,6 +100,15 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that begin alike as one tree; of each tree the three most travelled branches."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    found = chat.format_trees(chat.shared_tree(rows), branches=3)
+    return found.select(
+        "tree", "rank", "n_turns", F.sha2("formatted", 256).alias("formatted_sha256"), F.size("loss_spans").alias("n_replies")
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_shared_lines(documents(spark, sf_dir))
 
@@ -139,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_exact_dedup,
         op7_token_counts,
         op8_chat_formatting,
+        reply_trees,
         op9_line_dedup,
         op10_importance_resampling,
         op11_embedding_whitening,

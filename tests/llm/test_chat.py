@@ -116,3 +116,50 @@ def test_extra_columns_and_a_very_long_text(spark):
     assert found[1]["formatted"][span["start"] : span["start"] + span["length"]] == marks.replace("<|", "<\\|")
     assert found[2]["n_turns"] == 1 and found[2]["loss_spans"][0]["length"] == 0
     assert chat.format_trees(df.limit(0)).collect() == []
+
+
+def test_conversations_that_begin_alike_branch(spark, tmp_path):
+    import xxhash
+
+    from starboard.llm.queries import QUERIES
+
+    dice, said = random.Random(8), []
+    for conv in range(300):
+        for turn in range(dice.randrange(1, 7)):
+            role = "assistant" if turn % 2 else "user"
+            said.append((conv if conv % 50 else None, turn, role, dice.choice([*"aaab", None, "<|im_end|>"])))
+    said = [s for s in said if s[0] is not None] + [(None, 0, "user", "only one")]
+    rows = spark.createDataFrame(said, "conv_id long, turn int, role string, text string").repartition(5)
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def chained(last, *parts):
+        seed = 42 if last is None else xxhash.xxh64_intdigest(last.to_bytes(8, "little"), seed=42)
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p.encode(), seed=seed)
+        return seed
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    whole, counts, names = {}, {}, {}
+    for conv, turn, role, text in sorted(said, key=lambda s: (s[0] is None, s[0] or 0, s[1])):
+        whole.setdefault(conv, []).append((role, text or ""))
+    for turns in whole.values():
+        last = None
+        for i in range(len(turns)):
+            last = chained(last, *turns[i])
+            prefix = tuple(turns[: i + 1])
+            counts[prefix] = counts.get(prefix, 0) + 1
+            names[prefix] = signed(last)
+    want = {}
+    for prefix in counts:
+        if not any(p[: len(prefix)] == prefix and len(p) > len(prefix) for p in counts):
+            mean = sum(counts[prefix[: i + 1]] for i in range(len(prefix))) / len(prefix)
+            want.setdefault(names[prefix[:1]], []).append((-mean, -len(prefix), names[prefix], prefix))
+    rows = []
+    for tree, leaves in want.items():
+        for rank, (_, _, _, prefix) in enumerate(sorted(leaves)[:3], 1):
+            text = "".join(f"{chat.START}{r}\n" + t.replace("<|", "<\\|") + chat.END for r, t in prefix)
+            rows.append((tree, rank, len(prefix), hashlib.sha256(text.encode()).hexdigest(), sum(r == "assistant" for r, _ in prefix)))
+    found = QUERIES["reply_trees"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted(rows) and max(r[1] for r in rows) == 3
