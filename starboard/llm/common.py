@@ -4,16 +4,13 @@ from __future__ import annotations
 
 import functools
 import io
-import itertools
 import os
-import re
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,38 +46,33 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
     key = free_name(docs, "_row")
     path = F.col("_metadata.file_path")
     place = F.struct(F.xxhash64(path).alias("file"), F.hash(path).alias("more"), F.col("_metadata.row_index").alias("row"))
-    try:
+    hidden = docs._jdf.queryExecution().analyzed().metadataOutput()
+    if any(hidden.apply(i).name() == "_metadata" for i in range(hidden.size())):
         return docs.withColumn(key, place), key
-    except AnalysisException:
-        return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def with_written_position(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Rows of the files of one write with their number (from 0) in the order of that write, and its column's name.
+def in_order_of(docs: DataFrame, row: str, places: DataFrame, by: Sequence[str]) -> tuple[DataFrame, str]:
+    """``docs`` with their number (from 0) in the order ``by`` of ``places``, and its column's name.
 
-    The order is that of the tasks' numbers in the file names (of whole paths where there is no number), of a task's
-    files, and of the rows in a file. Rows are not moved: Spark deals files out by their size, but the rows of a task
-    that stand next to each other in a file keep doing so. The driver sees a count for each file. Rows that are not
-    from files are stored first.
+    ``places`` has the key ``row`` (see ``with_row_key``) and the columns of the order, which tell all rows apart. If the rows
+    were written in that order, as each file shows by itself, a file's start and a row's place in it give the number, and
+    no row moves; else the rows are brought into the order. Either way the rows of a task that follow each other in the
+    order stand next to each other.
     """
-    path, at = F.col("_metadata.file_path"), free_name(docs, "_at")
-    try:
-        docs.select(path)
-    except AnalysisException:
-        docs = stored(docs, "written")
-    counts = docs.groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n")).collect()
-
-    def place(path: str) -> tuple:
-        found = re.search(r"/part-(\d+)-[^/]*?(?:-c(\d+))?[.][^/]*$", path)
-        return (0, int(found[1]), int(found[2] or 0), path) if found else (1, 0, 0, path)
-
-    counts.sort(key=lambda r: place(r["path"]))
-    before = itertools.accumulate((r["n"] for r in counts), initial=0)
-    starts = docs.sparkSession.createDataFrame([(r["path"], n) for r, n in zip(counts, before)], "_path string, _start long")
-    placed = docs.withColumn(at, F.struct(path.alias("path"), F.col("_metadata.row_index").alias("row")))
-    # One row for each file.
-    joined = placed.join(F.broadcast(starts), F.col(at)["path"] == F.col("_path"))
-    return joined.withColumn(at, F.col("_start") + F.col(at)["row"]).select(*docs.columns, at), at
+    at, carry = free_name(docs, "_at"), [row, *by]
+    numbers = stored(integer_names(places.select(*carry), list(by), carry, by[-1], at), "numbers")
+    if isinstance(docs.schema[row].dataType, T.StructType):
+        ahead = F.col(at) - F.col(f"{row}.row")
+        files = numbers.groupBy(F.col(f"{row}.file").alias("_file"), F.col(f"{row}.more").alias("_more"))
+        files = stored(files.agg(F.min(ahead).alias("_start"), F.max(ahead).alias("_end")), "files")
+        if files.where("_start <> _end").isEmpty():
+            # One row of 20 bytes for each file.
+            same = (F.col(f"{row}.file") == F.col("_file")) & (F.col(f"{row}.more") == F.col("_more"))
+            found = docs.join(F.broadcast(files.drop("_end")), same)
+            return found.withColumn(at, F.col("_start") + F.col(f"{row}.row")).select(*docs.columns, at), at
+    found = docs.join(numbers.select(row, at), row)
+    return found.repartitionByRange(at).sortWithinPartitions(at).select(*docs.columns, at), at
 
 
 def rank_of(columns: Sequence[str], row: str) -> Column:

@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starboard.llm.common import REMEMBERED_BYTES, Remembered, ship_code
+from starboard.llm.common import Remembered, ship_code
 
 MARK = "▁"
+# A word's best path costs far more than a look at it, so that more of them are remembered than elsewhere.
+REMEMBERED_WORDS_BYTES = 192 << 20
 # Fixed value: an unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 # A word with the spaces before it, or spaces at the end.
@@ -26,7 +28,7 @@ class UnigramCounter:
     UTF-8 bytes. These are the tokenizer's own ties: for each place the earliest start wins.
     """
 
-    def __init__(self, pieces: dict[str, float], remembered: int = REMEMBERED_BYTES):
+    def __init__(self, pieces: dict[str, float], remembered: int = REMEMBERED_WORDS_BYTES):
         import ahocorasick
 
         if any(MARK in piece.lstrip(MARK) for piece in pieces):
@@ -38,7 +40,7 @@ class UnigramCounter:
         if pieces:
             self.automaton.make_automaton()
         self.any = bool(pieces)
-        self.known = Remembered(lambda word: self.best(word.replace(" ", MARK)), size=lambda _: 64, most=remembered)
+        self.known = Remembered(lambda word: self.best(word.replace(" ", MARK)), size=lambda _: 96, most=remembered)
 
     def best(self, text: str) -> tuple[float, int]:
         scores, counts = [0.0], [0]
