@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starboard.llm.common import free_name, stored, with_row_key, with_written_position
+from starboard.llm.common import free_name, in_order_of, stored, with_row_key
 from starboard.llm.exact_dedup import exact_dedup
 from starboard.llm.language import confidence, identify_languages, is_known, least_confidence
 from starboard.llm.mixing import mix_sources
@@ -52,10 +52,15 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return keyed.join(kept, row).select(*docs.columns)
 
 
+def places_in_mix(keyed: DataFrame, row: str, content: str) -> DataFrame:
+    """``row``, ``slot`` and ``place``; they follow the rows' contents alone, so that they can be found again."""
+    return mix_sources(keyed, carry=(row,), by=(content,)).select(row, "slot", "place")
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mix: files in order, rows in order within them."""
     keyed, row, content = with_keys(docs)
-    places = mix_sources(keyed, carry=(row,), by=(content,)).select(row, F.struct("slot", "place").alias("_mix"))
+    places = places_in_mix(keyed, row, content).select(row, F.struct("slot", "place").alias("_mix"))
     at = free_name(docs, "_mix")
     joined = keyed.join(places.withColumnRenamed("_mix", at), row)
     return joined.repartitionByRange(at).sortWithinPartitions(at).select(*docs.columns)
@@ -64,9 +69,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids in sequences. Each stretch of the mix is packed by itself, in its order.
 
-    Sequence numbers follow the mix: that of a sequence stands where its first piece does.
+    Sequence numbers follow the mix: that of a sequence stands where its first piece does. The places are found again from
+    the rows, as the stage before returns documents only.
     """
-    placed, position = with_written_position(docs)
+    keyed, row, content = with_keys(docs)
+    placed, position = in_order_of(keyed, row, places_in_mix(keyed, row, content), ("slot", "place"))
     return pack_documents(placed, tokenizer_file("word_bpe_49k.json"), position=position)
 
 
