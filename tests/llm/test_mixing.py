@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from plain import no_documents, odd_documents, odd_rows
 
-from starboard.llm.mixing import exact, mix_sources
+from starboard.llm.mixing import Ideal, blocks_before, exact, mix_sources, stretch
 
 
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {}, {"a": 0, "b": 1, "c": 1}])
@@ -116,3 +116,58 @@ def test_more_sources_than_a_period_had_parts(spark):
     assert {r["slot"] for r in found} == set(range(3000))
     firsts = [r["block"] for r in sorted(found, key=lambda r: (r["slot"], r["place"]))[:3000]]
     assert set(firsts) == {0}
+
+
+def in_stretches(blocks, weights, slots):
+    """The mix cut every ``slots`` slots, each stretch scheduled by itself."""
+    ideal = Ideal(blocks, weights)
+    before = dict.fromkeys(ideal.count, 0)
+    for first in range(0, ideal.slots, slots):
+        end = min(first + slots, ideal.slots)
+        through = blocks_before(ideal, end)
+        assert sum(through.values()) == end
+        yield from stretch(ideal, first, before, end, through)
+        before = through
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(1, 60), st.one_of(st.integers(1, 9), st.floats(0.01, 100))), min_size=1, max_size=9),
+    st.integers(1, 50),
+)
+def test_less_than_one_block_from_the_weights_across_cuts(sources, slots):
+    blocks = {f"s{i}": n for i, (n, _) in enumerate(sources)}
+    weights = {f"s{i}": w for i, (_, w) in enumerate(sources)}
+    found = list(in_stretches(blocks, weights, slots))
+    had, shares = Counter(), ideal(blocks, weights, len(found))
+    for (s, i), share in zip(found, shares):
+        assert i == had[s]
+        had[s] += 1
+        assert all(abs(had[x] - share[x]) < 1 for x in blocks)
+    assert had == blocks
+
+
+def test_cuts_with_very_many_sources():
+    dice = random.Random(1)
+    blocks = {f"s{i}": dice.randrange(1, 4) for i in range(1500)} | {"hot": 4000}
+    weights = {s: n**0.5 for s, n in blocks.items()}
+    whole = Ideal(blocks, weights)
+    edge = whole.slots // 2
+    before = blocks_before(whole, edge)
+    left = Counter(s for s, _ in stretch(whole, 0, dict.fromkeys(blocks, 0), edge, before))
+    right = Counter(s for s, _ in stretch(whole, edge, before, whole.slots, blocks))
+    assert left + right == Counter(blocks)
+    for s, (full, part) in whole.had(edge).items():
+        assert full <= before[s] <= full + part
+
+
+def test_stretches_of_rows(spark):
+    """The same rows in one stretch and in many: every row once, each stretch its slots."""
+    sizes = {"hot": 3000, "b": 700, "c": 90, None: 40}
+    names = [s for s, n in sizes.items() for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
+    found = mix_sources(docs, block_rows=4, stretch_slots=37).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(len(names)))
+    blocks = {s: -(-n // 4) for s, n in sizes.items()}
+    slots = {r["slot"]: (r["source"], r["block"]) for r in found}
+    assert [slots[t] for t in sorted(slots)] == list(in_stretches(blocks, {s: float(n) ** 0.5 for s, n in sizes.items()}, 37))
