@@ -86,7 +86,8 @@ def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     """
     nodes = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     reached, levels = with_ancestors(nodes)
-    parents = nodes.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("p"))
+    # A message with very many replies is one row here.
+    parents = nodes.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = reached.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best))
