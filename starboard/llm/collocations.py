@@ -17,6 +17,7 @@ from starboard.llm.common import ship_code, stored
 WORDS = 5
 MIN_COUNT = 100
 TOP = 2000
+SLICES = 32
 # Suffixes that one task holds to build its subtrees.
 GROUP_SUFFIXES = 2_000_000
 # A task hands its counts over after so many words or bytes of text.
@@ -516,7 +517,12 @@ def collocations(
     inner = F.array(*(F.array_join(F.slice("parts", F.lit(i), F.col("words") - 1), " ").cast("binary") for i in (1, 2)))
     inner = longer.select("lang", F.col("f").alias("a"), F.explode(inner).alias("phrase")).distinct()
     left = scored.join(inner, ["lang", "phrase", "a"], "left_anti")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # A language's phrases are ranked in slices first, so that the last task sees at most so many of each slice.
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    sliced = left.withColumn("_slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
+    within = F.row_number().over(Window.partitionBy("lang", "_slice").orderBy(*best))
+    some = sliced.withColumn("rank", within).where(F.col("rank") <= top).drop("rank", "_slice")
+    order = Window.partitionBy("lang").orderBy(*best)
+    ranked = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     phrase = F.col("phrase").cast("string").alias("phrase")
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), phrase, "a", "l", "r", "n", "score")
