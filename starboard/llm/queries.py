@@ -130,7 +130,7 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(embeddings(spark, sf_dir))
+    return near_vectors(embeddings(spark, sf_dir)).drop("recall")
 
 
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +200,28 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone),
        count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed
 FROM marked GROUP BY doc_id
 UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
+""",
+    "op12_embedding_near_dedup": """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
+         len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AS odd,
+         len(list_filter(embedding, lambda x: x <> 0)) AS used
+  FROM embeddings
+), usable AS (
+  SELECT vec_id, label, v FROM vectors WHERE label IS NOT NULL AND v IS NOT NULL AND odd = 0 AND used > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93
+), reached AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+), counted AS (
+  SELECT x, count(*) AS n FROM links GROUP BY x
+), least AS (
+  SELECT x, min(y) AS y FROM reached GROUP BY x
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.y, vec_id)) AS component_id,
+       vec_id <= coalesce(least.y, vec_id) AS kept
+FROM embeddings LEFT JOIN counted ON counted.x = vec_id LEFT JOIN least ON least.x = vec_id
 """,
     "op13_phrase_collocations": r"""
 WITH cut AS (

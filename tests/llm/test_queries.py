@@ -37,7 +37,7 @@ def test_odd_and_empty_tables(spark, tmp_path, name, full):
 def test_against_sql(spark, name):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     result = con.execute(SQL[name])
     columns = [d[0] for d in result.description]
