@@ -7,8 +7,8 @@ from starboard.operators import recommend
 from starboard.operators.stats import most_active_users
 from starboard.registry import inputs, query
 
-# Enough for the given tables (see ``als_fit``); the same number gives the same model.
-BLOCKS = 2
+# As many as the ratings need (see ``als_fit``), two for the given tables; the same number gives the same model.
+BLOCKS = None
 
 
 @query(
