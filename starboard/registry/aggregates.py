@@ -377,7 +377,7 @@ def footer_totals(spark, sf):
 def _bucketed(spark, sf):
     folder = new_folder(spark, "bucketed")
     name = folder.rsplit("/", 1)[-1].replace("-", "_")
-    return write_bucketed(inputs.raw_ratings(spark, sf), name, folder, ["userId", "movieId"], 8, ["userId", "movieId", "timestamp"])
+    return write_bucketed(inputs.raw_ratings(spark, sf), name, folder, ["userId", "movieId"], None, ["userId", "movieId", "timestamp"])
 
 
 @query("bucketed_pairs", f"SELECT count(*) AS total, {PAIRS} AS pairs FROM raw_ratings")

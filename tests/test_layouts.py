@@ -121,3 +121,28 @@ def test_footers_answer_without_reading_rows(spark, folder):
 def test_footers_of_no_rows(spark, folder):
     spark.createDataFrame([], RAW_RATINGS).write.parquet(folder)
     assert tuple(footer_totals(spark, folder, ["userId"], ["rating"]).first()) == (0, 0, None, None)
+
+
+def test_buckets_follow_the_rows(spark, tmp_path, monkeypatch):
+    from starboard.sinks import bucketed
+
+    assert bucketed.buckets_for(2_400_000) == 8 and bucketed.buckets_for(216_000_000) == 54
+    monkeypatch.setattr(bucketed, "BUCKET_ROWS", 10)
+    pairs = spark.range(200).select((F.col("id") % 50).cast("int").alias("userId"), (F.col("id") % 7).cast("int").alias("movieId"))
+    table = write_bucketed(pairs, "by_rows", f"{tmp_path}/by_rows", ["userId", "movieId"], None)
+    described = spark.sql("DESCRIBE TABLE EXTENDED by_rows").where("col_name = 'Num Buckets'").first()
+    assert described["data_type"] == "20"
+    assert distinct_pairs(table).first().asDict() == {"total": 200, "pairs": 200}
+
+
+def test_month_bitmaps_bring_numbers_together(spark):
+    """No bitmaps in the exchanges: each holds numbers, and a number of many rows counts once in its task."""
+    rated = spark.range(0, 100_000, 1, 8).select(
+        (F.col("id") % 100).cast("int").alias("userId"), (F.col("id") % 2 + 2020).cast("int").alias("rating_year"), (F.col("id") % 2 + 1).cast("int").alias("rating_month")
+    )
+    bitmaps = month_state.month_bitmaps(rated, "user")
+    found = bitmaps.select("bucket", F.bitmap_count("bitmap").alias("n")).collect()
+    assert sorted((r.bucket, r.n) for r in found) == [(0, 1), (1, 49), (1, 50)]
+    plan = bitmaps._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    # By number, so that each is there once, and then by bitmap.
+    assert plan.count("Exchange hashpartitioning") == 2 and "REPARTITION_BY_COL" in plan
