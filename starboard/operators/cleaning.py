@@ -1,6 +1,6 @@
 """Cleaning of movies and ratings."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starboard.functions.text import split_genres, year_anchored, year_anywhere
@@ -49,19 +49,28 @@ def clean_movies(raw: DataFrame) -> DataFrame:
     ).to(CLEANED_MOVIES)
 
 
+def derived_columns() -> dict[str, Column]:
+    """The columns of cleaned ratings that follow from the narrow ones."""
+    seconds = F.col("timestamp")
+    return {
+        "rating_date": rating_date(seconds),
+        "is_valid": rating_is_valid(F.col("userId"), F.col("movieId"), F.col("rating"), seconds),
+    }
+
+
 def clean_ratings(raw: DataFrame, dedup: bool = True) -> DataFrame:
     """Valid ratings with their date and the year and month they are partitioned by."""
     kept = valid_ratings(raw)
     if dedup:
         kept = dedup_latest(kept)
-    seconds = F.col("timestamp")
+    seconds, derived = F.col("timestamp"), derived_columns()
     return kept.select(
         "userId",
         "movieId",
         "rating",
-        rating_date(seconds).alias("rating_date"),
+        derived["rating_date"].alias("rating_date"),
         "timestamp",
-        rating_is_valid(F.col("userId"), F.col("movieId"), F.col("rating"), seconds).alias("is_valid"),
+        derived["is_valid"].alias("is_valid"),
         rating_year(seconds).alias("rating_year"),
         rating_month(seconds).alias("rating_month"),
     ).to(CLEANED_RATINGS)

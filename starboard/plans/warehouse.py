@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starboard.operators.cleaning import clean_movies, clean_ratings, one_row_per_item
+from starboard.operators.cleaning import clean_movies, clean_ratings, derived_columns, one_row_per_item
 from starboard.operators.quality import (
     before_after_compare,
     movie_quality,
@@ -87,7 +87,7 @@ def build_warehouse(
     overwrite_table(movie_quality(movies), f"{database}.data_quality_report")
     append_table(rating_quality(ratings), f"{database}.data_quality_report")
     overwrite_table(clean_movies(movies), f"{database}.cleaned_movies")
-    load_cleaned_ratings(spark, clean_ratings(ratings), database, folder)
+    load_cleaned_ratings(spark, clean_ratings(ratings), database, folder, derived_columns())
     return warehouse
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starboard.schemas import CSV_WRITE, RATING_PARTITIONS
@@ -34,16 +34,21 @@ def write_partitioned(
     format: str = "parquet",
     options: dict[str, str] | None = None,
     whole_table: bool = False,
+    derived: dict[str, Column] | None = None,
 ) -> None:
     """Write by partition: the whole table anew, or only the partitions that occur in ``ratings``.
 
     Replacing single partitions is for increments. Partitions absent from ``ratings`` stay as
     they are, and pairs repeated between an increment and what stays are not removed. Rows of
     one partition are brought together to save small files; AQE cuts a partition that holds
-    much of the data into several tasks.
+    much of the data into several tasks. Columns in ``derived`` follow from the others by the
+    expressions given; they are left out of that exchange and computed after it.
     """
+    derived = derived or {}
+    rows = ratings.drop(*derived).hint("rebalance", *[F.col(c) for c in columns])
     (
-        ratings.hint("rebalance", *[F.col(c) for c in columns])
+        rows.withColumns(derived)
+        .select(*ratings.columns)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static" if whole_table else "dynamic")
         .options(**(options or {}))

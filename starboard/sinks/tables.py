@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from starboard.schemas import (
     CLEANED_MOVIES,
@@ -57,7 +57,13 @@ def append_table(df: DataFrame, table: str) -> None:
     df.write.insertInto(table)
 
 
-def load_cleaned_ratings(spark: SparkSession, cleaned: DataFrame, database: str, folder: str) -> None:
-    """Replace the whole table, months that no longer occur included, and its partitions in the catalogue."""
-    write_partitioned(cleaned, table_folder(folder, "cleaned_ratings"), options=PARQUET_TUNING, whole_table=True)
+def load_cleaned_ratings(
+    spark: SparkSession, cleaned: DataFrame, database: str, folder: str, derived: dict[str, Column] | None = None
+) -> None:
+    """Replace the whole table, months that no longer occur included, and its partitions in the catalogue.
+
+    ``derived`` as in ``write_partitioned``.
+    """
+    path = table_folder(folder, "cleaned_ratings")
+    write_partitioned(cleaned, path, options=PARQUET_TUNING, whole_table=True, derived=derived)
     repair_partitions(spark, f"{database}.cleaned_ratings")

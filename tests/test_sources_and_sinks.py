@@ -318,3 +318,15 @@ def test_prepared_once_and_cleared(spark, monkeypatch):
     assert not os.path.exists(first) and not os.path.exists(database)
     assert prepared(spark, "thing", "here", write) != first
     session.clear_work(spark)
+
+
+def test_derived_columns_are_computed_after_the_exchange(spark, tmp_path, monkeypatch):
+    raw = spark.createDataFrame([(u, m, 0.5 + (u + m) % 10 / 2, 86_400 * 40 * m) for u in range(30) for m in range(20)], RAW_RATINGS)
+    cleaned, seen = cleaning.clean_ratings(raw), []
+    hint = type(cleaned).hint
+    monkeypatch.setattr(type(cleaned), "hint", lambda df, *a: seen.append(df.columns) or hint(df, *a))
+    sink_files.write_partitioned(cleaned, f"{tmp_path}/narrow", whole_table=True, derived=cleaning.derived_columns())
+    sink_files.write_partitioned(cleaned, f"{tmp_path}/wide", whole_table=True)
+    assert seen[0] == ["userId", "movieId", "rating", "timestamp", "rating_year", "rating_month"] and seen[1] == cleaned.columns
+    tables = [spark.read.parquet(f"{tmp_path}/{name}") for name in ("narrow", "wide")]
+    assert tables[0].schema == tables[1].schema and rows(tables[0]) == rows(tables[1])
