@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starboard.operators.cleaning import clean_ratings
+from starboard.operators.cleaning import clean_ratings, derived_columns
 from starboard.schemas import CLEANED_RATINGS, RATING_PARTITIONS
 from starboard.session import stored
 from starboard.sinks.files import write_partitioned
@@ -71,12 +71,18 @@ def upsert_ratings(spark: SparkSession, folder: str, raw: DataFrame, most_deltas
     """
     number, tables = latest(spark, folder, missing_ok=True)
     version, batch = new_version(spark, folder), number + 1
-    fresh = stored(clean_ratings(raw), "increment")
+    # Narrow rows until they are written: what follows from them is computed then.
+    derived = derived_columns()
+    fresh = stored(clean_ratings(raw).drop(*derived), "increment")
     asked = fresh.select(*PAIR)
     known = _latest_pairs(_deltas(spark, tables, "pairs", PAIRS).join(asked, PAIR, "left_semi"))
     old = known.select(*PAIR, *(F.col(c).alias(f"old_{c}") for c in ("rating", "timestamp", *RATING_PARTITIONS)))
     later = F.struct(F.col("timestamp"), F.col("rating")) > F.struct(F.col("old_timestamp"), F.col("old_rating"))
-    won = stored(fresh.join(old, PAIR, "left").where(F.col("old_timestamp").isNull() | later), "winners")
+    if any(key.startswith("pairs-") for key in tables):
+        won = stored(fresh.join(old, PAIR, "left").where(F.col("old_timestamp").isNull() | later), "winners")
+    else:
+        # Without known pairs all rows win, and they are stored already.
+        won = fresh.select("*", *(F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns if c not in PAIR))
     replaced = won.where("old_timestamp IS NOT NULL")
 
     places = won.select(*RATING_PARTITIONS).unionByName(replaced.select(*(F.col(f"old_{c}").alias(c) for c in RATING_PARTITIONS)))
@@ -85,13 +91,15 @@ def upsert_ratings(spark: SparkSession, folder: str, raw: DataFrame, most_deltas
         return []
     of_month = _months(tables)
     stay = [of_month[m] for m in touched if m in of_month]
-    rows = won.select(*CLEANED_RATINGS.names)
+    narrow = [c for c in CLEANED_RATINGS.names if c not in derived]
+    rows = won.select(*narrow)
     if stay:
-        before = spark.read.schema(CLEANED_RATINGS).parquet(*stay)
-        rows = before.join(replaced.select(*PAIR), PAIR, "left_anti").select(*CLEANED_RATINGS.names).unionByName(rows)
+        before = spark.read.schema(CLEANED_RATINGS).parquet(*stay).select(*narrow)
+        rows = before.join(replaced.select(*PAIR), PAIR, "left_anti").select(*narrow).unionByName(rows)
+    rows = rows.withColumns(derived).select(*CLEANED_RATINGS.names)
     # The folders' names hold copies, so that the files have all columns and can be read one by one.
     copies = {f"_{c}": F.col(c) for c in RATING_PARTITIONS}
-    write_partitioned(rows.withColumns(copies), f"{version}/months", list(copies), whole_table=True)
+    write_partitioned(rows.withColumns(copies), f"{version}/months", list(copies), whole_table=True, derived=derived)
     written = spark.read.parquet(f"{version}/months").select(*copies).distinct().collect()
 
     tables = {k: v for k, v in tables.items() if not k.startswith("month-") or k not in {_name(*m) for m in touched}}

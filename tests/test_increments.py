@@ -92,3 +92,16 @@ def test_two_writers_at_once(spark, folder, monkeypatch):
     monkeypatch.setattr(increments, "commit_paths", late)
     with pytest.raises(versions.ConcurrentCommit):
         increments.upsert_ratings(spark, folder, ratings(spark, random.Random(7), 40, [103]))
+
+
+def test_increments_are_kept_narrow_until_they_are_written(spark, tmp_path, monkeypatch):
+    """And the first is stored once, as all its rows win."""
+    kept, stored = [], increments.stored
+    monkeypatch.setattr(increments, "stored", lambda df, name: kept.append((name, df.columns)) or stored(df, name))
+    raw = spark.createDataFrame([(u, m, 3.0, 86_400 * 40 * m) for u in range(9) for m in range(5)], RAW_RATINGS)
+    later = raw.where("userId = 1").selectExpr("userId", "movieId", "rating", "timestamp + 86400 * 60 AS timestamp")
+    increments.upsert_all(spark, str(tmp_path), [raw, later])
+    assert [name for name, _ in kept] == ["increment", "increment", "winners"]
+    assert not any("rating_date" in columns for _, columns in kept)
+    want = clean_ratings(raw.unionByName(later))
+    assert rows(increments.read_increments(spark, str(tmp_path)), *want.columns) == rows(want)
