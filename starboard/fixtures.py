@@ -74,14 +74,17 @@ def loose_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(*(F.when(F.col("userId").isNotNull(), F.col(c)).alias(c) for c in raw.columns))
 
 
-def recommendation_lists(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+def recommendation_lists(spark: SparkSession, sf_dir: str, k: int = 10, raw: DataFrame | None = None) -> DataFrame:
     """Each user's k best-rated items as array<struct<movieId:int, rating:float>>.
 
     The same shape as a fitted model's lists, but with values that do not depend on
-    training, so that the operators on such lists can be compared exactly.
+    training, so that the operators on such lists can be compared exactly. ``raw`` are the raw
+    ratings where they are stored already.
     """
     best = Window.partitionBy("userId").orderBy(F.desc("rating"), "movieId")
-    ratings = dedup_latest(valid_ratings(raw_ratings(spark, sf_dir)))
+    # Dealt by user, as pairs and lists of a user are both within the user's rows.
+    known = valid_ratings(raw_ratings(spark, sf_dir) if raw is None else raw)
+    ratings = dedup_latest(known.repartition("userId"))
     return (
         ratings.withColumn("position", F.row_number().over(best))
         .where(F.col("position") <= k)

@@ -76,9 +76,12 @@ def stored_serving(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Movies and recommendations as written tables, made once for each session and source."""
 
     def write(folder: str) -> None:
-        write_table_folder(serving_movies(spark, sf), f"{folder}/movies")
+        raw = spark.read.schema(RAW_RATINGS).parquet(f"{stored_raw(spark, sf)}/ratings")
+        rated = stats.item_stats(cleaning.valid_ratings(raw))
+        write_table_folder(serving.serving_movies(known_movies(spark, sf), rated), f"{folder}/movies")
         movies = spark.read.parquet(f"{folder}/movies")
-        found = serving.imported_recommendations(recommendations(spark, sf), movies)
+        lists = explode_recommendations(fixtures.recommendation_lists(spark, sf, raw=raw))
+        found = serving.imported_recommendations(lists, movies)
         write_recommendations(found, f"{folder}/recommendation_data")
 
     folder = prepared(spark, "serving", sf, write)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from starboard import fixtures
 from starboard.operators import quality, ranking, stats
 from starboard.registry import inputs
 
@@ -40,3 +41,12 @@ def test_scores(spark):
     scored = ranking.bayesian_scores(stats.item_stats(inputs.valid_ratings(spark, SF)), 30)
     count, total = scored.agg(F.count(F.lit(1)), F.sum("weighted_rating")).first()
     assert count == 796 and total == pytest.approx(2180.384291, abs=1e-6)
+
+
+def test_lists_take_one_exchange(spark):
+    """Pairs and lists of a user are found among the user's rows, which are dealt out once."""
+    ratings = [(u, m, 1.0 + m % 4, 100 + t) for u in range(5) for m in range(15) for t in range(2)]
+    raw = spark.createDataFrame(ratings, "userId int, movieId int, rating double, timestamp long")
+    lists = fixtures.recommendation_lists(spark, "", k=3, raw=raw)
+    assert {r.userId: [x.movieId for x in r.recommendations] for r in lists.collect()} == dict.fromkeys(range(5), [3, 7, 11])
+    assert lists._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
