@@ -29,11 +29,11 @@ def month_sums(ratings: DataFrame) -> DataFrame:
 def month_bitmaps(ratings: DataFrame, kind: str) -> DataFrame:
     """``bucket`` and ``bitmap`` of the month's users or items.
 
-    A bitmap of 4 KB for each task and bucket would be far more than the numbers in it, so it is the month's distinct numbers
-    that are brought together, at most 32,768 for each bitmap.
+    A bitmap of 4 KB for each task and bucket would be far more than the numbers in it, so it is the month's numbers that
+    are brought together.
     """
     number = F.col(KINDS[kind]).cast("long")
-    numbers = ratings.where(number.isNotNull()).select(*RATING_PARTITIONS, number.alias("number")).distinct()
+    numbers = ratings.where(number.isNotNull()).select(*RATING_PARTITIONS, number.alias("number"))
     placed = numbers.withColumn("bucket", F.bitmap_bucket_number("number")).repartition(*RATING_PARTITIONS, "bucket")
     bits = placed.groupBy(*RATING_PARTITIONS, "bucket")
     return bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bitmap"))
