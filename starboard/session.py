@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -138,6 +139,22 @@ def clear_work(spark: SparkSession) -> None:
         del _prepared[key]
 
 
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files and blocks that nothing refers to any more go now, not when the driver next happens to collect its garbage.
+
+    Spark itself refers to what it shuffled last until something else ran, so a small query runs before, and all is done twice.
+    """
+    for _ in range(2):
+        spark.range(5).count()
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def delete_folder(spark: SparkSession, name: str) -> None:
+    path, files = hadoop_path(spark, name)
+    files.delete(path, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give ``checkpoint()`` and ALS a folder when the session has none yet."""
     context = spark.sparkContext
