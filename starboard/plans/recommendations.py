@@ -14,6 +14,7 @@ from starboard.operators.recommend import als_fit, als_recommend_all, als_rmse,
 from starboard.operators.serving import prepare_serving_frames, serving_movies
 from starboard.operators.stats import item_stats, most_active_users, rating_distribution
 from starboard.schemas import TOP_MIN_RATINGS, TOP_N
+from starboard.session import let_go
 from starboard.sinks.files import write_csv, write_table_folder
 from starboard.sinks.jdbc import write_jdbc
 from starboard.sinks.serving import refresh_serving
@@ -26,9 +27,11 @@ def _known_movies(movies: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
-    """The rows as a table: who reads them again does not compute them again."""
+    """The rows as a table: who reads them again does not compute them again. What was shuffled for them goes."""
     write_table_folder(df, path)
-    return df.sparkSession.read.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    let_go(df.sparkSession)
+    return rows
 
 
 def csv_recommendations(
